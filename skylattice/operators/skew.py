@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_SALTS = 16
 DEFAULT_HOT_ROWS = 20_000
+_INLINE_KEYS = 10_000
 
 
 def fan_out_join(
@@ -33,54 +34,56 @@ def fan_out_join(
     return picked.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows and the number of parts to cut them into; None if there are none.
+
+    One pre-aggregated count, run now, because the answer picks the plan: usually no key is hot and
+    the join stays plain. Up to ``_INLINE_KEYS`` hot keys come back as a broadcast table of known
+    size; more of them stay a distributed table.
+    """
+    counts = (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > hot_rows)
+        .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))
+    )
+    found = counts.limit(_INLINE_KEYS + 1).collect()
+    if not found:
+        return None
+    if len(found) <= _INLINE_KEYS:
+        return F.broadcast(df.sparkSession.createDataFrame(found, counts.schema))
+    return counts
+
+
 def split_hot_join(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
     *,
-    left_id: Column,
-    right_id: Column,
-    hot_rows: int = DEFAULT_HOT_ROWS,
+    hot: DataFrame | None,
+    hot_on: Sequence[str],
+    left_id: str,
+    right_id: str,
 ) -> DataFrame:
     """Inner equi-join that cuts the block of every hot key into a grid of smaller blocks.
 
-    Keys with more than ``hot_rows`` rows on a side are found with one pre-aggregated count. Their
-    rows are numbered by hash along that side and repeated along the other one, so each pair still
-    meets exactly once and no task sees more than about ``hot_rows`` rows of a key per side.
+    ``hot`` comes from :func:`hot_keys` on ``hot_on``, a subset of ``keys``. Rows of a hot key are
+    numbered by hash along their own side and repeated along the other one, so each pair still
+    meets exactly once while the block is shared by parts * parts tasks.
     """
     keys = list(keys)
-    counted = left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
-        right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
-    )
-    hot = (
-        counted.groupBy(*keys)
-        .agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
-        .filter((F.col("_l") > 0) & (F.col("_r") > 0))
-        .filter((F.col("_l") > hot_rows) | (F.col("_r") > hot_rows))
-        .select(
-            *keys,
-            F.ceil(F.col("_l") / hot_rows).cast("int").alias("_rows"),
-            F.ceil(F.col("_r") / hot_rows).cast("int").alias("_cols"),
-        )
-    )
-    rows, cols = F.coalesce("_rows", F.lit(1)), F.coalesce("_cols", F.lit(1))
+    if hot is None:
+        return left.join(right, keys)
+    parts = F.coalesce("_parts", F.lit(1))
+    every = F.explode(F.sequence(F.lit(0), parts - 1))
 
-    def numbered(row_id: Column, parts: Column) -> Column:
-        return F.pmod(F.xxhash64(row_id), parts).cast("int")
+    def cut(side: DataFrame, own: str, row_id: str, other: str) -> DataFrame:
+        sized = side.join(hot, list(hot_on), "left")
+        mine = F.pmod(F.xxhash64(row_id), parts).cast("int")
+        return sized.withColumn(own, mine).withColumn(other, every).drop("_parts")
 
-    def repeated(parts: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), parts - 1))
-
-    left_cut = (
-        left.join(hot, keys, "left")
-        .withColumn("_row", numbered(left_id, rows))
-        .withColumn("_col", repeated(cols))
-        .drop("_rows", "_cols")
-    )
-    right_cut = (
-        right.join(hot, keys, "left")
-        .withColumn("_col", numbered(right_id, cols))
-        .withColumn("_row", repeated(rows))
-        .drop("_rows", "_cols")
+    return (
+        cut(left, "_row", left_id, "_col")
+        .join(cut(right, "_col", right_id, "_row"), [*keys, "_row", "_col"])
+        .drop("_row", "_col")
     )
-    return left_cut.join(right_cut, [*keys, "_row", "_col"]).drop("_row", "_col")

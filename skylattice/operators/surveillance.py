@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skylattice import constants as C
 from skylattice.functions import geo, tilemath
 from skylattice.functions import tracks as T
-from skylattice.operators.skew import DEFAULT_HOT_ROWS, DEFAULT_SALTS, fan_out_join, split_hot_join
+from skylattice.operators.skew import DEFAULT_HOT_ROWS, DEFAULT_SALTS, fan_out_join, hot_keys, split_hot_join
 from skylattice.operators.timeline import with_previous
 from skylattice.session import materialize
 
@@ -101,55 +101,44 @@ def _ghost_cells(tracks: DataFrame, max_m: float, max_alt_ft: float, by: str, po
         T.normalize_ident("reg").alias("_reg"),
         ((F.col("callsign") == "") & (F.col("reg") == "")).alias("_anon"),
     )
+    described = ["_pos", "_tier", "_lat", "_lon", "_alt", "_track", "_gs", "_call", "_reg"]
 
-    def side(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
+    def named(prefix: str) -> list[Column]:
+        return [F.col(c).alias(prefix + c) for c in described]
 
     by_call = F.when(F.col("_call") != "", F.concat(F.lit("c"), F.col("_call")))
     by_reg = F.when(F.col("_reg") != "", F.concat(F.lit("r"), F.col("_reg")))
     anyone = F.lit("*")
+    known = F.array_compact(F.array(by_call, by_reg))
+    lat, lon, alt = F.col("_lat"), F.col("_lon"), F.col("_alt")
+
+    bands = F.sequence(F.floor((lat - reach) / band_deg), F.floor((lat + reach) / band_deg))
+    gap = F.coalesce("_width", F.lit(0.0))
+    cells = F.sequence(lon_cell(lon - gap, F.col("_width")), lon_cell(lon + gap, F.col("_width")))
+    all_levels = F.sequence(F.lit(_LOWEST_BAND), F.lit(_HIGHEST_BAND))
+    levels = F.coalesce(F.sequence(alt_band(alt - max_alt_ft), alt_band(alt + max_alt_ft)), all_levels)
+    keys = ["_by", "_band", "_cell", "_level", "_id"]
 
-    low = facts.filter(F.col("_tier") < 3)
-    low = low.withColumn(
-        "_id", F.explode(F.when(F.col("_anon"), F.array(anyone)).otherwise(F.array_compact(F.array(by_call, by_reg))))
-    )
-    low = low.withColumn(
-        "_band",
-        F.explode(
-            F.sequence(F.floor((F.col("_lat") - reach) / band_deg), F.floor((F.col("_lat") + reach) / band_deg))
-        ),
+    low = (
+        facts.filter(F.col("_tier") < 3)
+        .select("*", F.explode(bands).alias("_band"))
+        .select("*", band_reach(F.col("_band")).alias("_width"))
+        .select("*", F.explode(cells).alias("_cell"))
+        .select("*", F.explode(F.concat(levels, F.array(F.lit(_UNKNOWN_BAND)))).alias("_level"))
+        .select("*", F.explode(F.when(F.col("_anon"), F.array(anyone)).otherwise(known)).alias("_id"))
+        .select(*keys, *named("low"))
     )
-    width = band_reach(F.col("_band"))
-    low = low.withColumn("_width", width).withColumn(
-        "_cell",
-        F.explode(
-            F.sequence(
-                lon_cell(F.col("_lon") - F.coalesce("_width", F.lit(0.0)), F.col("_width")),
-                lon_cell(F.col("_lon") + F.coalesce("_width", F.lit(0.0)), F.col("_width")),
-            )
-        ),
+    placed = facts.select("*", F.floor(lat / band_deg).alias("_band")).select(
+        "*",
+        lon_cell(lon, band_reach(F.col("_band"))).alias("_cell"),
+        F.coalesce(alt_band(alt), F.lit(_UNKNOWN_BAND)).alias("_level"),
     )
-    near_alts = F.sequence(alt_band(F.col("_alt") - max_alt_ft), alt_band(F.col("_alt") + max_alt_ft))
-    all_alts = F.sequence(F.lit(_LOWEST_BAND), F.lit(_HIGHEST_BAND))
-    low = low.withColumn(
-        "_level",
-        F.explode(F.concat(F.coalesce(near_alts, all_alts), F.array(F.lit(_UNKNOWN_BAND)))),
-    ).drop("_width")
-
-    high = facts.filter(F.col("_tier") > 0)
-    high = high.withColumn("_band", F.floor(F.col("_lat") / band_deg))
     high = (
-        high.withColumn("_cell", lon_cell(F.col("_lon"), band_reach(F.col("_band"))))
-        .withColumn("_level", F.coalesce(alt_band(F.col("_alt")), F.lit(_UNKNOWN_BAND)))
-        .withColumn("_id", F.explode(F.array_compact(F.array(anyone, by_call, by_reg))))
+        placed.filter(F.col("_tier") > 0)
+        .select("*", F.explode(F.concat(F.array(anyone), known)).alias("_id"))
+        .select(*keys, *named("high"))
     )
-
-    keys = ["_by", "_band", "_cell", "_level", "_id"]
-
-    def named(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(*keys, *[F.col(c).alias(prefix + c) for c in df.columns if c not in keys])
-
-    return named(low, "low"), named(high, "high"), keys
+    return low, high, placed, keys
 
 
 def ghost_edges(
@@ -173,10 +162,10 @@ def ghost_edges(
     poles; beyond 89 degrees a band is one cell. Altitudes outside the numbered levels share the
     end levels. Hot keys are cut into blocks.
     """
-    low, high, keys = _ghost_cells(tracks, max_m, max_alt_ft, by, pos)
-    pairs = split_hot_join(
-        low, high, keys, left_id=F.col("low_pos"), right_id=F.col("high_pos"), hot_rows=hot_rows
-    )
+    low, high, placed, keys = _ghost_cells(tracks, max_m, max_alt_ft, by, pos)
+    cell = ["_by", "_band", "_cell", "_level"]
+    hot = hot_keys(placed.select(*cell), cell, hot_rows)
+    pairs = split_hot_join(low, high, keys, hot=hot, hot_on=cell, left_id="low_pos", right_id="high_pos")
 
     def field(name: str):
         return F.col("low" + name), F.col("high" + name)
