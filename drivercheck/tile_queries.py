@@ -42,7 +42,7 @@ def _summary(shapes):
 
     return shapes.select(
         "feature_id", "layer", F.col("z").cast("int").alias("z"), "x", "y", "run", F.size("points").alias("n"),
-        F.round(total("lon"), 4).alias("lon_sum"), F.round(total("lat"), 4).alias("lat_sum"),
+        F.round(total("lon"), 6).alias("lon_sum"), F.round(total("lat"), 6).alias("lat_sum"),
     )
 
 
@@ -106,7 +106,7 @@ def q_cap_histogram(spark, sf_dir):
 def q_world_overview(spark, sf_dir):
     land, hubs = P.world_overview(_rings(spark, sf_dir).filter(F.col("layer") == "land"), built(spark, sf_dir))
     return _summary(land).select("feature_id", "n", "lon_sum", "lat_sum").unionByName(
-        hubs.select(F.lit(-1).cast("long").alias("feature_id"), F.lit(1).alias("n"), F.round("lon", 4).alias("lon_sum"), F.round("lat", 4).alias("lat_sum"))
+        hubs.select(F.lit(-1).cast("long").alias("feature_id"), F.lit(1).alias("n"), F.round("lon", 6).alias("lon_sum"), F.round("lat", 6).alias("lat_sum"))
     )
 
 
@@ -240,8 +240,8 @@ def _thin_sql(name: str, source: str, least: int) -> str:
            FROM {name}_kept GROUP BY feature_id, layer, z, x, y, run HAVING count(*) >= {least})"""
 
 
-_SUMMARY = "n, round(list_sum(lons), 4)+0e0 AS lon_sum, round(list_sum(lats), 4)+0e0 AS lat_sum"
-_THIN_SUMMARY = "n, round(lon_sum, 4)+0e0 AS lon_sum, round(lat_sum, 4)+0e0 AS lat_sum"
+_SUMMARY = "n, round(list_sum(lons), 6)+0e0 AS lon_sum, round(list_sum(lats), 6)+0e0 AS lat_sum"
+_THIN_SUMMARY = "n, round(lon_sum, 6)+0e0 AS lon_sum, round(lat_sum, 6)+0e0 AS lat_sum"
 
 
 def _rename(sql: str, *names: str) -> str:
@@ -293,7 +293,7 @@ SELECT z, x, y, count(*) AS airports, CAST(sum(tier) AS BIGINT) AS tier_sum, CAS
 {AIRPORT_CTE},
 hubs AS (SELECT * FROM built WHERE tier >= 3 ORDER BY tier DESC, ident LIMIT 150)
 SELECT feature_id, {_THIN_SUMMARY} FROM thinned
-UNION ALL SELECT -1, 1, round(lon, 4)+0e0, round(lat, 4)+0e0 FROM hubs""",
+UNION ALL SELECT -1, 1, round(lon, 6)+0e0, round(lat, 6)+0e0 FROM hubs""",
     "map_layers_for_view": f"""WITH {_lines_sql(_ZOOMS)},
 {_MAP_VIEWS}
 SELECT view_id, feature_id, x, y, run, n FROM shown""",
