@@ -1,0 +1,53 @@
+"""End-to-end pipelines over the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from skylattice import constants as C
+from skylattice.operators import airports as A
+from skylattice.operators import surveillance as S
+from skylattice.operators import tilepyramid as P
+from skylattice.operators import timeline
+from skylattice.operators import weather as W
+from skylattice.sinks import writers
+from skylattice.sources import readers, tile_blobs
+
+
+def radar_labels(raw_tracks: DataFrame, views: DataFrame) -> DataFrame:
+    """Raw feed rows to the labelled tracks of every view (slot, lat, lon, range_idx, outer_km, tag_budget)."""
+    tracks = S.ghost_dedup(S.clean_tracks(raw_tracks))
+    return S.tag_ranking(S.range_class(S.tracks_in_radius(tracks, views)))
+
+
+def weather_board(raw_metar: DataFrame, views: DataFrame, *, k: int = C.NEAREST_STATIONS) -> DataFrame:
+    """Raw reports to the nearest stations of every view, each with its newest report only."""
+    newest = timeline.latest_per_key(W.stations(raw_metar), keys=["icao"], order=["fetched_at"])
+    return W.nearest_k_stations(newest, views, k=k)
+
+
+def bake(
+    spark: SparkSession,
+    *,
+    land: DataFrame,
+    water: DataFrame,
+    rivers: DataFrame,
+    csv_folder: str,
+    out_folder: str,
+    cap: int = C.TILE_CAP_BYTES,
+) -> DataFrame:
+    """Map features and airport CSVs to a tile table, tile files and an airport index; returns the cap actions."""
+    tables = readers.read_airport_csvs(spark, csv_folder)
+    approach = A.approach_idents(tables["runways"], tables["navaids"])
+    airports = A.build_airports(tables["airports"], tables["runways"], approach)
+    land = P.filter_by_area(land)
+    features = (
+        land.unionByName(P.filter_by_area(water)).unionByName(P.rings_to_lines(land)).unionByName(rivers)
+    )
+    shapes, tiles = P.build_tile_pyramid(features, airports, cap=cap)
+    writers.write_tile_table(shapes, f"{out_folder}/shapes")
+    nested = A.nest_runways(airports, A.airport_runways(tables["runways"]))
+    blobs = tile_blobs.encode_tiles(shapes, P.airport_tiles(nested))
+    writers.write_tile_blobs(blobs, out_folder)
+    writers.write_airport_index(A.airport_index(tables["airports"], tables["runways"], tables["navaids"]), f"{out_folder}/index")
+    return P.cap_actions(tiles)
