@@ -43,7 +43,7 @@ def snapshot_rates(
     successes: DataFrame, *, ts: str, width: str = "1 minute", slide: str | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """Successful fetches per time window (tumbling, or sliding with ``slide``)."""
-    window = F.window(F.col(ts).cast("timestamp"), width, slide) if slide else F.window(F.col(ts).cast("timestamp"), width)
+    window = F.window(ts, width, slide) if slide else F.window(ts, width)
     counted = successes.groupBy(*by, window.alias("_w")).agg(F.count(F.lit(1)).alias("fetches"))
     return counted.select(
         *by, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "fetches"
