@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drivercheck.track_queries import r6
-from drivercheck.views import cte, view
+from drivercheck.views import cte, table, view
 from skylattice.operators import airports as A
 
 _VIEW_KM = 1.852
@@ -27,7 +27,7 @@ def _index(spark, sf_dir):
 def _sites(spark, sf_dir):
     """One site per customer, so the work grows with the table."""
     number = F.col("c_custkey")
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+    return table(spark, sf_dir, "customer").select(
         number.alias("site_id"),
         (F.lit(37.7552) + ((number * 7919) % 2001 - 1000) / 700.0).alias("lat"),
         (F.lit(-122.4528) + ((number * 104729) % 1999 - 1000) / 700.0).alias("lon"),
@@ -80,7 +80,7 @@ def q_resolve_points(spark, sf_dir):
         .when(number % 4 == 2, F.lit("zzz"))
         .otherwise(F.lit("K003"))
     )
-    requests = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(number.alias("request_id"), text.alias("text"))
+    requests = table(spark, sf_dir, "supplier").select(number.alias("request_id"), text.alias("text"))
     return A.resolve_points(requests, _index(spark, sf_dir)).select("request_id", r6("lat"), r6("lon"), "label")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from drivercheck.airport_queries import AIRPORT_CTE, built
 from drivercheck.track_queries import r6
-from drivercheck.views import OCTAGON, cte, view
+from drivercheck.views import OCTAGON, cte, table, view
 from skylattice.functions import geo
 from skylattice.operators import tilepyramid as P
 
@@ -113,7 +113,7 @@ def q_world_overview(spark, sf_dir):
 def _map_views(spark, sf_dir):
     """One view per supplier, spread over the map."""
     number = F.col("s_suppkey")
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+    return table(spark, sf_dir, "supplier").select(
         number.alias("view_id"),
         (((number * 7919) % 1301) / 10.0 - 70.0).alias("center_lat"),
         (((number * 104729) % 3301) / 10.0 - 170.0).alias("center_lon"),

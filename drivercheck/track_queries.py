@@ -220,8 +220,8 @@ def q_tiles_covering(spark, sf_dir):
     views = _all_views(spark, sf_dir)
     radius = F.col("outer_km") * 40.0
     return views.select(
-        "slot", "range_idx", F.explode(tilemath.disc_columns(F.lit(7), "lat", "lon", radius)).alias("x"), "lat", radius.alias("km")
-    ).select("slot", "range_idx", "x", F.explode(tilemath.disc_rows(F.lit(7), "lat", "km")).alias("y"))
+        "slot", "range_idx", F.explode(tilemath.disc_columns(7, "lat", "lon", radius)).alias("x"), "lat", radius.alias("km")
+    ).select("slot", "range_idx", "x", F.explode(tilemath.disc_rows(7, "lat", "km")).alias("y"))
 
 
 QUERIES = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drivercheck.track_queries import r6
-from drivercheck.views import cte, view
+from drivercheck.views import cte, table, view
 from skylattice.functions import weather as Wx
 from skylattice.operators import feeds, timeline
 from skylattice.operators import weather as W
@@ -156,7 +156,7 @@ def q_readings_at_current_home(spark, sf_dir):
 
 def _polls(spark, sf_dir):
     """Events as request results: a key, a start order, an outcome."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("request_id"),
         F.col("user_id").alias("device_id"),
         F.col("ts").alias("fetched_at"),
@@ -216,7 +216,7 @@ def q_focus_points(spark, sf_dir):
         .when(number % 5 == 3, "[]")
         .otherwise(F.concat(F.lit('[{"lat":1.5},'), entry, F.lit("]")))
     )
-    configs = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+    configs = table(spark, sf_dir, "customer").select(
         number.alias("device_id"), (number % 50 * 1.0).alias("home_lat"), (number % 90 * 1.0).alias("home_lon"), text.alias("json")
     )
     return feeds.load_focus_points(configs).select("device_id", "slot", "name", r6("lat"), r6("lon"), "range_idx")
@@ -224,7 +224,7 @@ def q_focus_points(spark, sf_dir):
 
 def q_quarantined_requests(spark, sf_dir):
     """View requests outside the limits, from orders: radius and box span derived from the keys."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+    orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("request_id"),
         (F.col("o_orderkey") % 300 - 10.0).alias("radius_nm"),
         (F.col("o_custkey") % 30 * 1.0).alias("lat_span"),

@@ -9,8 +9,18 @@ from skylattice import constants as C
 from skylattice.functions.geo import col
 
 
-def tiles_per_side(z) -> Column:
-    return F.pow(F.lit(2.0), col(z))
+def tiles_per_side(z) -> Column | float:
+    """2^z; a plain number for a plain zoom, which keeps expressions small."""
+    return float(1 << z) if isinstance(z, int) else F.pow(F.lit(2.0), col(z))
+
+
+def _last_index(z) -> Column:
+    return F.lit((1 << z) - 1) if isinstance(z, int) else tiles_per_side(z).cast("long") - 1
+
+
+def _span(degrees: float, z) -> Column | float:
+    n = tiles_per_side(z)
+    return degrees / n if isinstance(z, int) else F.lit(degrees) / n
 
 
 def _clamp(value: Column, low, high) -> Column:
@@ -18,13 +28,11 @@ def _clamp(value: Column, low, high) -> Column:
 
 
 def _column_at(z, lon: Column) -> Column:
-    n = tiles_per_side(z)
-    return _clamp(F.floor((lon + 180.0) / (F.lit(360.0) / n)), F.lit(0), n.cast("long") - 1).cast("int")
+    return _clamp(F.floor((lon + 180.0) / _span(360.0, z)), F.lit(0), _last_index(z)).cast("int")
 
 
 def _row_at(z, lat: Column) -> Column:
-    n = tiles_per_side(z)
-    return _clamp(F.floor((F.lit(90.0) - lat) / (F.lit(180.0) / n)), F.lit(0), n.cast("long") - 1).cast("int")
+    return _clamp(F.floor((F.lit(90.0) - lat) / _span(180.0, z)), F.lit(0), _last_index(z)).cast("int")
 
 
 def tile_x(z, lon) -> Column:
@@ -45,14 +53,14 @@ def tile_bounds(z, x, y) -> Column:
     """struct(min_lat, min_lon, max_lat, max_lon); a key outside the pyramid is an error."""
     n = tiles_per_side(z)
     x, y = col(x), col(y)
-    west = x * (F.lit(360.0) / n) - 180.0
-    north = F.lit(90.0) - y * (F.lit(180.0) / n)
+    west = x * _span(360.0, z) - 180.0
+    north = F.lit(90.0) - y * _span(180.0, z)
     inside = (x >= 0) & (y >= 0) & (x < n) & (y < n) & (col(z) >= 0)
     box = F.struct(
-        (north - F.lit(180.0) / n).alias("min_lat"),
+        (north - _span(180.0, z)).alias("min_lat"),
         west.alias("min_lon"),
         north.alias("max_lat"),
-        (west + F.lit(360.0) / n).alias("max_lon"),
+        (west + _span(360.0, z)).alias("max_lon"),
     )
     return F.when(inside, box).otherwise(
         F.raise_error(F.format_string("tile (%s, %s, %s) is outside the pyramid", col(z), x, y))

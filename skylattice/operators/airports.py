@@ -227,9 +227,9 @@ def nearest_approach_airport(
     own tile is searched (sites in tiles without one are left out).
 
     Otherwise the search is exact over the whole map without meeting every airport. Airports are
-    listed in a grid at every step size. Each site looks up, among the OCCUPIED cells only, the
-    finest step whose 3x3 neighbourhood has an airport; that bounds the distance. It then meets the
-    airports of the cells within that bound, at a step where these are few.
+    listed in a grid at every step size, and the occupied cells mark their 3x3 neighbourhoods. A
+    site's finest marked cell bounds the distance. It then meets the airports of the cells within
+    that bound, at a step where these are few.
     """
     fields = airports.filter("instrument_approach").select(
         F.col("ident").alias("icao"), F.col("lat").alias("icao_lat"), F.col("lon").alias("icao_lon")
@@ -243,7 +243,7 @@ def nearest_approach_airport(
         return chosen.select(*keys, *[F.col("_best")[c].alias(c) for c in ("icao", "icao_lat", "icao_lon", "dist_nm")])
 
     if same_tile_zoom is not None:
-        zoom = F.lit(same_tile_zoom)
+        zoom = same_tile_zoom
         here = sites.withColumns({"_x": tilemath.tile_x(zoom, "lon"), "_y": tilemath.tile_y(zoom, "lat")})
         there = fields.withColumns(
             {"_x": tilemath.tile_x(zoom, "icao_lon"), "_y": tilemath.tile_y(zoom, "icao_lat")}
@@ -262,15 +262,19 @@ def nearest_approach_airport(
     listed = fields.select("*", levels).select(
         "*", F.floor(F.col("icao_lat") / step()).alias("_row"), F.floor(F.col("icao_lon") / step()).alias("_col")
     )
-    occupied = listed.select("_level", "_row", "_col").distinct()
-    around = (
-        sites.select(*keys, levels)
-        .select("*", cells(F.col("lat") - step(), F.col("lat") + step()).alias("_row"))
-        .select("*", cells(F.col("lon") - step(), F.col("lon") + step()).alias("_col"))
+    around = F.sequence(F.lit(-1), F.lit(1))
+    covered = (
+        listed.select("_level", "_row", "_col")
+        .distinct()
+        .select("*", F.explode(around).alias("_up"))
+        .select("*", F.explode(around).alias("_right"))
+        .select("_level", (F.col("_row") + F.col("_up")).alias("_row"), (F.col("_col") + F.col("_right")).alias("_col"))
+        .distinct()
     )
-    finest = around.join(occupied, ["_level", "_row", "_col"], "left_semi").groupBy(*keys).agg(
-        F.min(step()).alias("_step")
+    own = sites.select(*keys, levels).select(
+        "*", F.floor(F.col("lat") / step()).alias("_row"), F.floor(F.col("lon") / step()).alias("_col")
     )
+    finest = own.join(covered, ["_level", "_row", "_col"], "left_semi").groupBy(*keys).agg(F.min(step()).alias("_step"))
     # An airport in the 3x3 cells is at most two steps away along each axis.
     cos_lat = F.greatest(F.cos(F.radians("lat")), F.lit(1.0e-9))
     reach_lat = F.lit(2.0) * F.col("_step") * F.sqrt(1.0 + cos_lat * cos_lat)
@@ -303,10 +307,10 @@ def airports_near(
     airports: DataFrame, views: DataFrame, *, zoom: int = C.RENDER_ZOOM, salts: int = DEFAULT_SALTS
 ) -> DataFrame:
     """Airports within ``radius_km`` of each view (view_id, center_lat, center_lon, radius_km)."""
-    columns = tilemath.disc_columns(F.lit(zoom), "center_lat", "center_lon", "radius_km")
-    rows = tilemath.disc_rows(F.lit(zoom), "center_lat", "radius_km")
+    columns = tilemath.disc_columns(zoom, "center_lat", "center_lon", "radius_km")
+    rows = tilemath.disc_rows(zoom, "center_lat", "radius_km")
     spread = views.select("*", F.explode(columns).alias("_x")).select("*", F.explode(rows).alias("_y"))
-    placed = airports.withColumns({"_x": tilemath.tile_x(F.lit(zoom), "lon"), "_y": tilemath.tile_y(F.lit(zoom), "lat")})
+    placed = airports.withColumns({"_x": tilemath.tile_x(zoom, "lon"), "_y": tilemath.tile_y(zoom, "lat")})
     met = fan_out_join(placed, spread, ["_x", "_y"], spread_by=["ident", "lat", "lon"], salts=salts)
     dist = geo.distance_km("center_lat", "center_lon", "lat", "lon")
     return met.withColumn("dist_km", dist).filter(F.col("dist_km") <= F.col("radius_km")).drop("_x", "_y")

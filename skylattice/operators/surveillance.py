@@ -273,11 +273,11 @@ def tracks_in_radius(
     radius = F.col("outer_km") * scale
     covered = (
         centers.withColumnsRenamed({"lat": "center_lat", "lon": "center_lon"})
-        .withColumn("_x", F.explode(tilemath.disc_columns(F.lit(zoom), "center_lat", "center_lon", radius)))
-        .withColumn("_y", F.explode(tilemath.disc_rows(F.lit(zoom), "center_lat", radius)))
+        .withColumn("_x", F.explode(tilemath.disc_columns(zoom, "center_lat", "center_lon", radius)))
+        .withColumn("_y", F.explode(tilemath.disc_rows(zoom, "center_lat", radius)))
     )
-    placed = tracks.withColumn("_x", tilemath.tile_x(F.lit(zoom), "lon")).withColumn(
-        "_y", tilemath.tile_y(F.lit(zoom), "lat")
+    placed = tracks.withColumn("_x", tilemath.tile_x(zoom, "lon")).withColumn(
+        "_y", tilemath.tile_y(zoom, "lat")
     )
     met = fan_out_join(placed, covered, ["_x", "_y"], spread_by=[SNAPSHOT, POS], salts=salts)
     measured = met.withColumn("_o", geo.offset_km("center_lat", "center_lon", "lat", "lon"))
@@ -351,7 +351,7 @@ def tile_transitions(
 ) -> DataFrame:
     """Rows where an entity enters another tile than its previous row's (its first row included)."""
     placed = points.withColumn("z", F.lit(z).cast("tinyint")).withColumns(
-        {"x": tilemath.tile_x(F.lit(z), "lon"), "y": tilemath.tile_y(F.lit(z), "lat")}
+        {"x": tilemath.tile_x(z, "lon"), "y": tilemath.tile_y(z, "lat")}
     )
     linked = with_previous(
         placed, keys=[key], order=[ts, tie], values=["x", "y"], ts=ts, chunk_seconds=chunk_seconds, name="_prev"

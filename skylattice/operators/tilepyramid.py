@@ -320,8 +320,8 @@ def map_layers_for_view(views: DataFrame, shapes: DataFrame, *, zoom: int = C.RE
 
     The filter on ``z`` prunes partitions of a stored pyramid; tiles that do not exist are just absent.
     """
-    columns = tilemath.disc_columns(F.lit(zoom), "center_lat", "center_lon", "radius_km")
-    rows = tilemath.disc_rows(F.lit(zoom), "center_lat", "radius_km")
+    columns = tilemath.disc_columns(zoom, "center_lat", "center_lon", "radius_km")
+    rows = tilemath.disc_rows(zoom, "center_lat", "radius_km")
     wanted = views.select("*", F.explode(columns).alias("x")).select("*", F.explode(rows).alias("y"))
     return fan_out_join(shapes.filter(F.col("z") == zoom), wanted, ["x", "y"], spread_by=_SHAPE_ID)
 

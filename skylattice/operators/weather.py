@@ -44,14 +44,14 @@ def stations_in_bbox(
     box and meet the stations on the tile.
     """
     boxed = views.withColumn("_box", geo.make_bbox("center_lat", "center_lon", "radius_nm", inflate))
-    columns = tilemath.column_span(F.lit(zoom), F.col("_box.min_lon"), F.col("_box.max_lon"))
-    rows = tilemath.row_span(F.lit(zoom), F.col("_box.min_lat"), F.col("_box.max_lat"))
+    columns = tilemath.column_span(zoom, F.col("_box.min_lon"), F.col("_box.max_lon"))
+    rows = tilemath.row_span(zoom, F.col("_box.min_lat"), F.col("_box.max_lat"))
     spread = boxed.select("*", F.explode(columns).alias("_x")).select("*", F.explode(rows).alias("_y"))
     # No wrap here, as in the box test itself: clamp the column instead.
     placed = stations.select(
         "*",
-        F.element_at(tilemath.column_span(F.lit(zoom), F.col("lon"), F.col("lon")), 1).alias("_x"),
-        F.element_at(tilemath.row_span(F.lit(zoom), F.col("lat"), F.col("lat")), 1).alias("_y"),
+        F.element_at(tilemath.column_span(zoom, F.col("lon"), F.col("lon")), 1).alias("_x"),
+        F.element_at(tilemath.row_span(zoom, F.col("lat"), F.col("lat")), 1).alias("_y"),
     )
     met = fan_out_join(placed, spread, ["_x", "_y"], spread_by=["icao", "lat", "lon"], salts=salts)
     inside = F.col("lat").between(F.col("_box.min_lat"), F.col("_box.max_lat")) & F.col("lon").between(
