@@ -9,6 +9,7 @@ from drivercheck.track_queries import r6
 from drivercheck.views import OCTAGON, cte, table, view
 from skylattice.functions import geo
 from skylattice.operators import tilepyramid as P
+from skylattice.sources import tile_blobs
 
 
 def _rings(spark, sf_dir):
@@ -103,6 +104,25 @@ def q_cap_histogram(spark, sf_dir):
     return P.cap_actions(tiles)
 
 
+def _payloads(spark, sf_dir):
+    """All shapes and airports as tile payloads, the airports without runways."""
+    none = F.array().cast("array<struct<lat1:double,lon1:double,lat2:double,lon2:double>>")
+    bare = built(spark, sf_dir).withColumns({"runway_count": F.lit(0), "runways": none})
+    shapes = P.build_shapes(_features(spark, sf_dir)).withColumn("action", F.lit("ok"))
+    return tile_blobs.encode_tiles(shapes, P.airport_tiles(bare))
+
+
+def q_tile_payloads(spark, sf_dir):
+    return _payloads(spark, sf_dir).select(F.col("z").cast("int").alias("z"), "x", "y", "bytes", "reason")
+
+
+def q_decoded_tiles(spark, sf_dir):
+    """Payloads read back: shapes and points per layer and zoom."""
+    blobs = _payloads(spark, sf_dir).filter(F.col("payload").isNotNull()).withColumn("path", F.lit(""))
+    rows = tile_blobs.decode_tiles(blobs)
+    return rows.groupBy("layer", "z").agg(F.count(F.lit(1)).alias("shapes"), F.sum(F.size("lons")).alias("points"))
+
+
 def q_world_overview(spark, sf_dir):
     land, hubs = P.world_overview(_rings(spark, sf_dir).filter(F.col("layer") == "land"), built(spark, sf_dir))
     return _summary(land).select("feature_id", "n", "lon_sum", "lat_sum").unionByName(
@@ -147,6 +167,8 @@ QUERIES = {
     "airport_tiles": q_airport_tiles,
     "tile_cap_actions": q_tile_cap_actions,
     "cap_histogram": q_cap_histogram,
+    "tile_payloads": q_tile_payloads,
+    "decoded_tiles": q_decoded_tiles,
     "world_overview": q_world_overview,
     "map_layers_for_view": q_map_layers_for_view,
     "segments_in_disc": q_segments_in_disc,
@@ -282,6 +304,17 @@ ORACLES = {
 entries AS (SELECT z, x, y, layer, 18 + 8*n AS b FROM shapes UNION ALL SELECT z, x, y, 'airports', 18 + 16*runway_count FROM placed),
 sections AS (SELECT z, x, y, layer, sum(b) + 14 AS b, count(*) AS n FROM entries GROUP BY 1, 2, 3, 4)
 SELECT z, x, y, CAST(12 + sum(b) AS BIGINT) AS bytes, CAST(sum(n) AS BIGINT) AS items FROM sections GROUP BY 1, 2, 3""",
+    "tile_payloads": f"""WITH RECURSIVE {_both_sql()},
+{AIRPORT_CTE},
+{_PLACED},
+entries AS (SELECT z, x, y, layer, 18 + 8*n AS b FROM shapes UNION ALL SELECT z, x, y, 'airports', 18 FROM placed),
+sections AS (SELECT z, x, y, layer, sum(b) + 14 AS b FROM entries GROUP BY 1, 2, 3, 4)
+SELECT z, x, y, CAST(12 + sum(b) AS INT) AS bytes, CAST(NULL AS VARCHAR) AS reason FROM sections GROUP BY 1, 2, 3""",
+    "decoded_tiles": f"""WITH RECURSIVE {_both_sql()},
+{AIRPORT_CTE},
+{_PLACED},
+entries AS (SELECT z, layer, n FROM shapes UNION ALL SELECT z, 'airports', 1 FROM placed)
+SELECT layer, z, count(*) AS shapes, CAST(sum(n) AS BIGINT) AS points FROM entries GROUP BY 1, 2""",
     "tile_point_counts": f"""WITH RECURSIVE {_both_sql()}
 SELECT z, count(DISTINCT (x, y)) AS tiles, count(*) AS shapes, CAST(sum(n) AS BIGINT) AS points, max(CASE WHEN z = 7 AND x = 20 AND y = 37 THEN 1 ELSE 0 END) AS canary
 FROM shapes GROUP BY 1""",

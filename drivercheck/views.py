@@ -182,11 +182,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, spread over the cores if its files hold fewer splits than there are cores.
 
     The test tables are single files of one row group, so one task would do all per-row work. Tables
-    of many row groups are taken as they are.
+    of many row groups, and the small dimension tables, are taken as they are.
     """
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in ("nation", "region") or rows.rdd.getNumPartitions() >= cores:
+    if name not in ("events", "orders", "customer") or rows.rdd.getNumPartitions() >= cores:
         return rows
     return rows.repartition(cores)
 

@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skylattice import constants as C
-from skylattice.functions.geo import col
+from skylattice.functions.geo import ascii_upper, col
 
 
 def clean_ident(value) -> Column:
-    return F.upper(F.trim(F.coalesce(col(value), F.lit(""))))
+    return ascii_upper(F.trim(F.coalesce(col(value), F.lit(""))))
 
 
 def is_h_designator(value) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def col(value) -> Column:
     return F.lit(value)
 
 
+def ascii_upper(text: Column) -> Column:
+    """Upper case of a-z only: codes and callsigns are ASCII, and full case mapping is far slower per row."""
+    return F.translate(text, string.ascii_lowercase, string.ascii_uppercase)
+
+
 def _length(dx: Column, dy: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skylattice import constants as C
-from skylattice.functions.geo import col
+from skylattice.functions.geo import ascii_upper, col
 
 
 def _first_present(*values, default: float = 0.0) -> Column:
@@ -77,7 +77,8 @@ def source_name(source="type") -> Column:
 
 def normalize_ident(ident) -> Column:
     """Identity key: upper case, one leading '~' ignored; '' never matches anything."""
-    return F.upper(F.trim(F.regexp_replace(F.coalesce(col(ident), F.lit("")), "^~", "")))
+    text = F.coalesce(col(ident), F.lit(""))
+    return ascii_upper(F.trim(F.when(text.startswith("~"), F.substr(text, F.lit(2))).otherwise(text)))
 
 
 def is_on_ground(alt_ft="alt_ft", gs_kt="gs_kt") -> Column:

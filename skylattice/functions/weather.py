@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skylattice import constants as C
-from skylattice.functions.geo import col
+from skylattice.functions.geo import ascii_upper, col
 from skylattice.functions.timecols import seconds
 
 
@@ -26,7 +26,7 @@ def wind_value(value) -> Column:
 
 def ceiling_ft(clouds="clouds") -> Column:
     """Lowest known base among the ceiling-forming layers of array<struct<cover,base>>; NULL if none."""
-    layers = F.filter(col(clouds), lambda layer: F.upper(layer["cover"]).isin(list(C.CEILING_COVERS)))
+    layers = F.filter(col(clouds), lambda layer: ascii_upper(layer["cover"]).isin(list(C.CEILING_COVERS)))
     return F.array_min(F.transform(layers, lambda layer: layer["base"]))
 
 

@@ -128,7 +128,7 @@ def airport_index(airports: DataFrame, runways: DataFrame, navaids: DataFrame) -
         A.airport_tier("type").alias("tier"),
         "scheduled_service",
     ).filter(A.keep_index_airport("tier", "scheduled_service") & (F.length("icao") == 4))
-    rows = rows.dropna(subset=["lat", "lon"]).withColumn("_key", F.upper("icao"))
+    rows = rows.dropna(subset=["lat", "lon"]).withColumn("_key", A.clean_ident("icao"))
     return rows.join(approach, "_key", "left").select(
         "icao", "iata", "city", "name", "lat", "lon", F.coalesce("_iap", F.lit(0)).alias("iap"), "tier"
     )

@@ -1,4 +1,4 @@
-"""End-to-end pipelines over the operators."""
+"""End-to-end jobs over the operators."""
 
 from __future__ import annotations
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skylattice.operators import airports as A
 from skylattice.operators import tilepyramid as P
-from skylattice.plans import pipelines
+from skylattice.plans import jobs
 from skylattice.sinks import writers
 from skylattice.sources import readers, tile_blobs
 
@@ -150,7 +150,7 @@ def test_bake_end_to_end(spark, tmp_path):
     rivers = spark.createDataFrame([(4, "coast", 0, None, [(-122.5, 37.5), (-122.4, 37.6), (-122.3, 37.5)])], schema)
     out = [str(tmp_path / "one"), str(tmp_path / "two")]
     for folder in out:
-        actions = pipelines.bake(spark, land=land, water=water, rivers=rivers, csv_folder=str(tmp_path / "csv"), out_folder=folder)
+        actions = jobs.bake(spark, land=land, water=water, rivers=rivers, csv_folder=str(tmp_path / "csv"), out_folder=folder)
         assert [(r.action, r.tiles) for r in actions.collect()] == [("ok", 3)]
     files = [sorted(p.relative_to(folder) for p in __import__("pathlib").Path(folder).rglob("*.bin")) for folder in out]
     assert [str(f) for f in files[0]] == ["tiles/3/1/2.bin", "tiles/5/5/9.bin", "tiles/7/20/37.bin"] and files[0] == files[1]
