@@ -328,11 +328,9 @@ def runways_in_view(airports: DataFrame, runways: DataFrame, views: DataFrame) -
         geo.offset_x_km("center_lat", "center_lon", "lon2"),
         geo.offset_y_km("center_lat", "lat2"),
     ]
-    cut = drawn.withColumns(dict(zip(("_x0", "_y0", "_x1", "_y1"), ends, strict=True))).withColumn(
-        "_c", geo.clip_segment_to_disc("_x0", "_y0", "_x1", "_y1", "radius_km")
-    )
-    return cut.filter(F.col("_c").isNotNull()).select(
-        "view_id", "ident", "row_no", *[F.col("_c")[c].alias(c) for c in ("x0", "y0", "x1", "y1")]
+    visible = geo.clip_segment_to_disc("_x0", "_y0", "_x1", "_y1", "radius_km")
+    return drawn.withColumns(dict(zip(("_x0", "_y0", "_x1", "_y1"), ends, strict=True))).select(
+        "view_id", "ident", "row_no", F.inline(F.array_compact(F.array(visible)))
     )
 
 

@@ -341,9 +341,8 @@ def segments_in_disc(shapes_in_view: DataFrame) -> DataFrame:
         point = F.col("_s")["p" + end]
         ends["_x" + end] = geo.offset_x_km("center_lat", "center_lon", point["lon"])
         ends["_y" + end] = geo.offset_y_km("center_lat", point["lat"])
-    cut = segments.withColumns(ends).withColumn(
-        "_c", geo.clip_segment_to_disc("_x0", "_y0", "_x1", "_y1", "radius_km")
-    )
-    return cut.filter(F.col("_c").isNotNull()).select(
-        "view_id", "layer", *_SHAPE_ID, "x", "y", "segment", *[F.col("_c")[c].alias(c + "_km") for c in ("x0", "y0", "x1", "y1")]
+    visible = geo.clip_segment_to_disc("_x0", "_y0", "_x1", "_y1", "radius_km")
+    cut = segments.withColumns(ends).select(
+        "view_id", "layer", *_SHAPE_ID, "x", "y", "segment", F.inline(F.array_compact(F.array(visible)))
     )
+    return cut.withColumnsRenamed({c: c + "_km" for c in ("x0", "y0", "x1", "y1")})
