@@ -217,21 +217,20 @@ def ghost_drops(edges: DataFrame, *, by: str = SNAPSHOT, mode: str = "feed_order
     edges = edges.select(by, "low_pos", "high_pos", "low_tier", "high_tier", moment.alias("moment"))
 
     def first_moment(acting: DataFrame) -> DataFrame:
-        return acting.groupBy(by, "low_pos", "low_tier").agg(F.min("moment").alias("moment"))
-
-    gone = first_moment(edges.filter(F.col("high_tier") == 3))
-    for tier in (2, 1):
-        removed = (
-            gone.filter(F.col("low_tier") == tier)
-            .groupBy(by, F.col("low_pos").alias("high_pos"))
-            .agg(F.min("moment").alias("removed_at"))
-        )
-        against = edges.filter(F.col("high_tier") == tier).join(removed, [by, "high_pos"], "left")
+        return acting.groupBy(by, "low_pos", "low_tier").agg(F.min("moment").alias("removed_at"))
+
+    def acting(pairs: DataFrame, removed: DataFrame, tier: int) -> DataFrame:
+        """Pairs whose higher-tier end is still there; ``removed`` tells when tracks of ``tier`` go."""
+        gone = removed.filter(F.col("low_tier") == tier).select(by, F.col("low_pos").alias("high_pos"), "removed_at")
         still_there = F.col("removed_at").isNull()
         if mode == "feed_order":
             still_there = still_there | (F.col("moment") < F.col("removed_at"))
-        gone = gone.unionByName(first_moment(against.filter(still_there)))
-    return gone.select(by, F.col("low_pos"))
+        return pairs.join(gone, [by, "high_pos"], "left").filter(still_there).drop("removed_at")
+
+    by_top = first_moment(edges.filter(F.col("high_tier") == 3))
+    by_upper = first_moment(acting(edges.filter(F.col("high_tier") >= 2), by_top, 2))
+    by_lowest = acting(edges.filter(F.col("high_tier") == 1), by_upper, 1)
+    return by_upper.select(by, "low_pos").unionByName(by_lowest.select(by, "low_pos"))
 
 
 def ghost_dedup(
