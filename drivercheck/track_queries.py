@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drivercheck.views import cte, view
+from drivercheck.views import cte, table, view
 from skylattice.functions import geo, tilemath
 from skylattice.functions import tracks as T
 from skylattice.operators import surveillance as S
@@ -217,11 +217,17 @@ def q_tile_transitions(spark, sf_dir):
 
 
 def q_tiles_covering(spark, sf_dir):
-    views = _all_views(spark, sf_dir)
-    radius = F.col("outer_km") * 40.0
-    return views.select(
-        "slot", "range_idx", F.explode(tilemath.disc_columns(7, "lat", "lon", radius)).alias("x"), "lat", radius.alias("km")
-    ).select("slot", "range_idx", "x", F.explode(tilemath.disc_rows(7, "lat", "km")).alias("y"))
+    """One disc per customer, spread over the map."""
+    number = F.col("c_custkey")
+    discs = table(spark, sf_dir, "customer").select(
+        number.alias("view_id"),
+        (((number * 7919) % 1301) / 10.0 - 70.0).alias("lat"),
+        (((number * 104729) % 3301) / 10.0 - 170.0).alias("lon"),
+        (number % 290 + 10.0).alias("km"),
+    )
+    return discs.select(
+        "view_id", F.explode(tilemath.disc_columns(7, "lat", "lon", "km")).alias("x"), "lat", "km"
+    ).select("view_id", "x", F.explode(tilemath.disc_rows(7, "lat", "km")).alias("y"))
 
 
 QUERIES = {
@@ -294,10 +300,10 @@ FROM tracks CROSS JOIN (VALUES (3),(5),(7)) AS t(z) GROUP BY ALL""",
 placed AS (SELECT *, 7 AS z, CAST(floor((lon + 180e0)/(360e0/128)) AS INT) AS x, CAST(floor((90e0 - lat)/(180e0/128)) AS INT) AS y FROM tracks),
 linked AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM placed WINDOW w AS (PARTITION BY entity_id ORDER BY fetched_at, feed_pos))
 SELECT entity_id, feed_pos, fetched_at, z, x, y FROM linked WHERE px IS NULL OR px <> x OR py <> y""",
-    "tiles_covering": f"""WITH {cte("focus", "ranges")},
-v AS (SELECT slot, r.range_idx, lat, lon, outer_km*40e0 AS km FROM focus f CROSS JOIN ranges r),
+    "tiles_covering": """WITH v AS (
+  SELECT c_custkey AS view_id, (c_custkey*7919) % 1301/10e0 - 70e0 AS lat, (c_custkey*104729) % 3301/10e0 - 170e0 AS lon, c_custkey % 290 + 10e0 AS km FROM customer),
 b AS (SELECT *, km/111e0 AS dlat, km/(111e0*greatest(0.05e0, cos(radians(lat)))) AS dlon FROM v),
 k AS (SELECT *, CAST(floor((lon - dlon + 180e0)/2.8125e0) AS INT) AS x0, CAST(floor((lon + dlon + 180e0)/2.8125e0) AS INT) AS x1,
          CAST(floor((90e0 - lat - dlat)/1.40625e0) AS INT) AS y0, CAST(floor((90e0 - lat + dlat)/1.40625e0) AS INT) AS y1 FROM b)
-SELECT slot, range_idx, unnest(range(x0, x1 + 1)) AS x, y FROM (SELECT *, unnest(range(y0, y1 + 1)) AS y FROM k)""",
+SELECT view_id, unnest(range(x0, x1 + 1)) AS x, y FROM (SELECT *, unnest(range(y0, y1 + 1)) AS y FROM k)""",
 }
