@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import bpe
+from skylattice.llm import bpe, phrases
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -27,5 +27,47 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLES: dict[str, str] = {}
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against all windows of the benchmark."""
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return phrases.contamination(documents, benchmark).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+_OP3_SQL = r"""
+WITH words AS (
+  SELECT doc_id, i AS pos, w[i] AS word
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+       LATERAL unnest(generate_series(1, len(w))) AS u(i)),
+grams AS (SELECT doc_id, pos, len(g) AS n, array_to_string(g, ' ') AS gram
+  FROM (SELECT doc_id, pos, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS g FROM words)),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i+least(len(w), 13)-1], ' ') AS gram
+  FROM items, LATERAL unnest(generate_series(1, greatest(len(w)-12, least(len(w), 1)))) AS u(i)),
+sizes AS (SELECT DISTINCT n FROM windows),
+found AS (
+  SELECT g.doc_id, g.pos, x.item_id, x.n FROM grams g JOIN windows x ON x.n = 13 AND g.n = 13 AND g.gram = x.gram
+  UNION ALL
+  SELECT g.doc_id, g.pos, x.item_id, x.n FROM grams g JOIN sizes s ON s.n < 13 AND g.n >= s.n
+    JOIN windows x ON x.n = s.n AND array_to_string(string_split(g.gram, ' ')[1:s.n], ' ') = x.gram),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(generate_series(pos, pos + n - 1)) AS p FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM found) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n_words FROM words GROUP BY doc_id)
+SELECT d.doc_id, coalesce(c.n_words, 0) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(m.n_items, 0) AS n_items,
+       sha256(coalesce(m.ids, '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= coalesce(c.n_words, 0) AS contaminated
+FROM documents d LEFT JOIN counts c USING (doc_id) LEFT JOIN hits h USING (doc_id) LEFT JOIN named m USING (doc_id)
+"""
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_decontamination": op3_decontamination}
+ORACLES: dict[str, str] = {"op3_decontamination": _OP3_SQL}
