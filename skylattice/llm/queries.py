@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import bpe, phrases
+from skylattice.llm import bpe, neardup, phrases
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -27,6 +27,34 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component of its near copies."""
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
+# Shingle sets, all pairs that share a shingle, links, and the smallest reachable id.
+_OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM words),
+texts AS (SELECT min(doc_id) AS rep, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+flat AS (SELECT rep, len(s) AS n, unnest(s) AS g FROM texts),
+links AS (
+  SELECT x.rep AS a, y.rep AS b FROM flat x JOIN flat y ON x.g = y.g AND x.rep < y.rep
+  GROUP BY x.rep, y.rep, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+arcs AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, seen) AS (SELECT rep, rep FROM texts UNION SELECT r.node, e.b FROM reach r JOIN arcs e ON r.seen = e.a),
+labels AS (SELECT node, min(seen) AS label FROM reach GROUP BY node)
+SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(l.label, d.doc_id) AS component_id,
+       d.doc_id = coalesce(l.label, d.doc_id) AS kept, coalesce(t.rep, d.doc_id) AS class_id
+FROM sets d LEFT JOIN texts t ON list_sort(d.s) = t.s AND len(d.s) > 0 LEFT JOIN labels l ON t.rep = l.node
+"""
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against all windows of the benchmark."""
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -69,5 +97,5 @@ SELECT d.doc_id, coalesce(c.n_words, 0) AS n_words, coalesce(h.n_hit, 0) AS n_hi
 FROM documents d LEFT JOIN counts c USING (doc_id) LEFT JOIN hits h USING (doc_id) LEFT JOIN named m USING (doc_id)
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_decontamination": op3_decontamination}
-ORACLES: dict[str, str] = {"op3_decontamination": _OP3_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination}
+ORACLES: dict[str, str] = {"op2_near_duplicates": _OP2_SQL, "op3_decontamination": _OP3_SQL}
