@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import bpe, neardup, phrases
+from skylattice.llm import bpe, neardup, phrases, quality
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -97,5 +97,14 @@ SELECT d.doc_id, coalesce(c.n_words, 0) AS n_words, coalesce(h.n_hit, 0) AS n_hi
 FROM documents d LEFT JOIN counts c USING (doc_id) LEFT JOIN hits h USING (doc_id) LEFT JOIN named m USING (doc_id)
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    # The text is not needed once it is measured.
+    return quality.judged(documents, only=("doc_id", "lang")).select(
+        "doc_id", *(F.col(f"counts.{c}") for c in quality.COUNTS), "base_failed", "kept", "character_distance", "common_word_distance"
+    )
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op8_quality": op8_quality}
 ORACLES: dict[str, str] = {"op2_near_duplicates": _OP2_SQL, "op3_decontamination": _OP3_SQL}
