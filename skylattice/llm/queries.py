@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import bpe, neardup, phrases, quality
+from skylattice.llm import bpe, linededup, neardup, phrases, quality
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -106,5 +106,30 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op8_quality": op8_quality}
-ORACLES: dict[str, str] = {"op2_near_duplicates": _OP2_SQL, "op3_decontamination": _OP3_SQL}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the chunks that an earlier document has."""
+    return linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_OP10_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+    LATERAL unnest(generate_series(1, len(l))) AS u(i)),
+marks AS (SELECT *, CAST(CAST('0x' || substr(md5(line), 1, 8) AS UBIGINT) AS BIGINT) AS h,
+                 len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50 AS long FROM lines),
+ends AS (SELECT *, coalesce(lead(long) OVER w, true) OR long OR (coalesce(lag(h) OVER w, 0) * 31 + h) % 4294967291 % 2 = 0 AS last
+  FROM marks WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+placed AS (SELECT *, coalesce(sum(last::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM ends),
+chunks AS (SELECT doc_id, place, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) > 1 OR bool_or(long) AS counts
+  FROM placed GROUP BY doc_id, place),
+ranked AS (SELECT *, counts AND row_number() OVER (PARTITION BY chunk, counts ORDER BY doc_id, place) > 1 AS gone FROM chunks),
+texts AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed,
+  coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text FROM ranked GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN t.text END AS text, coalesce(t.n_chunks, 0) AS n_chunks,
+       coalesce(t.n_removed, 0) AS n_removed, length(d.text) - length(t.text) AS removed_chars
+FROM documents d LEFT JOIN texts t USING (doc_id)
+"""
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op8_quality": op8_quality, "op10_line_dedup": op10_line_dedup}
+ORACLES: dict[str, str] = {"op2_near_duplicates": _OP2_SQL, "op3_decontamination": _OP3_SQL, "op10_line_dedup": _OP10_SQL}
