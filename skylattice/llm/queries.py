@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import bpe, linededup, neardup, phrases, quality, urlfilter
+from skylattice.llm import bpe, chat, linededup, neardup, phrases, quality, urlfilter
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -97,6 +97,31 @@ SELECT d.doc_id, coalesce(c.n_words, 0) AS n_words, coalesce(h.n_hit, 0) AS n_hi
 FROM documents d LEFT JOIN counts c USING (doc_id) LEFT JOIN hits h USING (doc_id) LEFT JOIN named m USING (doc_id)
 """
 
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back, and one of nothing but control strings."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)]
+    return chat.digests(turns.unionByName(spark.createDataFrame(extra, turns.schema)))
+
+
+_OP4_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(2 * length(text) - length(translate(text, '<>[\', ''))
+           + CASE role WHEN 'system' THEN 16 WHEN 'user' THEN 15 ELSE 12 END)::BIGINT AS formatted_chars,
+       regexp_full_match(string_agg(role, ',' ORDER BY turn), '(system,)?user(,assistant,user)*(,assistant)?') AS valid
+FROM turns GROUP BY conv_id
+"""
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of every document."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -157,5 +182,5 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN t.text END AS text, coalesce(
 FROM documents d LEFT JOIN texts t USING (doc_id)
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_line_dedup": op10_line_dedup}
-ORACLES: dict[str, str] = {"op2_near_duplicates": _OP2_SQL, "op3_decontamination": _OP3_SQL, "op9_url_filter": _OP9_SQL, "op10_line_dedup": _OP10_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op4_chat": op4_chat, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_line_dedup": op10_line_dedup}
+ORACLES: dict[str, str] = {"op4_chat": _OP4_SQL, "op2_near_duplicates": _OP2_SQL, "op3_decontamination": _OP3_SQL, "op9_url_filter": _OP9_SQL, "op10_line_dedup": _OP10_SQL}
