@@ -170,6 +170,7 @@ class Encoder:
         special = sorted(vocabulary.special, key=len, reverse=True)
         self._cut_special = re.compile("(" + "|".join(map(re.escape, special)) + ")").split if special else None
         self._special = tuple(special)
+        self.limit: int | None = None  # kept units, if other than KEPT_WORDS
         self._forget()
 
     def _forget(self) -> None:
@@ -195,17 +196,20 @@ class Encoder:
                     units.extend(map(self._spaced.__getitem__, parts[1:]))
         return np.array(units, np.int64)
 
-    def _learn(self) -> None:
-        """Encode the units that came up since the last round."""
-        total = len(self._spaced) + len(self._plain)
-        fresh: list[str] = [""] * (total - self._known)
+    def _fresh_units(self) -> list[str]:
+        """The units that came up since the last round, in order of their numbers."""
+        fresh: list[str] = [""] * (len(self._spaced) + len(self._plain) - self._known)
         for table, lead in ((self._spaced, " "), (self._plain, "")):
             for unit, number in reversed(table.items()):
                 if number < self._known:
                     break
                 fresh[number - self._known] = lead + unit
+        return fresh
+
+    def _learn(self) -> None:
+        """Encode the units that came up since the last round."""
+        fresh = self._fresh_units()
         numbers: dict[str, int] = defaultdict(count().__next__)
-        words = np.array([], np.int64)
         flat: list[int] = []
         lengths = np.empty(len(fresh), np.int64)
         for k, unit in enumerate(fresh):
@@ -223,14 +227,16 @@ class Encoder:
             sizes[at] = 1
             offsets = offsets_of(sizes)
         positions, sizes = ragged(offsets, words)
-        ends = offsets_of(sizes)[offsets_of(lengths)]
-        self._ids = np.concatenate([self._ids, ids[positions]])
-        self._offsets = np.concatenate([self._offsets, self._offsets[-1] + ends[1:]])
-        self._known = total
+        self._extend(ids[positions], offsets_of(sizes)[offsets_of(lengths)])
+
+    def _extend(self, ids: np.ndarray, offsets: np.ndarray) -> None:
+        self._ids = np.concatenate([self._ids, ids])
+        self._offsets = np.concatenate([self._offsets, self._offsets[-1] + offsets[1:]])
+        self._known = len(self._offsets) - 1
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and n + 1 offsets."""
-        if self._known > KEPT_WORDS:
+        if self._known > (KEPT_WORDS if self.limit is None else self.limit):
             self._forget()
         rows = [self._units(t) if t else np.zeros(0, np.int64) for t in texts]
         self._learn()

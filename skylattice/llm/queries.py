@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import bpe, chat, linededup, neardup, phrases, quality, urlfilter
+from skylattice.llm import bpe, chat, linededup, neardup, phrases, quality, tokenfile, urlfilter
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -116,12 +116,19 @@ SELECT conv_id, count(*) AS n_turns,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(2 * length(text) - length(translate(text, '<>[\', ''))
-           + CASE role WHEN 'system' THEN 16 WHEN 'user' THEN 15 ELSE 12 END)::BIGINT AS formatted_chars,
+           + CASE role WHEN 'assistant' THEN 12 ELSE 15 END)::BIGINT AS formatted_chars,
        regexp_full_match(string_agg(role, ',' ORDER BY turn), '(system,)?user(,assistant,user)*(,assistant)?') AS valid
 FROM turns GROUP BY conv_id
 """
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to token files and read back from them."""
+    folder = tokenfile.default_folder(spark)
+    tokenfile.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), folder)
+    return tokenfile.read_documents(spark.read.parquet(folder))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of every document."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -182,5 +189,5 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN t.text END AS text, coalesce(
 FROM documents d LEFT JOIN texts t USING (doc_id)
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op4_chat": op4_chat, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op4_chat": op4_chat, "op6_token_files": op6_token_files, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_line_dedup": op10_line_dedup}
 ORACLES: dict[str, str] = {"op4_chat": _OP4_SQL, "op2_near_duplicates": _OP2_SQL, "op3_decontamination": _OP3_SQL, "op9_url_filter": _OP9_SQL, "op10_line_dedup": _OP10_SQL}
