@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import bpe, chat, linededup, neardup, phrases, quality, tokenfile, urlfilter
+from skylattice.llm import bpe, chat, linededup, neardup, phrases, quality, sitetree, tokenfile, urlfilter
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -129,6 +129,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_documents(spark.read.parquet(folder))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return sitetree.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of every document."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -189,5 +194,5 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN t.text END AS text, coalesce(
 FROM documents d LEFT JOIN texts t USING (doc_id)
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op4_chat": op4_chat, "op6_token_files": op6_token_files, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op4_chat": op4_chat, "op6_token_files": op6_token_files, "op7_html_text": op7_html_text, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_line_dedup": op10_line_dedup}
 ORACLES: dict[str, str] = {"op4_chat": _OP4_SQL, "op2_near_duplicates": _OP2_SQL, "op3_decontamination": _OP3_SQL, "op9_url_filter": _OP9_SQL, "op10_line_dedup": _OP10_SQL}
