@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import bpe, chat, linededup, neardup, phrases, quality, sitetree, tokenfile, urlfilter
+from skylattice.llm import bpe, chat, linededup, neardup, phrases, quality, sitetree, tokenfile, toxicity, urlfilter
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -122,6 +122,16 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document, learned from labels outside the held-out fold."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = toxicity.train(documents, table(spark, sf_dir, "labels").filter(~fold))
+    return toxicity.scored(documents, model).select(
+        "doc_id", fold.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written to token files and read back from them."""
     folder = tokenfile.default_folder(spark)
@@ -194,5 +204,5 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN t.text END AS text, coalesce(
 FROM documents d LEFT JOIN texts t USING (doc_id)
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op4_chat": op4_chat, "op6_token_files": op6_token_files, "op7_html_text": op7_html_text, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op4_chat": op4_chat, "op5_toxicity": op5_toxicity, "op6_token_files": op6_token_files, "op7_html_text": op7_html_text, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_line_dedup": op10_line_dedup}
 ORACLES: dict[str, str] = {"op4_chat": _OP4_SQL, "op2_near_duplicates": _OP2_SQL, "op3_decontamination": _OP3_SQL, "op9_url_filter": _OP9_SQL, "op10_line_dedup": _OP10_SQL}
