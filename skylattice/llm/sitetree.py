@@ -10,7 +10,8 @@ like, by tag, role or a class word) is cut first, for a host with few pages show
 that would lose all its blocks keeps them.
 
 The merge is a sum over (host, path, form): no page list of a host is ever gathered. Pages meet the
-cut branches of their host by a join in which the pages of a host are dealt over ``SALTS`` parts.
+cut branches of their host by broadcast if these are few bytes in all, counted first, else by a join in
+which the pages of a host are dealt over ``SALTS`` parts.
 
 Null html gives an empty text; a page without an article takes its whole body less the noise; null
 urls form one host. Unclosed, crossed and unknown tags never fail. Repeated rows stay rows.
@@ -32,6 +33,8 @@ from skylattice.session import materialize, ship_package
 #: Importance below which a node of a style tree is noise, and the least pages of a host that can say so.
 LEAST_IMPORTANCE, LEAST_PAGES = 0.3, 8
 SALTS = 16
+#: Size of all cut branches up to which they are broadcast; larger ones meet their pages in a salted join.
+BROADCAST_BYTES = 8 << 20
 
 # How HTML elements behave.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -257,10 +260,14 @@ def extracted(pages: DataFrame, *, url: str = "url", html: str = "html", text: s
     if clash := {text, "n_chars", "_host", "_blocks", "_nodes"} & (set(pages.columns) - {html}):
         raise ValueError(f"columns {sorted(clash)} are there already")
     read = materialize(parsed(pages, url=url, html=html))
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    noise = noise_branches(style_tree(read)).select(F.col("host").alias("_host"), "noise", salt.alias("_salt"))
-    dealt = read.drop("_nodes").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    joined = dealt.join(noise, ["_host", "_salt"], "left")
+    noise = materialize(noise_branches(style_tree(read)).withColumnRenamed("host", "_host"))
+    size = noise.agg(F.sum(F.octet_length("_host") + F.octet_length(F.array_join("noise", " ")))).head()[0] or 0
+    if size <= BROADCAST_BYTES:
+        joined = read.drop("_nodes").join(F.broadcast(noise), "_host", "left")
+    else:
+        salted = noise.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = read.drop("_nodes").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, ["_host", "_salt"], "left")
     noise_paths = F.coalesce("noise", F.array().cast("array<string>"))
     left = joined.withColumn("_left", F.filter("_blocks", lambda b: ~F.array_contains(noise_paths, b["path"])))
     # Where all of a page were noise, its host's pages are copies of each other: they stay as they are.

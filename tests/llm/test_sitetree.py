@@ -50,7 +50,9 @@ def page(k, unmarked="Welcome to the site"):
     return f"<body><div class=top>{unmarked}</div><div class=story><p>Story {k} begins.<p>It ends {k}.</div><div class=low>All rights</div></body>"
 
 
-def test_branches_that_repeat_on_a_host_are_cut(spark):
+@pytest.mark.parametrize("limit", [8 << 20, 0])
+def test_branches_that_repeat_on_a_host_are_cut(spark, monkeypatch, limit):
+    monkeypatch.setattr(sitetree, "BROADCAST_BYTES", limit)
     pages = [(k, "http://A.example/x", page(k)) for k in range(20)] + [(100 + k, f"http://h{k}.example/", page(k)) for k in range(5)]
     got = texts(spark, pages)
     assert got[3] == "Story 3 begins.\nIt ends 3."
