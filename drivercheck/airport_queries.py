@@ -63,7 +63,7 @@ def q_airport_index(spark, sf_dir):
 
 
 def q_top_hubs(spark, sf_dir):
-    return A.top_hubs(built(spark, sf_dir), n=10).select("ident", "tier", r6("lat"), r6("lon"))
+    return A.top_hubs(built(spark, sf_dir)).select("ident", "tier", r6("lat"), r6("lon"))
 
 
 def q_airport_search(spark, sf_dir):
@@ -231,7 +231,7 @@ FROM strips WHERE closed <> '1'""",
     "airport_index": f"""WITH {AIRPORT_CTE}
 SELECT icao, iata, city, name, round(lat, 6)+0e0 AS lat, round(lon, 6)+0e0 AS lon, iap FROM idx""",
     "top_hubs": f"""WITH {AIRPORT_CTE}
-SELECT ident, tier, round(lat, 6)+0e0 AS lat, round(lon, 6)+0e0 AS lon FROM built WHERE tier >= 3 ORDER BY tier DESC, ident LIMIT 10""",
+SELECT ident, tier, round(lat, 6)+0e0 AS lat, round(lon, 6)+0e0 AS lon FROM built WHERE tier >= 3 ORDER BY tier DESC, ident LIMIT 150""",
     "airport_search": f"""WITH {AIRPORT_CTE}, asked AS (SELECT * FROM search_queries){_SCORED}
 SELECT query_id, rank, score, icao, name FROM hits WHERE rank <= 8""",
     "resolve_points": f"""WITH {AIRPORT_CTE},

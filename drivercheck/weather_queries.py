@@ -303,7 +303,7 @@ SELECT device_id, request_id, round(payload, 6)+0e0 AS payload FROM (
   SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY request_id DESC) AS rn FROM polls) WHERE rn = 1 AND ok""",
     "keep_last_good": f"WITH {_POLLS} SELECT device_id, max(request_id) AS request_id, count(*) AS fetch_count FROM polls WHERE ok GROUP BY 1",
     "track_sessions": f"""WITH {cte("raw_tracks")},
-g AS (SELECT entity_id, fetched_at, CASE WHEN fetched_at - lag(fetched_at) OVER w <= INTERVAL 3600 SECOND THEN 0 ELSE 1 END AS opens
+g AS (SELECT entity_id, fetched_at, CASE WHEN fetched_at - lag(fetched_at) OVER w < INTERVAL 3600 SECOND THEN 0 ELSE 1 END AS opens
       FROM raw_tracks WINDOW w AS (PARTITION BY entity_id ORDER BY fetched_at)),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY entity_id ORDER BY fetched_at ROWS UNBOUNDED PRECEDING) AS no FROM g)
 SELECT entity_id, min(fetched_at) AS session_start, max(fetched_at) AS session_end, count(*) AS sightings FROM s GROUP BY entity_id, no""",

@@ -41,7 +41,7 @@ def altitude_ft(alt_baro="alt_baro", alt_geom="alt_geom") -> Column:
 
 
 def squawk_code(squawk="squawk") -> Column:
-    return F.coalesce(F.regexp_extract(col(squawk), r"^\s*(\d{1,9})", 1).try_cast("int"), F.lit(0))
+    return F.coalesce(F.regexp_extract(col(squawk), r"^\s*(\d+)", 1).try_cast("int"), F.lit(0))
 
 
 def _text(value) -> Column:

@@ -11,17 +11,27 @@ from skylattice.functions.timecols import seconds
 
 
 def parse_visibility(visib="visib") -> Column:
-    """Whole statute miles 0..10: numbers rounded half up, text by its leading integer, else 10."""
+    """Whole statute miles 0..10 by the text's leading integer, else 10.
+
+    JSON numbers are rounded when they are read (:func:`rounded_number`); text is not.
+    """
     text = F.trim(col(visib).cast("string"))
-    number = F.when(text.rlike(r"^[+-]?[0-9.]+$"), F.floor(text.try_cast("double") + 0.5))
-    leading = F.regexp_extract(text, r"^([+-]?\d{1,9})", 1).try_cast("int")
-    parsed = F.coalesce(number, leading, F.lit(C.MAX_VISIBILITY_SM))
+    leading = F.regexp_extract(text, r"^([+-]?\d+)", 1).try_cast("decimal(38,0)")
+    whole = F.least(F.greatest(leading, F.lit(0)), F.lit(C.MAX_VISIBILITY_SM)).cast("int")
+    parsed = F.coalesce(whole, F.lit(C.MAX_VISIBILITY_SM))
     return F.least(F.greatest(parsed, F.lit(0)), F.lit(C.MAX_VISIBILITY_SM)).cast("int")
 
 
+def rounded_number(token: Column) -> Column:
+    """A JSON value as text: an unquoted number rounded half up, anything else without its quotes."""
+    quoted = token.rlike(r'^\s*"')
+    number = F.floor(token.try_cast("double") + 0.5).cast("string")
+    return F.when(quoted, F.regexp_extract(token, r'(?s)^\s*"(.*)"\s*$', 1)).otherwise(F.coalesce(number, token))
+
+
 def wind_value(value) -> Column:
     """Integer winds only; 'VRB', fractions and absent values are 0."""
-    return F.coalesce(F.regexp_extract(col(value).cast("string"), r"^\s*(-?\d{1,9})\s*$", 1).try_cast("int"), F.lit(0))
+    return F.coalesce(F.regexp_extract(col(value).cast("string"), r"^\s*(-?\d+)\s*$", 1).try_cast("int"), F.lit(0))
 
 
 def ceiling_ft(clouds="clouds") -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skylattice import constants as C
 from skylattice.functions import geo
+from skylattice.sources import readers
 
 
 def union_feed_failover(feeds: Sequence[DataFrame], *, request_key: str, ok: str = "ok") -> DataFrame:
@@ -87,6 +88,7 @@ def split_valid(df: DataFrame, valid: Column, reason: str) -> tuple[DataFrame, D
 
 # --- focus lists ----------------------------------------------------------------------------
 
+_FOCUS_ENTRY = "name string, lat double, lon double, range_idx int"
 _FOCUS_SCHEMA = "array<struct<name:string,lat:double,lon:double,range_idx:int>>"
 
 
@@ -99,10 +101,11 @@ def load_focus_points(configs: DataFrame) -> DataFrame:
     """Device configurations (device_id, home_lat, home_lon, json) to focus points.
 
     Slot 0 is the device's home. The JSON list gives up to six more; entries with unusable
-    coordinates are skipped, and without any usable entry the two default points are taken. All of
+    coordinates or that are no objects are skipped; without a list, or without any usable entry the two default points are taken. All of
     it happens inside the row, so a device never needs a shuffle.
     """
-    entries = F.from_json("json", _FOCUS_SCHEMA)
+    elements = F.filter(readers.json_list(F.col("json")), readers.is_object)
+    entries = F.transform(elements, lambda e: F.from_json(e, _FOCUS_ENTRY))
     usable = F.filter(entries, lambda e: geo.valid_lat_lon(e["lat"], e["lon"]))
     named = F.transform(
         F.slice(usable, 1, C.MAX_FOCUS_POINTS),

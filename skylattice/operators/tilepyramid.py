@@ -17,7 +17,7 @@ from skylattice.functions import geo, tilemath
 from skylattice.operators import geometry_kernels as K
 from skylattice.operators.airports import top_hubs
 from skylattice.operators.skew import fan_out_join
-from skylattice.session import materialize
+from skylattice.session import materialize, ship_package
 
 TILE = ["z", "x", "y"]
 _SHAPE_ID = ["feature_id", "part", "run"]
@@ -57,6 +57,7 @@ def clip_polylines(
     lines: DataFrame, *, zooms: Mapping[int, float] = C.ZOOM_TOLERANCES, simplified: bool = False
 ) -> DataFrame:
     """Lines to their inside runs per tile, two or more vertices each, optionally simplified. No shuffle."""
+    ship_package(lines.sparkSession)
     return _geometry(lines).mapInArrow(K.cutter(K.cut_lines, dict(zooms), 2, simplified), K.SHAPE_SCHEMA)
 
 
@@ -64,11 +65,13 @@ def clip_polygons(
     rings: DataFrame, *, zooms: Mapping[int, float] = C.ZOOM_TOLERANCES, simplified: bool = False
 ) -> DataFrame:
     """Rings cut to the tiles they touch, three or more vertices each, optionally simplified. No shuffle."""
+    ship_package(rings.sparkSession)
     return _geometry(rings).mapInArrow(K.cutter(K.cut_rings, dict(zooms), 3, simplified), K.SHAPE_SCHEMA)
 
 
 def simplify(shapes: DataFrame, *, zooms: Mapping[int, float] = C.ZOOM_TOLERANCES) -> DataFrame:
     """Douglas-Peucker at the zoom's tolerance; shapes that collapse go."""
+    ship_package(shapes.sparkSession)
     return shapes.mapInArrow(K.simplifier(dict(zooms)), K.SHAPE_SCHEMA)
 
 

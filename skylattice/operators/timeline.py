@@ -110,7 +110,7 @@ def track_sessions(
     gap_seconds: int = C.SESSION_GAP_SECONDS,
     chunk_seconds: int = 86_400,
 ) -> DataFrame:
-    """Sessions per key that end after ``gap_seconds`` unseen: session_start, session_end, sightings.
+    """Sessions per key that end once it is ``gap_seconds`` unseen: session_start, session_end, sightings.
 
     All rows within one gap-wide slot are less than a gap apart, so slots are pre-aggregated first;
     what is left per key is bounded by the time covered, not by the number of rows.
@@ -123,7 +123,7 @@ def track_sessions(
         slots, keys=keys, order=["_first"], values=["_last"], ts="_first", chunk_seconds=chunk_seconds, name="_prev"
     )
     silent = micros("_first") - micros(F.col("_prev")["_last"])
-    opens = F.coalesce(silent > gap_seconds * 1_000_000, F.lit(True))
+    opens = F.coalesce(silent >= gap_seconds * 1_000_000, F.lit(True))
     started = with_last_known(
         linked.withColumn("_opens", opens),
         keys=keys,

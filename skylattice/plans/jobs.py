@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skylattice import constants as C
 from skylattice.operators import airports as A
@@ -11,13 +12,15 @@ from skylattice.operators import tilepyramid as P
 from skylattice.operators import timeline
 from skylattice.operators import weather as W
 from skylattice.sinks import writers
+from skylattice.session import materialize
 from skylattice.sources import readers, tile_blobs
 
 
 def radar_labels(raw_tracks: DataFrame, views: DataFrame) -> DataFrame:
     """Raw feed rows to the labelled tracks of every view (slot, lat, lon, range_idx, outer_km, tag_budget)."""
     tracks = S.ghost_dedup(S.clean_tracks(raw_tracks))
-    return S.tag_ranking(S.range_class(S.tracks_in_radius(tracks, views)))
+    largest = views.agg(F.max("tag_budget")).head()[0] or 0
+    return S.tag_ranking(S.range_class(S.tracks_in_radius(tracks, views)), max_budget=int(largest))
 
 
 def weather_board(raw_metar: DataFrame, views: DataFrame, *, k: int = C.NEAREST_STATIONS) -> DataFrame:
@@ -36,7 +39,10 @@ def bake(
     out_folder: str,
     cap: int = C.TILE_CAP_BYTES,
 ) -> DataFrame:
-    """Map features and airport CSVs to a tile table, tile files and an airport index; returns the cap actions."""
+    """Map features and airport CSVs to a tile table, tile files and an airport index; returns the cap actions.
+
+    Tiles that the binary format cannot hold are listed with their reason under ``rejected``.
+    """
     tables = readers.read_airport_csvs(spark, csv_folder)
     approach = A.approach_idents(tables["runways"], tables["navaids"])
     airports = A.build_airports(tables["airports"], tables["runways"], approach)
@@ -47,7 +53,8 @@ def bake(
     shapes, tiles = P.build_tile_pyramid(features, airports, cap=cap)
     writers.write_tile_table(shapes, f"{out_folder}/shapes")
     nested = A.nest_runways(airports, A.airport_runways(tables["runways"]))
-    blobs = tile_blobs.encode_tiles(shapes, P.airport_tiles(nested))
+    blobs = materialize(tile_blobs.encode_tiles(shapes, P.airport_tiles(nested)))
     writers.write_tile_blobs(blobs, out_folder)
+    writers.write_quarantine(blobs.filter(F.col("reason").isNotNull()).drop("payload", "bytes"), f"{out_folder}/rejected")
     writers.write_airport_index(A.airport_index(tables["airports"], tables["runways"], tables["navaids"]), f"{out_folder}/index")
     return P.cap_actions(tiles)

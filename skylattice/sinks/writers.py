@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skylattice.operators.airports import airport_order
 from skylattice.operators.tilepyramid import TILE
+from skylattice.session import ship_package
 
 
 def write_tile_table(shapes: DataFrame, folder: str, *, mode: str = "overwrite") -> None:
@@ -59,6 +60,7 @@ def write_tile_blobs(blobs: DataFrame, folder: str) -> DataFrame:
             yield pd.DataFrame(list(write(frame.itertuples(index=False))), columns=["z", "bytes"])
 
     wanted = blobs.filter(F.col("payload").isNotNull()).select(F.col("z").cast("int").alias("z"), "x", "y", "payload")
+    ship_package(blobs.sparkSession)
     written = wanted.mapInPandas(batches, "z int, bytes long")
     counts = written.groupBy("z").agg(F.count(F.lit(1)).alias("tiles"), F.sum("bytes").alias("bytes"))
     return blobs.sparkSession.createDataFrame(counts.collect(), counts.schema)  # one row per zoom

@@ -12,11 +12,8 @@ TRACK_FIELDS = (
     "alt_geom double, gs double, tas double, ias double, track double, true_heading double, mag_heading double, "
     "dir double, baro_rate double, geom_rate double, squawk string"
 )
-_SNAPSHOT = f"ac array<struct<{TRACK_FIELDS.replace(' ', ':').replace(',:', ',')}>>"
-SNAPSHOT_SCHEMA = f"struct<{_SNAPSHOT.replace('ac ', 'ac:', 1)},{_SNAPSHOT.replace('ac ', 'aircraft:', 1)}>"
-METAR_SCHEMA = (
-    "array<struct<icaoId:string,lat:double,lon:double,visib:string,wdir:string,wspd:string,"
-    "clouds:array<struct<cover:string,base:double>>>>"
+METAR_FIELDS = (
+    "icaoId string, lat double, lon double, visib string, wdir string, wspd string, clouds array<struct<cover:string,base:double>>"
 )
 READING_SCHEMA = (
     "struct<current:struct<temperature_2m:double,wind_speed_10m:double,wind_direction_10m:double,pressure_msl:double>,"
@@ -35,18 +32,26 @@ def read_documents(spark: SparkSession, path: str, *, streaming: bool = False) -
     )
 
 
+def json_list(text: Column) -> Column:
+    """The elements of a JSON array as texts; NULL for any other root. One bad element spoils no other."""
+    return F.when(text.rlike(r"^\s*\["), F.from_json(text, "array<string>"))
+
+
+def is_object(text: Column) -> Column:
+    return text.rlike(r"^\s*\{")
+
+
 def parse_snapshots(documents: DataFrame, *, body: str = "body") -> DataFrame:
     """Track documents to raw tracks with their feed position.
 
-    The list is under ``ac``, else ``aircraft``. Bad JSON and missing lists give no rows; a field of
-    the wrong type counts as absent.
+    The list is under ``ac``, else ``aircraft``. Bad JSON and missing lists give no rows, an element
+    that is no object gives none either, and a field of the wrong type counts as absent.
     """
-    parsed = documents.withColumn("_d", F.from_json(body, SNAPSHOT_SCHEMA))
-    listed = parsed.select(
-        *[c for c in documents.columns if c != body],
-        F.posexplode(F.coalesce("_d.ac", "_d.aircraft")).alias("feed_pos", "_t"),
-    )
-    return listed.select(*[c for c in listed.columns if c != "_t"], "_t.*")
+    others = [c for c in documents.columns if c != body]
+    lists = F.from_json(body, "struct<ac:string,aircraft:string>")
+    parsed = documents.select(*others, lists.alias("_d")).select(*others, F.coalesce(json_list(F.col("_d.ac")), json_list(F.col("_d.aircraft"))).alias("_l"))
+    listed = parsed.select(*others, F.posexplode("_l").alias("feed_pos", "_t")).filter(is_object(F.col("_t")))
+    return listed.select(*others, "feed_pos", F.from_json("_t", TRACK_FIELDS).alias("_t")).select(*others, "feed_pos", "_t.*")
 
 
 def read_track_snapshots(spark: SparkSession, path: str, *, streaming: bool = False) -> DataFrame:
@@ -56,13 +61,18 @@ def read_track_snapshots(spark: SparkSession, path: str, *, streaming: bool = Fa
 
 
 def parse_metar(documents: DataFrame, *, body: str = "body") -> DataFrame:
+    """Station reports: the root must be an array, and elements that are no objects are skipped."""
     others = [c for c in documents.columns if c != body]
-    rows = documents.select(*others, F.explode(F.from_json(body, METAR_SCHEMA)).alias("_m"))
-    return rows.select(*others, "_m.*")
+    rows = documents.select(*others, F.explode(json_list(F.col(body))).alias("_m")).filter(is_object(F.col("_m")))
+    token = F.regexp_extract("_m", r'"visib"\s*:\s*("(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*)', 1)
+    read = rows.select(*others, F.from_json("_m", METAR_FIELDS).alias("_r"), token.alias("_v"))
+    visib = F.when(F.length("_v") > 0, Wx.rounded_number(F.col("_v"))).otherwise(F.col("_r.visib"))
+    fields = [visib.alias("visib") if c.split()[0] == "visib" else F.col(f"_r.{c.split()[0]}") for c in METAR_FIELDS.split(", ")]
+    return read.select(*others, *fields)
 
 
 def read_metar(spark: SparkSession, path: str, *, streaming: bool = False) -> DataFrame:
-    """JSON arrays of station reports; ``visib`` may be a number or text and is kept as text."""
+    """JSON arrays of station reports; ``visib`` is kept as text, a JSON number rounded half up."""
     return parse_metar(read_documents(spark, path, streaming=streaming).drop("document_id"))
 
 

@@ -20,8 +20,10 @@ from skylattice.functions import airports as A
 from skylattice.functions import tilemath
 from skylattice.operators.geometry_kernels import Rings
 from skylattice.operators.tilepyramid import TILE
+from skylattice.session import ship_package
 
 MAX_ITEMS = 0xFFFF
+IDENT_CHARS = 8
 
 
 def little_endian(value: Column, width: int) -> Column:
@@ -83,9 +85,11 @@ def _airport_payload() -> Column:
 def encode_tiles(capped: DataFrame, placed_airports: DataFrame) -> DataFrame:
     """Capped shapes and airports (with ``runways``) to z, x, y, payload, bytes, reason.
 
-    The format counts items of a section in two bytes. A tile beyond that has no payload but a
+    The format counts the items of a section, the points of a shape and the tile's place in two
+    bytes each, and holds idents of eight characters. A tile beyond any of that has no payload but a
     ``reason``; its rows are counted, never gathered, so no task receives more than the format holds.
     """
+    ship_package(capped.sparkSession)
     order = F.when(F.col("action") == "drop", F.size("points")).otherwise(0)
     rows = capped.select(*TILE, "layer", order.alias("o1"), F.col("feature_id").alias("o2"), "part", "run", "points")
     shapes = rows.mapInArrow(
@@ -102,9 +106,20 @@ def encode_tiles(capped: DataFrame, placed_airports: DataFrame) -> DataFrame:
     )
     items = shapes.unionByName(airports)
     counts = items.groupBy(*TILE, "layer").agg(F.count(F.lit(1)).alias("n"))
-    too_many = counts.filter(F.col("n") > MAX_ITEMS).select(*TILE).distinct()
+
+    def because(rows: DataFrame, condition: Column, reason: str) -> DataFrame:
+        return rows.filter(condition).select(*TILE, F.lit(reason).alias("reason"))
+
+    far = (F.col("x") > MAX_ITEMS) | (F.col("y") > MAX_ITEMS)
+    unfit = (
+        because(counts, F.col("n") > MAX_ITEMS, "more items in a section than the format counts")
+        .unionByName(because(counts, far, "tile beyond the places the format counts"))
+        .unionByName(because(capped, F.size("points") > MAX_ITEMS, "more points in a shape than the format counts"))
+        .unionByName(because(placed_airports, F.length("ident") > IDENT_CHARS, "ident longer than the format holds"))
+    )
+    refused = unfit.groupBy(*TILE).agg(F.min("reason").alias("reason"))
     sections = (
-        items.join(too_many, TILE, "left_anti")
+        items.join(refused, TILE, "left_anti")
         .groupBy(*TILE, "layer")
         .agg(F.sort_array(F.collect_list("item")).alias("items"))
         .select(
@@ -132,10 +147,9 @@ def encode_tiles(capped: DataFrame, placed_airports: DataFrame) -> DataFrame:
     encoded = tiles.select(*TILE, payload.alias("payload")).select(
         *TILE, "payload", F.length("payload").alias("bytes"), F.lit(None).cast("string").alias("reason")
     )
-    rejected = too_many.select(
-        *TILE, F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("int").alias("bytes"),
-        F.lit("more items in a section than the format counts").alias("reason"),
-    )
+    rejected = refused.select(
+        *TILE, F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("int").alias("bytes"), "reason"
+    )
     return encoded.unionByName(rejected)
 
 
@@ -205,6 +219,7 @@ def decode_tiles(blobs: DataFrame) -> DataFrame:
     Airports carry their own position first, then two points per runway, in ``lons``/``lats``.
     Unknown section kinds are skipped.
     """
+    ship_package(blobs.sparkSession)
     return blobs.select("path", "payload").mapInPandas(_decode, _DECODED)
 
 

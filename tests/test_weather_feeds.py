@@ -31,7 +31,7 @@ def test_category_boundaries(spark):
 
 def test_visibility(spark):
     values = ["10+", "15", "-3", "2 1/2", "2.5", "10SM", None, "abc", "NaN"]
-    assert rows_of(spark, Wx.parse_visibility("v"), values, "string") == [10, 10, 0, 2, 3, 10, 10, 10, 10]
+    assert rows_of(spark, Wx.parse_visibility("v"), values, "string") == [10, 10, 0, 2, 2, 10, 10, 10, 10]
 
 
 def test_reports(spark):
