@@ -17,8 +17,7 @@ def parse_visibility(visib="visib") -> Column:
     """
     text = F.trim(col(visib).cast("string"))
     leading = F.regexp_extract(text, r"^([+-]?\d+)", 1).try_cast("decimal(38,0)")
-    whole = F.least(F.greatest(leading, F.lit(0)), F.lit(C.MAX_VISIBILITY_SM)).cast("int")
-    parsed = F.coalesce(whole, F.lit(C.MAX_VISIBILITY_SM))
+    parsed = F.coalesce(leading, F.lit(C.MAX_VISIBILITY_SM))
     return F.least(F.greatest(parsed, F.lit(0)), F.lit(C.MAX_VISIBILITY_SM)).cast("int")
 
 
