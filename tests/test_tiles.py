@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 from collections import defaultdict
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,20 +228,21 @@ def recoarsened(tile, tol):
     return out
 
 
-def capped(tile, z, fixed, cap):
-    if size_of(tile, fixed) <= cap:
-        return tile, "ok"
-    tol = ZOOMS[z] * 2
-    while tol <= 0.05:
-        tile = recoarsened(tile, tol)
-        if size_of(tile, fixed) <= cap:
-            return tile, f"simplify:{tol:.5f}"
-        tol *= 2
-    tile = {layer: sorted(shapes, key=len) for layer, shapes in tile.items()}
-    for layer in ("water", "coast", "land"):
-        while tile.get(layer) and size_of(tile, fixed) > cap:
-            tile[layer].pop(0)
-    return tile, "drop" if size_of(tile, fixed) <= cap else "oversized"
+def ladder(tile, z):
+    """The tile as it is and at every coarser tolerance, each made from the one before."""
+    steps = [t for k in range(1, 40) if (t := ZOOMS[z] * 2**k) <= 0.05]
+    return list(zip([None, *steps], accumulate(steps, recoarsened, initial=tile), strict=True))
+
+
+def by_layer(shapes):
+    out = defaultdict(list)
+    for layer, shape in shapes:
+        out[layer].append(shape)
+    return out
+
+
+def same(a, b):
+    return all(sorted(a.get(layer, [])) == sorted(b.get(layer, [])) for layer in ("coast", "land", "water"))
 
 
 def busy_map():
@@ -257,7 +259,7 @@ def busy_map():
 
 
 @pytest.mark.parametrize("cap", [600, 1500, 9000])
-def test_capping_equals_brute_force(spark, cap):
+def test_capping_properties(spark, cap):
     df = features(spark, *busy_map())
     placed = P.airport_tiles(airports(spark, ("KAAA", 37.1, -122.1, 2), ("KBBB", 50.0, 10.2, 60), ("KCCC", -50.0, -50.0, 0)))
     shapes = P.build_shapes(df)
@@ -267,21 +269,33 @@ def test_capping_equals_brute_force(spark, cap):
     fixed = defaultdict(int)
     for r in placed.collect():
         fixed[(r.z, r.x, r.y)] += 18 + 16 * r.runway_count + (0 if fixed[(r.z, r.x, r.y)] else 14)
-    want = {k: capped(tiles[k], k[0], fixed[k], cap) for k in {*tiles, *fixed}}
-
     stays, actions = P.cap_tile_size(shapes, placed, cap=cap)
     rows = {(r.z, r.x, r.y): (r.action, r.bytes) for r in actions.collect()}
-    assert {k: v[0] for k, v in rows.items()} == {k: v[1] for k, v in want.items()}
-    assert {k: v[1] for k, v in rows.items()} == {k: size_of(v[0], fixed[k]) for k, v in want.items()}
+    assert set(rows) == {*tiles, *fixed}
     got = defaultdict(lambda: defaultdict(list))
     for r in stays.collect():
         got[(r.z, r.x, r.y)][r.layer].append([(p.lon, p.lat) for p in r.points])
-    for key, (tile, _) in want.items():
-        for layer in ("coast", "land", "water"):
-            assert sorted(got[key][layer]) == sorted(tile.get(layer, [])), (key, layer)
+    for key, (action, size) in rows.items():
+        rungs = ladder(tiles[key], key[0])
+        fitting = [(tol, tile) for tol, tile in rungs if size_of(tile, fixed[key]) <= cap]
+        assert size == size_of(got[key], fixed[key])
+        if fitting:  # the least tolerance that fits, and nothing else changed
+            tol, tile = fitting[0]
+            assert action == ("ok" if tol is None else f"simplify:{tol:.5f}")
+            assert same(got[key], tile)
+            continue
+        # No tolerance fits: the longest beginning of the keep order that fits stays.
+        coarsest = rungs[-1][1]
+        keep = [(layer, s) for layer in ("land", "coast", "water") for s in reversed(sorted(coarsest.get(layer, []), key=len))]
+        n = sum(map(len, got[key].values()))
+        assert same(got[key], by_layer(keep[:n]))
+        if action == "drop":
+            assert size <= cap < size_of(by_layer(keep[: n + 1]), fixed[key])
+        else:
+            assert (action, n) == ("oversized", 0)
+            assert size > cap
     if cap == 1500:
-        kinds = {v[1].split(":")[0] for v in want.values()}
-        assert kinds >= {"ok", "simplify", "drop"}
+        assert {action.split(":")[0] for action, _ in rows.values()} >= {"ok", "simplify", "drop"}
 
 
 def test_sizes_quality_and_coarser_zooms(spark):
