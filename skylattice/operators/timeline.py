@@ -102,37 +102,22 @@ def staleness_flags(
     )
 
 
-def track_sessions(
-    df: DataFrame,
-    *,
-    keys: Sequence[str],
-    ts: str,
-    gap_seconds: int = C.SESSION_GAP_SECONDS,
-    chunk_seconds: int = 86_400,
-) -> DataFrame:
+def track_sessions(df: DataFrame, *, keys: Sequence[str], ts: str, gap_seconds: int = C.SESSION_GAP_SECONDS) -> DataFrame:
     """Sessions per key that end once it is ``gap_seconds`` unseen: session_start, session_end, sightings.
 
     All rows within one gap-wide slot are less than a gap apart, so slots are pre-aggregated first;
-    what is left per key is bounded by the time covered, not by the number of rows.
+    what a window then holds of a key is bounded by the time covered, not by the number of rows.
     """
     keys = list(keys)
     slots = df.groupBy(*keys, _chunk(ts, gap_seconds).alias("_slot")).agg(
         F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_n")
     )
-    linked = with_previous(
-        slots, keys=keys, order=["_first"], values=["_last"], ts="_first", chunk_seconds=chunk_seconds, name="_prev"
-    )
-    silent = micros("_first") - micros(F.col("_prev")["_last"])
-    opens = F.coalesce(silent >= gap_seconds * 1_000_000, F.lit(True))
-    started = with_last_known(
-        linked.withColumn("_opens", opens),
-        keys=keys,
-        order=["_first"],
-        value=F.when(F.col("_opens"), F.col("_first")),
-        ts="_first",
-        chunk_seconds=chunk_seconds,
-        name="session_start",
-    )
-    return started.groupBy(*keys, "session_start").agg(
-        F.max("_last").alias("session_end"), F.sum("_n").alias("sightings")
+    history = Window.partitionBy(*keys).orderBy("_first")
+    silent = micros("_first") - micros(F.lag("_last").over(history))
+    opened = slots.withColumn("_opens", F.coalesce((silent >= gap_seconds * 1_000_000).cast("int"), F.lit(1)))
+    numbered = opened.withColumn("_session", F.sum("_opens").over(history))
+    return (
+        numbered.groupBy(*keys, "_session")
+        .agg(F.min("_first").alias("session_start"), F.max("_last").alias("session_end"), F.sum("_n").alias("sightings"))
+        .drop("_session")
     )
