@@ -149,10 +149,57 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     # The text is not needed once it is measured.
     return quality.judged(documents, only=("doc_id", "lang")).select(
-        "doc_id", *(F.col(f"counts.{c}") for c in quality.COUNTS), "base_failed", "kept", "character_distance", "common_word_distance"
+        "doc_id",
+        *(F.col(f"counts.{c}") for c in quality.COUNTS),
+        "base_failed",
+        "kept",
+        F.round("character_distance", 6).alias("character_distance"),
+        F.round("common_word_distance", 6).alias("common_word_distance"),
     )
 
 
+def _op8_sql() -> str:
+    """The same counts, histograms, means and distances."""
+    words = quality.common_words(quality.COMMON_WORDS)
+    listed = "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    languages = ", ".join(f"'{x}'" for x in quality.COMMON_WORDS)
+    classes = ["[a-z]", "[A-Z]", "[0-9]", "[\\x20\\x09-\\x0D]", "[.,;:!?''\"()\\-]", None, "[\\x00-\\x08\\x0E-\\x1F\\x7F]", "[\\x{80}-\\x{10FFFF}]"]
+    count = lambda c: f"len(regexp_extract_all(t, '{c}'))"
+    rest = "length(t) - " + " - ".join(count(c) for c in classes if c)
+    characters = "[" + ", ".join(count(c) if c else rest for c in classes) + "]"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({languages}) THEN lang ELSE '{quality.OTHER}' END AS language FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, regexp_extract_all(translate(t, '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') AS low,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i+1], words[i+2]) AS n
+  FROM w, LATERAL unnest(generate_series(1, len(words) - 2)) AS u(i)),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i+1, i+2]) AS p FROM grams WHERE n > 1) GROUP BY doc_id),
+base AS (
+  SELECT w.doc_id, language, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(r.n, 0) AS n_repeat_words, {characters} AS ch,
+         list_transform({listed}, lambda c: len(list_filter(low, lambda x: x = c))) AS cw
+  FROM w LEFT JOIN repeated r USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+flat AS (
+  SELECT doc_id, language, base_failed, 'c' AS kind, unnest(generate_series(1, len(ch))) AS k, unnest(ch) AS n, list_sum(ch) AS total FROM judged
+  UNION ALL
+  SELECT doc_id, language, base_failed, 'w', unnest(generate_series(1, len(cw) + 1)), unnest(list_append(cw, n_words - list_sum(cw))), n_words FROM judged),
+shares AS (SELECT *, CASE WHEN total > 0 THEN n / CAST(total AS DOUBLE) ELSE 0e0 END AS p FROM flat),
+means AS (SELECT language, kind, k, avg(p) AS q FROM shares WHERE NOT base_failed GROUP BY language, kind, k),
+terms AS (SELECT doc_id, s.kind, (CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0e0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0e0 END) / 2 AS v
+  FROM shares s JOIN means m USING (language, kind, k)),
+apart AS (SELECT doc_id, sqrt(greatest(0e0, sum(v) FILTER (kind = 'c'))) AS dc, sqrt(greatest(0e0, sum(v) FILTER (kind = 'w'))) AS dw FROM terms GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT ((n_words >= {quality.CHARACTER_WORDS} AND coalesce(dc, 0e0) > {quality.CHARACTER_DISTANCE}e0)
+         OR (n_words >= {quality.COMMON_WORD_WORDS} AND coalesce(dw, 0e0) > {quality.COMMON_WORD_DISTANCE}e0)) AS kept,
+       round(coalesce(dc, 0e0), 6) AS character_distance, round(coalesce(dw, 0e0), 6) AS common_word_distance
+FROM judged LEFT JOIN apart USING (doc_id)
+"""
+
+
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
@@ -205,4 +252,4 @@ FROM documents d LEFT JOIN texts t USING (doc_id)
 """
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op4_chat": op4_chat, "op5_toxicity": op5_toxicity, "op6_token_files": op6_token_files, "op7_html_text": op7_html_text, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_line_dedup": op10_line_dedup}
-ORACLES: dict[str, str] = {"op4_chat": _OP4_SQL, "op2_near_duplicates": _OP2_SQL, "op3_decontamination": _OP3_SQL, "op9_url_filter": _OP9_SQL, "op10_line_dedup": _OP10_SQL}
+ORACLES: dict[str, str] = {"op8_quality": _op8_sql(), "op4_chat": _OP4_SQL, "op2_near_duplicates": _OP2_SQL, "op3_decontamination": _OP3_SQL, "op9_url_filter": _OP9_SQL, "op10_line_dedup": _OP10_SQL}
