@@ -1,22 +1,25 @@
 """Structured Streaming twins of the feed and track operators.
 
-Everything stateful is a built-in stateful operator (aggregates, deduplication, session windows
-behind a watermark). Where a step needs batch joins or windows, ``foreachBatch`` runs the batch
-operator on the micro-batch; state that must outlive a batch is a table with one version per batch.
+Everything stateful is a built-in stateful operator (aggregates, group state, deduplication, session
+windows behind a watermark). Where a step needs batch joins or windows, ``foreachBatch`` runs the
+batch operator on the micro-batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skylattice import constants as C
 from skylattice.operators import feeds, surveillance
 from skylattice.operators import weather as W
-from skylattice.operators.timeline import with_last_known
+from skylattice.session import temporary_tables
 
 BatchSink = Callable[[DataFrame, int], None]
 
@@ -46,87 +49,42 @@ def stream_tracks(raw: DataFrame, sink: BatchSink, checkpoint: str, *, once: boo
     def step(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # read by cleaning, pairing and the final anti-join
         try:
-            sink(surveillance.ghost_dedup(surveillance.clean_tracks(batch)), batch_id)
+            with temporary_tables(batch.sparkSession):
+                sink(surveillance.ghost_dedup(surveillance.clean_tracks(batch)), batch_id)
         finally:
             batch.unpersist()
 
     return start(raw, step, checkpoint, once=once)
 
 
-class VersionedTable:
-    """A small state table: batch n reads the version of batch n - 1 and writes its own.
+def keep_last_good(polls: DataFrame, *, keys: Sequence[str], ts: str) -> DataFrame:
+    """Newest successful poll per key and how many succeeded; write it in update mode.
 
-    Repeating a batch reads the same version again, so the outcome is the same.
+    One row per key as built-in aggregate state; failed polls change nothing.
     """
+    return feeds.keep_last_good(polls, keys=keys, ts=ts)
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema = spark, folder, schema
 
-    def _path(self, batch_id: int) -> str:
-        return f"{self.folder}/version={batch_id}"
+def carry_offsets(readings: DataFrame) -> DataFrame:
+    """Readings with ``offset_sec``, their site's last known UTC offset, across batches; 0 before the first one.
 
-    def before(self, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._path(batch_id - 1))
-
-    def write(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(self._path(batch_id))
-
-    def latest(self, batch_id: int) -> DataFrame:
-        return self.before(batch_id + 1)
-
-
-def keep_last_good(
-    polls: DataFrame, state: VersionedTable, checkpoint: str, *, keys: Sequence[str], ts: str, once: bool = False
-) -> StreamingQuery:
-    """Newest successful poll per key and how many succeeded, kept in ``state``; failed polls change nothing."""
-    keys = list(keys)
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        fresh = feeds.keep_last_good(batch, keys=keys, ts=ts)
-        both = state.before(batch_id).unionByName(fresh)
-        rest = [c for c in fresh.columns if c not in (*keys, "fetch_count")]
-        merged = both.groupBy(*keys).agg(
-            F.max_by(F.struct(*rest), ts).alias("_row"), F.sum("fetch_count").alias("fetch_count")
-        )
-        state.write(
-            merged.select(*keys, *[F.col("_row")[c].alias(c) for c in rest], "fetch_count").select(*fresh.columns), batch_id
-        )
-
-    return start(polls, step, checkpoint, once=once)
-
-
-def carry_offsets(
-    readings: DataFrame, state: VersionedTable, sink: BatchSink, checkpoint: str, *, once: bool = False
-) -> StreamingQuery:
-    """Readings with their site's last known UTC offset, across batches.
-
-    ``state`` has site_id, utc_offset_sec. Within a batch the batch operator does the work; a site's
-    stored offset stands in before its first own one.
+    One integer per site as built-in group state. In a batch a site's rows count in order of
+    (fetched_at, reading_id); readings that are not valid do not set the offset.
     """
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        known = state.before(batch_id).withColumnRenamed("utc_offset_sec", "_stored")
-        batch.persist()
-        try:
-            fresh = F.when(F.col("valid"), F.col("utc_offset_sec"))
-            carried = with_last_known(
-                batch, keys=["site_id"], order=["fetched_at", "reading_id"], value=fresh, ts="fetched_at", name="_own"
-            )
-            full = carried.join(known, "site_id", "left").withColumn(
-                "offset_sec", F.coalesce("_own", "_stored", F.lit(0))
-            )
-            sink(full.drop("_own", "_stored"), batch_id)
-            newest = batch.filter(fresh.isNotNull()).groupBy("site_id").agg(
-                F.max_by("utc_offset_sec", F.struct("fetched_at", "reading_id")).alias("utc_offset_sec")
-            )
-            old = state.before(batch_id).join(newest, "site_id", "left_anti")
-            state.write(old.unionByName(newest), batch_id)
-        finally:
-            batch.unpersist()
-
-    return start(readings, step, checkpoint, once=once)
+    schema = T.StructType([*readings.schema.fields, T.StructField("offset_sec", T.IntegerType())])
+
+    def step(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(["fetched_at", "reading_id"])
+        stored = state.get[0] if state.exists else None
+        valid = rows["valid"].astype("boolean").fillna(False)
+        carried = rows["utc_offset_sec"].astype("Int32").where(valid).ffill()
+        if carried.notna().any():
+            state.update((int(carried.dropna().iloc[-1]),))
+        rows["utc_offset_sec"] = rows["utc_offset_sec"].astype("Int32")
+        rows["offset_sec"] = carried.fillna(0 if stored is None else stored)
+        yield rows[schema.names]
+
+    return readings.groupBy("site_id").applyInPandasWithState(step, schema, "utc_offset_sec int", "append", GroupStateTimeout.NoTimeout)
 
 
 def discard_superseded(results: DataFrame, *, keys: Sequence[str], generation: str) -> DataFrame:

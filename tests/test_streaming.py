@@ -49,7 +49,9 @@ def test_tracks_stream_without_ghosts(spark, tmp_path):
 
 def test_last_good_poll_survives_failures(spark, tmp_path):
     schema = "device string, at timestamp, ok boolean, body string"
-    state = streams.VersionedTable(spark, str(tmp_path / "state"), "device string, at timestamp, ok boolean, body string, fetch_count long")
+    (tmp_path / "in").mkdir()
+    latest = streams.keep_last_good(stream_of(spark, tmp_path / "in", schema), keys=["device"], ts="at")
+    got = {}
     batches = [
         [("a", T0, True, "one"), ("b", T0, False, "x")],
         [("a", T0 + dt.timedelta(seconds=3), False, "failed"), ("b", T0 + dt.timedelta(seconds=3), True, "first")],
@@ -57,16 +59,15 @@ def test_last_good_poll_survives_failures(spark, tmp_path):
     ]
     for n, rows in enumerate(batches):
         write(spark, tmp_path / "in", str(n), rows, schema)
-        polls = stream_of(spark, tmp_path / "in", schema)
-        streams.keep_last_good(polls, state, str(tmp_path / "cp"), keys=["device"], ts="at", once=True).awaitTermination()
-    got = {r.device: (r.body, r.fetch_count) for r in state.latest(2).collect()}
+        got.update({r.device: (r.body, r.fetch_count) for r in drain(latest, tmp_path, "good", "update")})
     assert got == {"a": ("older", 2), "b": ("second", 2)}
 
 
 def test_offsets_carry_across_batches(spark, tmp_path):
     schema = "reading_id long, site_id string, fetched_at timestamp, valid boolean, utc_offset_sec int"
-    state = streams.VersionedTable(spark, str(tmp_path / "state"), "site_id string, utc_offset_sec int")
-    sink = streams.parquet_sink(str(tmp_path / "out"))
+    (tmp_path / "in").mkdir()
+    carried = streams.carry_offsets(stream_of(spark, tmp_path / "in", schema))
+    got = {}
 
     def at(i, site, valid, offset):
         return (i, site, T0 + dt.timedelta(minutes=i), valid, offset)
@@ -74,9 +75,7 @@ def test_offsets_carry_across_batches(spark, tmp_path):
     batches = [[at(0, "s", True, None), at(1, "s", True, 3600), at(2, "s", True, None)], [at(3, "s", True, None), at(4, "t", True, 60)], [at(5, "s", False, 99), at(6, "s", True, 7200), at(7, "s", True, None), at(8, "t", True, None)]]
     for n, rows in enumerate(batches):
         write(spark, tmp_path / "in", str(n), rows, schema)
-        readings = stream_of(spark, tmp_path / "in", schema)
-        streams.carry_offsets(readings, state, sink, str(tmp_path / "cp"), once=True).awaitTermination()
-    got = {r.reading_id: r.offset_sec for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+        got.update({r.reading_id: r.offset_sec for r in drain(carried, tmp_path, "offsets")})
     assert got == {0: 0, 1: 3600, 2: 3600, 3: 3600, 4: 60, 5: 3600, 6: 7200, 7: 7200, 8: 60}
 
 
