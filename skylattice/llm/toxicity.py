@@ -200,13 +200,15 @@ def train_words(positives: dict[str, float], negatives: dict[str, float]) -> tup
     projection = vectors[:, good] / np.sqrt(values[good])
     matrix, lengths, _ = _features([*positive, *negative])
     near = np.empty((len(matrix), len(landmarks)))
-    by_key = np.ascontiguousarray(marks.T)
+    by_key = np.ascontiguousarray(marks.T)  # a second copy of the landmarks, dropped after use
     for length in np.unique(lengths):
         at, decay = _TRIPLES[int(length)]
         own = np.flatnonzero(lengths == length)
         for part in np.array_split(own, max(1, len(own) * len(at) // 4_000)):
             near[part] = np.einsum("t,ntm->nm", decay.astype(np.float32), by_key[_keys(matrix[part], at)]) if len(at) else 0.0
+    del by_key
     x = np.c_[near @ projection, np.ones(len(matrix))]
+    del near
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
     c = np.concatenate([np.fromiter(side.values(), float) / sum(side.values()) for side in (positives, negatives)])
     w = np.zeros(x.shape[1])
@@ -219,7 +221,8 @@ def train_words(positives: dict[str, float], negatives: dict[str, float]) -> tup
         if np.allclose(step, w, atol=1e-9):
             break
         w = step
-    return marks.T.astype(np.float64) @ (projection @ w[:-1]), float(w[-1])
+    folded = (projection @ w[:-1]).astype(np.float32) @ marks  # in the landmarks' own precision: no wider copy of them
+    return folded.astype(np.float64), float(w[-1])
 
 
 def logistic(values: np.ndarray, labels: np.ndarray) -> tuple[float, float, float]:
