@@ -6,7 +6,7 @@ that pass the base rules, so it covers the whole corpus and no long document out
 document is rejected when the Jensen-Shannon distance of either histogram from its reference is too
 large; shorter texts, whose histograms say little, are guarded by minimum lengths.
 
-Texts are read once: a narrow pass leaves counts of fixed size, and the references are sums over them,
+A narrow pass over the texts leaves counts of fixed size, and the references are sums over them,
 one row for each stated language and one for all others, which bounds what is broadcast.
 Null texts count as empty, fail the base rules for want of words, and a null language is "other".
 """
@@ -189,13 +189,16 @@ def judged(
 ) -> DataFrame:
     """``docs`` with counts, base_failed, the two distances and kept; ``only`` names the columns to carry along.
 
-    Writes what it measured once, as a table.
+    What is measured is written once, as a table of counts. If the text is carried along, it is read
+    and measured again for the verdicts instead of being copied into that table.
     """
     carried = list(docs.columns if only is None else only)
-    measured = materialize(counted(docs, text=text, languages=languages).select(*{*carried, lang}, "counts"))
+    again = text in carried
+    counts = counted(docs, text=text, languages=languages)
+    measured = materialize(counts.select(lang, "counts") if again else counts.select(*{*carried, lang}, "counts"))
     # At most one row for each stated language and one for all others.
     known = F.broadcast(references(measured, lang=lang, languages=languages).toDF("_language", "_characters", "_common"))
-    placed = measured.join(known, _language(lang, list(languages)) == F.col("_language"), "left")
+    placed = (counts if again else measured).join(known, _language(lang, list(languages)) == F.col("_language"), "left")
     words = F.col("counts.n_words")
     distance = lambda own, reference: F.coalesce(js_distance(_shares(F.col(own)), F.col(reference)), F.lit(0.0))
     rated = placed.select(
