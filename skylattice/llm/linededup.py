@@ -14,6 +14,9 @@ two hashes; where two different texts ever shared both, the chunks stay.
 Null texts have no lines and stay null; a document all of whose chunks go keeps an empty text.
 Repeated rows (same doc_id and text) count as one document. Rows without a doc_id are not touched,
 and their chunks do not count as earlier ones.
+
+Chunks miss many passages of short lines. ``without_passages`` misses none: it removes every line of
+every run of lines of more than ``LONG_WORDS`` words that equals an earlier run.
 """
 
 from __future__ import annotations
@@ -107,3 +110,79 @@ def deduplicated(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id")
         F.size(removed).cast("long").alias("n_removed"),
         (F.length(text) - F.length(cut)).cast("long").alias("removed_chars"),
     )
+
+
+def _units(text: str) -> Column:
+    """The lines with words, each with the blank lines behind it; blank lines at the start are a unit of their own."""
+    return F.split(F.col(text), r"\n(?=[\x20\x09\x0B-\x0D]*+[^\x20\x09-\x0D])", -1)
+
+
+def _runs(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """doc_id, version, start, end, digest: the shortest runs of lines of more than LONG_WORDS words that start or end at each line.
+
+    Any longer run is covered by those inside it. A run has at most LONG_WORDS + 1 lines, for only lines
+    with words count. Lines and runs are compared by 128 bits of SHA-256.
+    """
+    digest = lambda value: F.unhex(F.substring(F.sha2(value, 256), 1, 32))
+    document = ["doc_id", "version"]
+    lines = (
+        docs.filter(F.col(doc_id).isNotNull())
+        .select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("version"), F.posexplode_outer(_units(text)).alias("place", "unit"))
+        .select(
+            *document,
+            "place",
+            F.least(F.regexp_count("unit", F.lit(r"[^\x20\x09-\x0D]++")), F.lit(LONG_WORDS + 1)).cast("long").alias("words"),
+            digest(F.substring_index("unit", "\n", 1)).alias("line"),
+        )
+        .filter("words > 0")
+        .repartition(*document)
+        .distinct()
+    )
+    upto = F.sum("words").over(Window.partitionBy(*document).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    placed = lines.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("words"))
+    from_here = Window.partitionBy(*document).orderBy("before").rangeBetween(0, LONG_WORDS)
+    to_here = Window.partitionBy(*document).orderBy("upto").rangeBetween(-LONG_WORDS, 0)
+
+    def run(over, start: Column, end: Column, least: Column) -> Column:
+        joined = F.aggregate(F.collect_list("line").over(over), F.lit(b""), lambda acc, line: F.concat(acc, line))
+        return F.when(F.sum("words").over(over) > least, F.struct(start.alias("start"), end.alias("end"), digest(joined).alias("digest")))
+
+    forward = run(from_here, F.col("place"), F.max("place").over(from_here), F.lit(LONG_WORDS))
+    # One that is over the limit only with its last line is the run from its first line.
+    backward = run(to_here, F.min("place").over(to_here), F.col("place"), F.col("words") + LONG_WORDS)
+    both = placed.select(*document, forward.alias("forward"), backward.alias("backward"))
+    return both.select(*document, F.explode(F.array_compact(F.array("forward", "backward"))).alias("run")).select(*document, "run.*")
+
+
+def without_passages(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` without the lines of repeated passages, and n_lines, n_removed, removed_chars beside the columns.
+
+    A passage is a run of lines of more than LONG_WORDS words. It is repeated if the same lines stand in a
+    row in an earlier document, or before it in its own without sharing a line. Blank lines are not
+    compared; they go with the line before them. Rows are told apart by doc_id and text.
+    """
+    new = ("n_lines", "n_removed", "removed_chars")
+    if clash := set(new) & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    runs = _runs(docs, text, doc_id)
+    first = F.min(F.struct("doc_id", "version", "start", "end")).alias("first")
+    several = runs.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1").drop("n")
+    other = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("version") != F.col("first.version"))
+    gone = (
+        runs.join(several, "digest")
+        .filter(other | (F.col("start") > F.col("first.end")))
+        .select("doc_id", "version", F.explode(F.sequence("start", "end")).alias("place"))
+        .groupBy(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"))
+        .agg(F.collect_set("place").alias("_gone"))
+    )
+    same = (F.col(doc_id) == F.col("_doc")) & (F.xxhash64(text) == F.col("_version"))
+    marked = docs.join(gone, same, "left").withColumn("_units", F.coalesce(_units(text), F.array().cast("array<string>")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_units") - 1), "_gone")
+    kept_text = F.array_join(F.transform(left, lambda k: F.element_at("_units", k + 1)), "\n")
+    cut = F.when(F.col("_gone").isNotNull(), kept_text).otherwise(F.col(text))
+    return marked.select(
+        *(cut.alias(text) if c == text else docs[c] for c in docs.columns),
+        F.size("_units").cast("long").alias("n_lines"),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        (F.length(text) - F.length(cut)).cast("long").alias("removed_chars"),
+    )

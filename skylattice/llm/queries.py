@@ -231,6 +231,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the passages of more than 50 words that an earlier document has."""
+    return linededup.without_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 _OP10_SQL = r"""
 WITH lines AS (
   SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
@@ -251,5 +256,5 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN t.text END AS text, coalesce(
 FROM documents d LEFT JOIN texts t USING (doc_id)
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op4_chat": op4_chat, "op5_toxicity": op5_toxicity, "op6_token_files": op6_token_files, "op7_html_text": op7_html_text, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op4_chat": op4_chat, "op5_toxicity": op5_toxicity, "op6_token_files": op6_token_files, "op7_html_text": op7_html_text, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_line_dedup": op10_line_dedup, "op10_passage_dedup": op10_passage_dedup}
 ORACLES: dict[str, str] = {"op8_quality": _op8_sql(), "op4_chat": _OP4_SQL, "op2_near_duplicates": _OP2_SQL, "op3_decontamination": _OP3_SQL, "op9_url_filter": _OP9_SQL, "op10_line_dedup": _OP10_SQL}
