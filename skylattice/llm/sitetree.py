@@ -4,14 +4,17 @@ Every page becomes a list of nodes: its elements with the path of presentations
 the root, and its text blocks. The pages of one host are merged into a style tree by that path. A
 presentation node is important if the pages present its children in different ways; a content node
 (a path with text) is important if its texts differ between pages: both by entropy over the host's
-pages, between 0 (the same on every page) and 1. Branches whose every part has low importance are
-noise and are cut out of each page. Markup that can hold no main text (scripts, forms, menus and the
+pages, between 0 (the same on every page) and 1. Pages of equal nodes count once there, so copies of a
+page don't weigh. Branches whose every part has low importance are noise. A page loses those of its
+blocks in them whose own text is on many of the host's distinct pages; a text that few share stays,
+whatever the others have at its path. Markup that can hold no main text (scripts, forms, menus and the
 like, by tag, role or a class word) is cut first, for a host with few pages shows no entropy. A page
 that would lose all its blocks keeps them.
 
 The merge is a sum over (host, path, form): no page list of a host is ever gathered. Pages meet the
-cut branches of their host by broadcast if these are few bytes in all, counted first, else by a join in
-which the pages of a host are dealt over ``SALTS`` parts.
+noise branches of their host, then its cut texts, by broadcast if these are few bytes in all, counted
+first, else by a join in which the pages of a host are dealt over ``SALTS`` parts. A host has few cut
+texts: each is on more than a fixed power of the pages of its path.
 
 Null html gives an empty text; a page without an article takes its whole body less the noise; null
 urls form one host. Unclosed, crossed and unknown tags never fail. Repeated rows stay rows.
@@ -24,7 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -201,11 +204,11 @@ def _hash(text: str) -> int:
 
 
 def parsed(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """``pages`` without html, with _host, _blocks (path, text) and _nodes (path, form, is_text), one node for each path."""
+    """``pages`` without html, with _host, _blocks (path, text), _nodes (path, form, is_text), one node for each path, and _page, their hash."""
     ship_package(pages.sparkSession)
     others = [c for c in pages.columns if c != html]
     rows = pages.select(*others, host_of(F.col(url)).alias("_host"), F.col(html).alias("_html"))
-    schema = T.StructType([*rows.drop("_html").schema.fields, T.StructField("_blocks", T.ArrayType(_BLOCK)), T.StructField("_nodes", T.ArrayType(_NODE))])
+    schema = T.StructType([*rows.drop("_html").schema.fields, T.StructField("_blocks", T.ArrayType(_BLOCK)), T.StructField("_nodes", T.ArrayType(_NODE)), T.StructField("_page", T.LongType())])
     blocks_type = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
     nodes_type = pa.list_(pa.struct([("path", pa.string()), ("form", pa.int64()), ("is_text", pa.bool_())]))
 
@@ -213,7 +216,7 @@ def parsed(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFra
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                blocks, nodes = [], []
+                blocks, nodes, hashes = [], [], []
                 for text in batch.column("_html").to_pylist():
                     page = Page(text or "")
                     blocks.append([{"path": p, "text": t} for p, t in page.blocks])
@@ -223,8 +226,10 @@ def parsed(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFra
                     for path, text_ in page.blocks:
                         forms.setdefault((path, True), []).append(text_)
                     nodes.append([{"path": p, "form": _hash("\0".join(f)), "is_text": is_text} for (p, is_text), f in forms.items()])
-                kept = [batch.column(c) for c in schema.names[:-2]]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(blocks, blocks_type), pa.array(nodes, nodes_type)], names=schema.names)
+                    hashes.append(_hash("\0".join(x for pair in (*page.forms, ("", ""), *page.blocks) for x in pair)))
+                kept = [batch.column(c) for c in schema.names[:-3]]
+                made = [pa.array(blocks, blocks_type), pa.array(nodes, nodes_type), pa.array(hashes, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
 
     return rows.mapInArrow(kernel, schema)
 
@@ -246,31 +251,61 @@ def style_tree(parsed_pages: DataFrame) -> DataFrame:
     )
 
 
+def distinct_pages(parsed_pages: DataFrame, column: str) -> DataFrame:
+    """_host and ``column`` of one page of each content on each host."""
+    return parsed_pages.groupBy("_host", "_page").agg(F.first(column).alias(column)).drop("_page")
+
+
 def noise_branches(tree: DataFrame) -> DataFrame:
-    """host, noise: paths with text whose contents and presentation are both of low importance on the host's many pages."""
+    """host, noise (path, pages): paths with text whose contents and presentation are both of low importance on the host's many pages."""
     nodes = tree.filter(F.col("pages") >= LEAST_PAGES).groupBy("host", "path")
-    low = nodes.agg(F.max("importance").alias("importance"), F.max("is_text").alias("has_text")).filter(
-        F.col("has_text") & (F.col("importance") < LEAST_IMPORTANCE)
+    text_pages = F.max(F.when(F.col("is_text"), F.col("pages"))).alias("pages")
+    low = nodes.agg(F.max("importance").alias("importance"), text_pages).filter(
+        F.col("pages").isNotNull() & (F.col("importance") < LEAST_IMPORTANCE)
     )
-    return low.groupBy("host").agg(F.collect_set("path").alias("noise"))
+    return low.groupBy("host").agg(F.collect_list(F.struct("path", "pages")).alias("noise"))
+
+
+def _meet(pages: DataFrame, hosts: DataFrame, size: Column) -> DataFrame:
+    """``pages`` with the row of their host in ``hosts``, if any; size: the bytes of a row of ``hosts``."""
+    if (hosts.agg(F.sum(size)).head()[0] or 0) <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(hosts), "_host", "left")
+    salted = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = pages.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["_host", "_salt"], "left").drop("_salt")
+
+
+def _key(block: Column) -> Column:
+    return F.xxhash64(block["path"], block["text"])
+
+
+def cut_texts(parsed_pages: DataFrame, noise: DataFrame) -> DataFrame:
+    """_host, cut: keys of the blocks in noise branches that are on many distinct pages of their host.
+
+    Entropy is the mean of what the single texts tell, the log of the share of pages without them; a text
+    is cut if its own part of the maximum is low too: if n of the path's N pages have it, 1 - log n / log N.
+    """
+    size = F.octet_length("_host") + F.aggregate("noise", F.lit(0), lambda acc, x: acc + F.octet_length(x["path"]) + 8)
+    met = _meet(parsed_pages.select("_host", "_page", "_blocks"), noise, size).filter("noise IS NOT NULL")
+    of_path = F.map_from_entries("noise")
+    within = F.transform(F.filter("_blocks", lambda b: F.map_contains_key(of_path, b["path"])), lambda b: F.struct(_key(b).alias("key"), of_path[b["path"]].alias("pages")))
+    own = met.select("_host", "_page", F.array_distinct(within).alias("own")).filter(F.size("own") > 0)
+    counted = distinct_pages(own, "own").select("_host", F.explode("own").alias("x")).groupBy("_host", "x.key", "x.pages").agg(F.count(F.lit(1)).alias("n"))
+    many = F.log("n") > (1 - LEAST_IMPORTANCE) * F.log("pages")
+    return counted.filter(many).groupBy("_host").agg(F.collect_set("key").alias("cut"))
 
 
 def extracted(pages: DataFrame, *, url: str = "url", html: str = "html", text: str = "text") -> DataFrame:
     """``pages`` without html, with the main ``text`` and its length in characters, ``n_chars``."""
-    if clash := {text, "n_chars", "_host", "_blocks", "_nodes"} & (set(pages.columns) - {html}):
+    if clash := {text, "n_chars", "_host", "_blocks", "_nodes", "_page"} & (set(pages.columns) - {html}):
         raise ValueError(f"columns {sorted(clash)} are there already")
     read = materialize(parsed(pages, url=url, html=html))
-    noise = materialize(noise_branches(style_tree(read)).withColumnRenamed("host", "_host"))
-    size = noise.agg(F.sum(F.octet_length("_host") + F.octet_length(F.array_join("noise", " ")))).head()[0] or 0
-    if size <= BROADCAST_BYTES:
-        joined = read.drop("_nodes").join(F.broadcast(noise), "_host", "left")
-    else:
-        salted = noise.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = read.drop("_nodes").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-        joined = dealt.join(salted, ["_host", "_salt"], "left")
-    noise_paths = F.coalesce("noise", F.array().cast("array<string>"))
-    left = joined.withColumn("_left", F.filter("_blocks", lambda b: ~F.array_contains(noise_paths, b["path"])))
-    # Where all of a page were noise, its host's pages are copies of each other: they stay as they are.
+    noise = materialize(noise_branches(style_tree(distinct_pages(read, "_nodes"))).withColumnRenamed("host", "_host"))
+    cut = materialize(cut_texts(read, noise))
+    joined = _meet(read.drop("_nodes", "_page"), cut, F.octet_length("_host") + 8 * F.size("cut"))
+    cut_keys = F.coalesce("cut", F.array().cast("array<long>"))
+    left = joined.withColumn("_left", F.filter("_blocks", lambda b: ~F.array_contains(cut_keys, _key(b))))
+    # A page whose every text is on many others is no frame of theirs: it stays as it is.
     kept = F.when(F.size("_left") > 0, F.col("_left")).otherwise(F.col("_blocks"))
     whole = left.withColumn("_text", F.array_join(F.transform(kept, lambda b: b["text"]), "\n"))
     others = [c for c in pages.columns if c != html]
