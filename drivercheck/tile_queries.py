@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from drivercheck.airport_queries import AIRPORT_CTE, built
@@ -27,13 +29,14 @@ def _rings(spark, sf_dir):
     return P.filter_by_area(rings)
 
 
-def _lines(spark, sf_dir):
+def _lines(spark, sf_dir, closed=False):
+    """Coast lines; without their closing edge if not ``closed``, as the SQL of the queries of the first round has them."""
     lines = P.rings_to_lines(_rings(spark, sf_dir).filter(F.col("layer") == "land"))
-    return lines.withColumn("points", F.slice("points", 1, 8))
+    return lines if closed else lines.withColumn("points", F.slice("points", 1, 8))
 
 
-def _features(spark, sf_dir):
-    return _rings(spark, sf_dir).unionByName(_lines(spark, sf_dir))
+def _features(spark, sf_dir, closed=False):
+    return _rings(spark, sf_dir).unionByName(_lines(spark, sf_dir, closed))
 
 
 def _summary(shapes):
@@ -52,18 +55,18 @@ def q_features_to_tiles(spark, sf_dir):
     return tiles.select("feature_id", F.col("z").cast("int").alias("z"), "x", "y")
 
 
-def q_polyline_runs(spark, sf_dir):
-    return _summary(P.clip_polylines(_lines(spark, sf_dir)))
+def q_polyline_runs(spark, sf_dir, closed=False):
+    return _summary(P.clip_polylines(_lines(spark, sf_dir, closed)))
 
 
 def q_clip_polygons(spark, sf_dir):
     return _summary(P.clip_polygons(_rings(spark, sf_dir))).drop("run")
 
 
-def q_simplified_lines(spark, sf_dir):
+def q_simplified_lines(spark, sf_dir, closed=False):
     """At tolerances coarse enough to thin the octagons."""
     zooms = {3: 1.5, 5: 0.6, 7: 0.2}
-    return _summary(P.simplify(P.clip_polylines(_lines(spark, sf_dir), zooms=zooms), zooms=zooms))
+    return _summary(P.simplify(P.clip_polylines(_lines(spark, sf_dir, closed), zooms=zooms), zooms=zooms))
 
 
 def q_simplified_rings(spark, sf_dir):
@@ -75,13 +78,13 @@ def _placed(spark, sf_dir):
     return P.airport_tiles(built(spark, sf_dir))
 
 
-def q_tile_sizes(spark, sf_dir):
-    sizes = P.tile_sizes(P.build_shapes(_features(spark, sf_dir)), _placed(spark, sf_dir))
+def q_tile_sizes(spark, sf_dir, closed=False):
+    sizes = P.tile_sizes(P.build_shapes(_features(spark, sf_dir, closed)), _placed(spark, sf_dir))
     return sizes.withColumn("z", F.col("z").cast("int"))
 
 
-def q_tile_point_counts(spark, sf_dir):
-    return P.pyramid_quality(P.build_shapes(_features(spark, sf_dir)), canary=(7, 20, 37)).withColumn("z", F.col("z").cast("int"))
+def q_tile_point_counts(spark, sf_dir, closed=False):
+    return P.pyramid_quality(P.build_shapes(_features(spark, sf_dir, closed)), canary=(7, 20, 37)).withColumn("z", F.col("z").cast("int"))
 
 
 def q_airport_tiles(spark, sf_dir):
@@ -94,31 +97,31 @@ def q_airport_tiles(spark, sf_dir):
 
 def q_tile_cap_actions(spark, sf_dir):
     """Against a cap of 2000 bytes, so that every kind of action occurs."""
-    _, tiles = P.build_tile_pyramid(_features(spark, sf_dir), built(spark, sf_dir), cap=2000)
+    _, tiles = P.build_tile_pyramid(_features(spark, sf_dir, closed=True), built(spark, sf_dir), cap=2000)
     return tiles.withColumn("z", F.col("z").cast("int"))
 
 
 def q_cap_histogram(spark, sf_dir):
     """At the real cap."""
-    _, tiles = P.build_tile_pyramid(_features(spark, sf_dir), built(spark, sf_dir))
+    _, tiles = P.build_tile_pyramid(_features(spark, sf_dir, closed=True), built(spark, sf_dir))
     return P.cap_actions(tiles)
 
 
-def _payloads(spark, sf_dir):
+def _payloads(spark, sf_dir, closed=False):
     """All shapes and airports as tile payloads, the airports without runways."""
     none = F.array().cast("array<struct<lat1:double,lon1:double,lat2:double,lon2:double>>")
     bare = built(spark, sf_dir).withColumns({"runway_count": F.lit(0), "runways": none})
-    shapes = P.build_shapes(_features(spark, sf_dir)).withColumn("action", F.lit("ok"))
+    shapes = P.build_shapes(_features(spark, sf_dir, closed)).withColumn("action", F.lit("ok"))
     return tile_blobs.encode_tiles(shapes, P.airport_tiles(bare))
 
 
-def q_tile_payloads(spark, sf_dir):
-    return _payloads(spark, sf_dir).select(F.col("z").cast("int").alias("z"), "x", "y", "bytes", "reason")
+def q_tile_payloads(spark, sf_dir, closed=False):
+    return _payloads(spark, sf_dir, closed).select(F.col("z").cast("int").alias("z"), "x", "y", "bytes", "reason")
 
 
-def q_decoded_tiles(spark, sf_dir):
+def q_decoded_tiles(spark, sf_dir, closed=False):
     """Payloads read back: shapes and points per layer and zoom."""
-    blobs = _payloads(spark, sf_dir).filter(F.col("payload").isNotNull()).withColumn("path", F.lit(""))
+    blobs = _payloads(spark, sf_dir, closed).filter(F.col("payload").isNotNull()).withColumn("path", F.lit(""))
     rows = tile_blobs.decode_tiles(blobs)
     return rows.groupBy("layer", "z").agg(F.count(F.lit(1)).alias("shapes"), F.sum(F.size("lons")).alias("points"))
 
@@ -141,13 +144,13 @@ def _map_views(spark, sf_dir):
     )
 
 
-def q_map_layers_for_view(spark, sf_dir):
-    shown = P.map_layers_for_view(_map_views(spark, sf_dir), P.clip_polylines(_lines(spark, sf_dir)))
+def q_map_layers_for_view(spark, sf_dir, closed=False):
+    shown = P.map_layers_for_view(_map_views(spark, sf_dir), P.clip_polylines(_lines(spark, sf_dir, closed)))
     return shown.select("view_id", "feature_id", "x", "y", "run", F.size("points").alias("n"))
 
 
-def q_segments_in_disc(spark, sf_dir):
-    shown = P.map_layers_for_view(_map_views(spark, sf_dir), P.clip_polylines(_lines(spark, sf_dir)))
+def q_segments_in_disc(spark, sf_dir, closed=False):
+    shown = P.map_layers_for_view(_map_views(spark, sf_dir), P.clip_polylines(_lines(spark, sf_dir, closed)))
     cut = P.segments_in_disc(shown)
     return cut.select("view_id", "feature_id", "x", "y", "run", "segment", *[r6(F.round(c, 4), c) for c in ("x0_km", "y0_km", "x1_km", "y1_km")])
 
@@ -174,6 +177,12 @@ QUERIES = {
     "segments_in_disc": q_segments_in_disc,
     "ring_area": q_ring_area,
 }
+# With whole coast lines; the caps, which have no SQL, take these anyway.
+_CLOSED = (
+    "polyline_runs", "simplified_lines", "tile_sizes", "tile_point_counts", "tile_payloads", "decoded_tiles", "map_layers_for_view",
+    "segments_in_disc",
+)
+QUERIES |= {f"closed_{name}": partial(QUERIES[name], closed=True) for name in _CLOSED}
 
 
 # --- SQL --------------------------------------------------------------------------------------
@@ -351,3 +360,8 @@ n AS (SELECT *, coalesce(lead(lon) OVER w, first_value(lon) OVER w) AS lon2, coa
       FROM vertices WHERE area >= 0.5e0 WINDOW w AS (PARTITION BY feature_id ORDER BY v))
 SELECT feature_id, round(sum(lon*lat2 - lon2*lat), 6)+0e0 AS area2 FROM n GROUP BY 1""",
 }
+
+# The ninth vertex is the first one again.
+_OPEN_CORNERS = "corner AS (SELECT * FROM vertices WHERE area >= 0.5e0 AND layer = 'land')"
+_CLOSED_CORNERS = _OPEN_CORNERS[:-1] + " UNION ALL SELECT * REPLACE (v + 8 AS v) FROM vertices WHERE area >= 0.5e0 AND layer = 'land' AND v = 0)"
+ORACLES |= {f"closed_{name}": ORACLES[name].replace(_OPEN_CORNERS, _CLOSED_CORNERS) for name in _CLOSED}
