@@ -317,6 +317,17 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 
 def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without the documents that are near copies of one with a smaller id."""
-    found = near_duplicates(docs, text=text, doc_id=doc_id)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")
+    version = F.xxhash64(text)
+    versions = docs.groupBy(doc_id).agg(F.min(version).alias("low"), F.max(version).alias("high"))
+    if not versions.filter(F.col(doc_id).isNotNull() & (F.col("low") < F.col("high"))).head(1):
+        found = near_duplicates(docs, text=text, doc_id=doc_id)
+        gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(doc_id)).distinct()
+        return docs.join(gone, doc_id, "left_anti")
+    # An id with several texts would be one node: number the texts in the order of their ids instead.
+    own = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), version.alias("_version")).distinct()
+    numbers = materialize(own.orderBy("_id", "_version").withColumn("_node", F.monotonically_increasing_id()))
+    same = (F.col(doc_id) == F.col("_id")) & (version == F.col("_version"))
+    found = near_duplicates(docs.join(numbers, same, "left"), text=text, doc_id="_node").filter(~F.col("kept")).select("doc_id", "component_id").distinct()
+    first = numbers.select(F.col("_node").alias("component_id"), F.col("_id").alias("_first"))
+    gone = found.join(numbers, F.col("doc_id") == F.col("_node")).join(first, "component_id").filter("_id <> _first").select("_id", "_version")
+    return docs.join(gone, same, "left_anti")
