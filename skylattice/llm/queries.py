@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import bpe, chat, linededup, neardup, phrases, quality, sitetree, tokenfile, toxicity, urlfilter
+from skylattice.llm import bpe, chat, linededup, mixing, neardup, phrases, quality, sitetree, tokenfile, toxicity, urlfilter
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -256,5 +256,16 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN t.text END AS text, coalesce(
 FROM documents d LEFT JOIN texts t USING (doc_id)
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op4_chat": op4_chat, "op5_toxicity": op5_toxicity, "op6_token_files": op6_token_files, "op7_html_text": op7_html_text, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_line_dedup": op10_line_dedup, "op10_passage_dedup": op10_passage_dedup}
+
+
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base score and the model's score of every document, learned from the documents that are not held out."""
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    model = mixing.fit(documents.filter(~held_out))
+    found = mixing.scored(documents, model)
+    return found.select("doc_id", held_out.alias("held_out"), *found.columns[1:])
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op4_chat": op4_chat, "op5_toxicity": op5_toxicity, "op6_token_files": op6_token_files, "op7_html_text": op7_html_text, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_line_dedup": op10_line_dedup, "op10_passage_dedup": op10_passage_dedup, "op11_lm_score": op11_lm_score}
 ORACLES: dict[str, str] = {"op8_quality": _op8_sql(), "op4_chat": _OP4_SQL, "op2_near_duplicates": _OP2_SQL, "op3_decontamination": _OP3_SQL, "op9_url_filter": _OP9_SQL, "op10_line_dedup": _OP10_SQL}
