@@ -37,12 +37,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
+BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
         for_base, for_inverse = np.full(n, _BASE), np.full(n, _INVERSE)
@@ -103,9 +103,9 @@ def spans(data: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tuple[np.
 
 def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of every span, from one running sum over the data."""
-    powers, inverses = _power_tables(len(data) + 1)
+    powers, inverses = power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * powers[: len(data)], out=total[1:])
+    np.cumsum(BYTE_VALUES[data] * powers[: len(data)], out=total[1:])
     value = (total[ends] - total[begins]) * inverses[begins]
     return mix(value + (ends - begins).astype(np.uint64) * _WINDOW)
 

@@ -1,11 +1,11 @@
 """Language-model scores by online logistic context mixing.
 
 A text counts as its tokens: words, A-Z lower-cased, one space between them, and an end. Every bit of
-these bytes is predicted by five contexts (the last 2, 3, 4 and 6 bytes, and the word so far). Each
+these bytes is predicted by four contexts (the last 3, 4 and 6 bytes, and the word so far). Each
 hashes into a table of counts for every half byte; its log odds are an input of a mixer, whose weights
 are gated by how many of the longer contexts the corpus has shown and by the place of the bit. What is
-left is refined adaptively: a table of log odds by gate and mixed prediction corrects it, and every
-text moves the weights of its own five inputs after each of its blocks, from bits already coded. So a
+left is refined adaptively: a table by gate and mixed prediction tells the true chance, and every
+text moves the weights of its own four inputs after each of its blocks, from bits already coded. So a
 score is a true probability of the whole text, whatever its length.
 
 Counts are sums over all learning documents: every task adds up its own tables and sends them packed,
@@ -34,27 +34,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.flattext import NOT_SPACE, lower_ascii, offsets_of, pieces, span_hashes, spans, strings_of
+from skylattice.llm.flattext import BYTE_VALUES, NOT_SPACE, lower_ascii, offsets_of, pieces, power_tables, span_hashes, spans, strings_of
 from skylattice.session import materialize, ship_package
 
 #: Bytes of history of the first inputs; the last input is the word so far.
-ORDERS = (2, 3, 4, 6)
+ORDERS = (3, 4, 6)
 #: Slots of each input's table, as powers of two.
-TABLE_BITS = (21, 22, 22, 22, 22)
+TABLE_BITS = (22, 22, 22, 22)
 #: Slots in one packed row of counts, as a power of two.
 BLOCK_BITS = 14
 #: Words that are looked up within the scoring pass.
 FREQUENT = 1 << 16
 #: Texts are counted and scored in windows of about this many bytes.
-COUNT_BYTES, SCORE_BYTES = 512 << 10, 24 << 10
+COUNT_BYTES, SCORE_BYTES = 256 << 10, 24 << 10
+#: Words are counted in runs of about this many bytes.
+WORD_BYTES = 4 << 20
 #: The word so far starts again after this many bytes.
 LONGEST_WORD = 64
 #: A text's own weights move after 256 bytes, then after blocks that double up to this many.
 LONGEST_BLOCK = 4096
-#: Steps of log odds in a table entry, and of the correction's cells.
+#: Steps of log odds in a table entry; cells of mixed log odds and steps among them.
 SCALE = 12.0
-CELLS, CELL_SCALE = 33, 2.0
+CELLS, CELL_SCALE = 321, 16.0
 INPUTS = len(ORDERS) + 1
+#: What both values of a bit count for before they are seen.
+UNSEEN = 0.1
+#: Where the weights start, by the number of known contexts.
+START = ((0.3, 0.3, 0.3, 0.3), (0.45, 0.4, 0.3, 0.3), (0.35, 0.4, 0.3, 0.3), (0.3, 0.45, 0.3, 0.3))
 #: Gates tell how many of the last inputs are known, and the place of the bit.
 LEVELS = INPUTS
 GATES = LEVELS * 8
@@ -172,39 +178,67 @@ class Windows:
 
 
 def _contexts(window: Window) -> Iterator[np.ndarray]:
-    """One 64-bit value per input and byte; what came before the byte in its own row."""
+    """One scrambled 64-bit value per input and byte; what came before the byte in its own row."""
     flat, offsets, tokens, before, _ = window
-    n, longest = len(flat), max(ORDERS)
-    place = len(before) + np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
-    known = np.concatenate([before, flat]).astype(np.uint64)
-    history = np.zeros(len(known), np.uint64)
-    for j in range(1, longest + 1):
-        history[j:] |= known[:-j] << _U(8 * (j - 1))
-    history = history[len(before) :] & _MASKS[np.minimum(place, longest)]
-    # Different inputs get different values for the same bytes.
+    n, first = len(flat), len(before)
+    last = np.concatenate([before, flat]).astype(np.uint64)
+    last[1:], last[0] = last[:-1].copy(), 0
+    history, size = last, 1
+    while size < max(ORDERS):
+        longer = history.copy()
+        longer[size:] |= history[:-size] << _U(8 * size)
+        history, size = longer, 2 * size
+    history = history[first:]
+    # Bytes of the row before are cut off behind every row's start.
+    for place in range(min(size, 8)):
+        at = offsets[:-1][np.diff(offsets) > place] + place
+        known = place + first
+        if known < 8:
+            history[at] &= _MASKS[known]
     for k, order in enumerate(ORDERS):
-        yield (history & _MASKS[order]) * _C1 + _SALT[k]
-    yield (span_hashes(flat, np.repeat(tokens[:-1], np.diff(tokens)), np.arange(n)) if n else history) + _SALT[-1]
-
-
-def _slots(context: np.ndarray, flat: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first slot of both half bytes in a table of 2**bits slots."""
-    down = _U(64 - (bits - 4))
-    value = (context ^ (context >> _U(29))) * _C2
+        yield _scrambled(history & _MASKS[order], k)
+    powers, inverses = power_tables(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(BYTE_VALUES[flat] * powers[:n], out=total[1:])
+    sizes = np.diff(tokens)
+    total[:n] -= np.repeat(total[tokens[:-1]], sizes)
+    yield _scrambled(total[:n] * np.repeat(inverses[tokens[:-1]], sizes), len(ORDERS))
+
+
+def _scrambled(value: np.ndarray, k: int) -> np.ndarray:
+    value *= _C1
+    value += _SALT[k]
     value ^= value >> _U(32)
-    high = ((value * _C1) >> down) << _U(4)
-    value += ((flat >> 4).astype(np.uint64) + _U(1)) * _SALT[0]
-    value ^= value >> _U(30)
-    low = ((value * _C2) >> down) << _U(4)
+    return value
+
+
+def _slots(context: np.ndarray, salts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first slot of both half bytes in a table of 2**bits slots; ``salts`` tell the high halves apart."""
+    down, four = _U(64 - (bits - 4)), _U(4)
+    high = context * _C2
+    high >>= down
+    high <<= four
+    low = context + salts
+    low *= _C2
+    low ^= low >> _U(29)
+    low *= _C1
+    low >>= down
+    low <<= four
     return high.view(np.int64), low.view(np.int64)
 
 
+_HALF_SALTS = (np.arange(1, 17, dtype=np.uint64) * _SALT[0])[np.arange(256) >> 4]
+_HIGH, _LOW = np.arange(256) >> 4, np.arange(256) & 15
+
+
 def _add_counts(tables: list[np.ndarray], window: Window) -> None:
-    high, low = (window.flat >> 4).astype(np.int64), (window.flat & 15).astype(np.int64)
+    high, low, salts = _HIGH[window.flat], _LOW[window.flat], _HALF_SALTS[window.flat]
     for table, context, bits in zip(tables, _contexts(window), TABLE_BITS, strict=True):
-        first, second = _slots(context, window.flat, bits)
-        np.add.at(table, first + high, np.uint32(1))
-        np.add.at(table, second + low, np.uint32(1))
+        first, second = _slots(context, salts, bits)
+        first += high
+        second += low
+        np.add.at(table, first, np.uint32(1))
+        np.add.at(table, second, np.uint32(1))
 
 
 def _words(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -223,7 +257,7 @@ def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in runs(batch.column(0), COUNT_BYTES):
+            for run in runs(batch.column(0), WORD_BYTES):
                 coded = _words(run.data, run.begins, run.ends).dictionary_encode()
                 n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
                 words = pa.concat_arrays([coded.dictionary, pa.array([None], pa.large_string())]).cast(pa.string())
@@ -268,7 +302,7 @@ def _log_odds(counts: np.ndarray) -> np.ndarray:
     out = np.zeros(leaves.shape, np.int8)
     for width in (8, 4, 2, 1):
         pairs = level.reshape(len(leaves), width, 2)
-        odds = np.rint(np.log((pairs[:, :, 1] + 0.4) / (pairs[:, :, 0] + 0.4)) * SCALE)
+        odds = np.rint(np.log((pairs[:, :, 1] + UNSEEN) / (pairs[:, :, 0] + UNSEEN)) * SCALE)
         level = pairs.sum(2)
         out[:, width : 2 * width] = np.where((odds == 0) & (level > 0), 1, np.clip(odds, -126, 126))
     return out.reshape(-1)
@@ -323,28 +357,39 @@ def _paths(table: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Weights by gate and input, corrections by gate and cell, and each input's usual curvature.
+    """Weights by gate and input, in units of table steps, corrections by gate and cell, and each input's usual curvature.
 
-    All work on log odds for the bit that is really there. Corrections change sign with them, so the two
-    values of a bit share one probability.
+    All work on log odds for the bit that is really there. ``cells`` has its chance for every gate and cell of mixed log
+    odds; cells of opposite odds sum up to 1, for the two values of a bit share one probability.
     """
 
     def __init__(self) -> None:
-        self.weights = np.full((LEVELS, 8, INPUTS), 0.3, np.float32)
-        centres = (np.arange(CELLS) - CELLS // 2) / CELL_SCALE
-        self.cells = np.tile(centres.astype(np.float32), (GATES, 1))
-        self.curvature = np.full(INPUTS, 0.13, np.float32)
+        self.weights = np.repeat(np.array(START, np.float32)[:, None] / np.float32(SCALE), 8, axis=1)
+        self.cells = np.tile(_plain_chances(), (GATES, 1)).astype(np.float32)
+        self.curvature = np.full(INPUTS, 0.13 * SCALE**2, np.float32)
 
 
-#: The first block that each 256 bytes of a text are in, as long as blocks grow.
-_GROWING = np.floor(np.log2(np.arange(1, LONGEST_BLOCK // 256))).astype(np.int64)
+def _plain_chances() -> np.ndarray:
+    """The chance that the odds in the middle of a cell stand for."""
+    return 1 / (1 + np.exp(-(np.arange(CELLS) - CELLS // 2) / CELL_SCALE))
 
 
-def _block_of(place: np.ndarray) -> np.ndarray:
-    """The number of the block that a byte at this place of its row is in."""
-    unit, grown = place >> 8, len(_GROWING)
-    later = int(_GROWING[-1]) + 1 + (unit - grown) // (LONGEST_BLOCK // 256)
-    return np.where(unit < grown, _GROWING[np.minimum(unit, grown - 1)], later)
+def _segments(offsets: np.ndarray, place: int) -> tuple[np.ndarray, ...]:
+    """Begin, end, row and block of every row's blocks: all first blocks in order of rows, then all second ones, and so on.
+
+    Blocks end at fixed places of a text; ``place`` is where a row begins that has parts before.
+    """
+    lengths = np.diff(offsets)
+    sizes = np.minimum(256 << np.minimum(np.arange((place + lengths.max()) // 256 // 2 + 2), 40), LONGEST_BLOCK)
+    limits = offsets_of(sizes)
+    first = int(np.searchsorted(limits, place, "right")) - 1
+    blocks = np.searchsorted(limits, place + lengths, "left") - first
+    row = np.repeat(np.arange(len(lengths)), blocks)
+    block = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    begin = offsets[row] + np.maximum(limits[first + block] - place, 0)
+    end = offsets[row] + np.minimum(limits[first + block + 1] - place, lengths[row])
+    order = np.lexsort((row, block))
+    return begin[order], end[order], row[order], block[order]
 
 
 def _rows_of(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -352,12 +397,20 @@ def _rows_of(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(table).view(np.complex128).reshape(-1).take(rows).view(table.dtype)
 
 
+def refined(right: np.ndarray) -> np.ndarray:
+    """Chances by gate and cell: how often the odds of a cell were right, against the opposite ones, next to what they say."""
+    right = right.reshape(GATES, CELLS) + 50 * _plain_chances()
+    return (right / (right + right[:, ::-1])).astype(np.float32)
+
+
 class Scorer:
     """Scores runs of texts; ``learn`` also moves the shared weights and counts correction cells."""
 
     def __init__(self, tables: list[np.ndarray], mixer: Mixer, learn: bool = False) -> None:
         self.tables, self.mixer, self.learn, self.windows = tables, mixer, learn, Windows(SCORE_BYTES)
-        self.weights, self.cells = mixer.weights.copy(), mixer.cells.reshape(-1)
+        self.weights = mixer.weights.copy()
+        # A chance and its logarithm are fetched as one value.
+        self.cells = np.stack([mixer.cells.reshape(-1), np.log(mixer.cells.reshape(-1))], 1).view(np.complex64).reshape(-1)
         self.cell_counts = np.zeros(GATES * CELLS)
         self.curvature = np.zeros(INPUTS)
         self.bits = 0
@@ -380,19 +433,25 @@ class Scorer:
         total = np.zeros(rows)
         if not n:
             return total
-        row = np.repeat(np.arange(rows), np.diff(offsets))
-        block = _block_of(place + np.arange(n) - offsets[row])
-        # All first blocks, then all second blocks, and so on, each with its rows in order.
-        order = np.argsort(block, kind="stable")
-        values = (flat >> 4).astype(np.int64), (flat & 15).astype(np.int64)
+        begin, end, row, block = _segments(offsets, place)
+        edges = offsets_of(end - begin)
+        order = np.arange(n) + np.repeat(begin - edges[:-1], end - begin)
+        steps = np.searchsorted(block, np.arange(block[-1] + 2))
+        edges *= 8
+        coded = flat[order]
+        values, salts = (_HIGH[coded], _LOW[coded]), _HALF_SALTS[coded]
         fetched = np.empty((INPUTS, n, 2), np.uint32)
+        level = np.zeros((n, 2), np.uint8)
         for k, (table, context) in enumerate(zip(self.tables, _contexts(window), strict=True)):
-            for half, slots in enumerate(_slots(context, flat, TABLE_BITS[k])):
-                fetched[k, :, half] = table.take((slots + values[half])[order])
+            for half, slots in enumerate(_slots(context[order], salts, TABLE_BITS[k])):
+                slots += values[half]
+                fetched[k, :, half] = table.take(slots)
+            if k:
+                level += fetched[k] != 0
         # Every half byte has a level, and a row of four weights for each input.
-        place_of = np.tile(np.arange(2), n) + 2 * (fetched[1:] != 0).sum(0, dtype=np.int64).reshape(-1)
+        place_of = level.reshape(-1).astype(np.int64) * 2
+        place_of[1::2] += 1
         inputs = fetched.view(np.int8).reshape(INPUTS, n * 8).astype(np.float32)
-        inputs *= np.float32(1 / SCALE)
         gate = _rows_of(_GATES, place_of)
         mixed = np.zeros(n * 8, np.float32)
         for k in range(INPUTS):
@@ -400,42 +459,34 @@ class Scorer:
             weights *= inputs[k]
             mixed += weights
 
-        row, block = row[order], block[order]
-        edges = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])])
-        steps = np.searchsorted(block[edges], np.arange(block[0], block[-1] + 2))
-        edges = np.append(edges, n) * 8
         for step in range(len(steps) - 1):
-            bounds = edges[steps[step] : steps[step + 1] + 1]
+            bounds, lanes = edges[steps[step] : steps[step + 1] + 1], row[steps[step] : steps[step + 1]]
             here, at = slice(bounds[0], bounds[-1]), bounds[:-1] - bounds[0]
-            lanes = row[bounds[:-1] // 8]
             if step or place:
                 for lane, a, b in zip(lanes.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     mixed[a:b] += own[lane] @ inputs[:, a:b]
             value = mixed[here]
-            np.clip(value, -15, 15, out=value)
-            cell = np.rint(value * np.float32(CELL_SCALE)).astype(np.int32)
-            np.clip(cell, -(CELLS // 2), CELLS // 2, out=cell)
+            value *= np.float32(CELL_SCALE)
+            np.clip(value, -(CELLS // 2), CELLS // 2, out=value)
+            cell = np.rint(value, out=value).astype(np.int64)
             cell += gate[here]
             if self.learn:
                 self.cell_counts += np.bincount(cell, minlength=GATES * CELLS)
-            value += self.cells.take(cell)
-            value *= np.float32(-0.5)
-            odds = np.exp(value, out=value)
-            whole = odds + np.float32(1)
-            total[lanes] -= np.add.reduceat(np.log(whole), at, dtype=np.float64)
+            told = self.cells.take(cell).view(np.float32)
+            total[lanes] += np.add.reduceat(told[1::2], at, dtype=np.float64)
             if step + 2 == len(steps) and rows > 1 and not self.learn:
                 break
-            error = odds / whole
+            error = np.float32(1) - told[::2]
             coded_bits[lanes] += np.diff(bounds)
             for lane, a, b in zip(lanes.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 slope = inputs[:, a:b] @ error[a - bounds[0] : b - bounds[0]]
                 own[lane] += slope / (self.mixer.curvature * (coded_bits[lane] + 4000)) / 2
             if self.learn:
                 for k in range(INPUTS):
-                    self._count(k, gate[here] // CELLS, error, inputs[k, here], odds / (whole * whole))
+                    self._count(k, gate[here] // CELLS, error, inputs[k, here], error * told[::2])
         if self.learn:
             self.bits += n * 8
-            self.weights += (self.gradient / (self.hessian + 200) / INPUTS * 2).astype(np.float32)
+            self.weights += (self.gradient / (self.hessian + 200 * SCALE**2) / INPUTS * 2).astype(np.float32)
             # Earlier runs fade, so the step follows the present slope.
             self.gradient *= 0.5
             self.hessian *= 0.9
@@ -470,10 +521,8 @@ def _learned(docs: DataFrame, tables, mixer: Mixer, text: str, doc_id: str) -> M
     if bits:
         weights, right, curvature = np.split(sums[1:], [GATES * INPUTS, GATES * (INPUTS + CELLS)])
         out.weights = (weights / bits).reshape(LEVELS, 8, INPUTS).astype(np.float32)
-        out.curvature = np.maximum(curvature / bits, 1e-3).astype(np.float32)
-        right = right.reshape(GATES, CELLS)
-        prior = 20 / (1 + np.exp(-out.cells.astype(np.float64)))
-        out.cells = np.log((right + prior) / (right[:, ::-1] + prior[:, ::-1])).astype(np.float32)
+        out.curvature = np.maximum(curvature / bits, 0.1).astype(np.float32)
+        out.cells = refined(right)
     return out
 
 

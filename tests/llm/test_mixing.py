@@ -69,15 +69,14 @@ def log_probability(text, counts, mixer):
                 inputs = []
                 for name in names:
                     n0, n1 = (counts[name, high, tuple(bits[:j]), b] for b in (0, 1))
-                    odds = max(-126, min(126, round(math.log((n1 + 0.4) / (n0 + 0.4)) * mixing.SCALE))) or int(n0 + n1 > 0)
-                    inputs.append(odds / mixing.SCALE * (1 if bit else -1))
+                    odds = max(-126, min(126, round(math.log((n1 + mixing.UNSEEN) / (n0 + mixing.UNSEEN)) * mixing.SCALE))) or int(n0 + n1 > 0)
+                    inputs.append(odds * (1 if bit else -1))
                 level = sum(seen[1:])
                 value = float(np.dot(mixer.weights[level, 4 * half + j] + own, inputs))
-                value = max(-15.0, min(15.0, value))
                 cell = max(-(mixing.CELLS // 2), min(mixing.CELLS // 2, round(value * mixing.CELL_SCALE)))
-                value = (value + mixer.cells[level * 8 + 4 * half + j, cell + mixing.CELLS // 2]) / 2
-                total -= math.log1p(math.exp(-value))
-                slopes += np.array(inputs) / (1 + math.exp(value))
+                chance = float(mixer.cells[level * 8 + 4 * half + j, cell + mixing.CELLS // 2])
+                total += math.log(chance)
+                slopes += np.array(inputs) * (1 - chance)
                 done += 1
     return total
 
