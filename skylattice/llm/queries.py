@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import bpe, chat, linededup, mixing, neardup, phrases, quality, sitetree, tokenfile, toxicity, urlfilter
+from skylattice.llm import bpe, chat, collocations, linededup, mixing, neardup, phrases, prefixtrie, quality, sitetree, tokenfile, toxicity, urlfilter
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -267,5 +267,74 @@ def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), *found.columns[1:])
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op4_chat": op4_chat, "op5_toxicity": op5_toxicity, "op6_token_files": op6_token_files, "op7_html_text": op7_html_text, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_line_dedup": op10_line_dedup, "op10_passage_dedup": op10_passage_dedup, "op11_lm_score": op11_lm_score}
-ORACLES: dict[str, str] = {"op8_quality": _op8_sql(), "op4_chat": _OP4_SQL, "op2_near_duplicates": _OP2_SQL, "op3_decontamination": _OP3_SQL, "op9_url_filter": _OP9_SQL, "op10_line_dedup": _OP10_SQL}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+_OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?
+-
+]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+grams AS (SELECT lang, s AS size, array_to_string(w[i:i+s-1], ' ') AS phrase
+  FROM words, LATERAL unnest([1, 2, 3]) AS a(s), LATERAL unnest(generate_series(1, len(w) - s + 1)) AS b(i)),
+f AS (SELECT lang, size, phrase, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(n) AS n FROM f WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND n >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.size, c.n AS a, k, x.n AS l, y.n AS r, (1000000::HUGEINT * c.n * c.n) // (x.n::HUGEINT * y.n) AS score
+  FROM candidates c, LATERAL unnest(generate_series(1, c.size - 1)) AS u(k)
+    JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k+1:], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, n FROM candidates WHERE size = 3),
+gone AS (SELECT lang, phrase, max(n) AS longer FROM inside GROUP BY ALL),
+kept AS (SELECT * FROM lowest LEFT JOIN gone USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, t.n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN totals t USING (lang) WHERE rank <= 2000
+"""
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+# The CRC is folded bit by bit: a byte is taken in, then eight steps follow.
+_OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, octet_length(encode(coalesce(text, ''))) AS size,
+         substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS id
+  FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS place FROM t),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+                lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, (crc & 1) * 3988292384) END), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+parts AS (
+  SELECT c.conv_id, 0 AS part, b.place, b.id, b.size FROM convs c JOIN turns b ON b.conv_id = c.base AND b.place <= c.h
+  UNION ALL SELECT c.conv_id, 1, o.place, o.id, o.size FROM convs c JOIN turns o ON o.conv_id = c.conv_id AND o.place > c.h),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth FROM parts),
+prefixes AS (
+  SELECT conv_id, 0 AS depth, '' AS prefix, 0 AS size FROM convs
+  UNION ALL SELECT conv_id, depth, string_agg(id, '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth), size FROM placed),
+ends AS (SELECT prefix, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends
+  FROM (SELECT conv_id, arg_max(prefix, depth) AS prefix FROM prefixes GROUP BY conv_id) GROUP BY prefix),
+nodes AS (SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * any_value(size) AS saved FROM prefixes GROUP BY prefix, depth),
+children AS (SELECT substr(prefix, 1, length(prefix) - 32) AS prefix, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT x.*, coalesce(c.n, 0) AS n_children FROM nodes x LEFT JOIN children c USING (prefix)),
+above AS (SELECT substr(prefix, 1, 32 * d) AS prefix, saved, n_children FROM full_nodes, LATERAL unnest(generate_series(0, depth)) AS u(d)),
+sums AS (SELECT prefix, sum(saved)::BIGINT AS saved, count(*) FILTER (n_children = 0) AS leaves FROM above GROUP BY prefix)
+SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n AS n_convs, x.n_children, s.leaves AS n_leaves, s.saved AS saved_tokens,
+       coalesce(e.ends, sha256('')) AS ends_sha256
+FROM full_nodes x JOIN sums s USING (prefix) LEFT JOIN ends e USING (prefix)
+  LEFT JOIN nodes p ON x.depth > 0 AND p.prefix = substr(x.prefix, 1, length(x.prefix) - 32)
+"""
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_near_duplicates": op2_near_duplicates, "op3_decontamination": op3_decontamination, "op4_chat": op4_chat, "op5_toxicity": op5_toxicity, "op6_token_files": op6_token_files, "op7_html_text": op7_html_text, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_line_dedup": op10_line_dedup, "op10_passage_dedup": op10_passage_dedup, "op11_lm_score": op11_lm_score, "op12_collocations": op12_collocations, "op13_prefix_trie": op13_prefix_trie}
+ORACLES: dict[str, str] = {"op8_quality": _op8_sql(), "op4_chat": _OP4_SQL, "op2_near_duplicates": _OP2_SQL, "op3_decontamination": _OP3_SQL, "op9_url_filter": _OP9_SQL, "op10_line_dedup": _OP10_SQL, "op12_collocations": _OP12_SQL, "op13_prefix_trie": _OP13_SQL}
