@@ -1,17 +1,18 @@
 """Language-model scores by online logistic context mixing.
 
-A text counts as its tokens: words, A-Z lower-cased, one space between them, and an end. Every bit of
-these bytes is predicted by four contexts (the last 3, 4 and 6 bytes, and the word so far). Each
-hashes into a table of counts for every half byte; its log odds are an input of a mixer, whose weights
-are gated by how many of the longer contexts the corpus has shown and by the place of the bit. What is
-left is refined adaptively: a table by gate and mixed prediction tells the true chance, and every
-text moves the weights of its own four inputs after each of its blocks, from bits already coded. So a
-score is a true probability of the whole text, whatever its length.
+A text counts as its tokens: words, A-Z lower-cased, one space between them, and an end. Its bytes are written
+in a code of one to three half bytes, shorter for the bytes that are frequent in the corpus, and every bit of
+these is predicted by four contexts (the last 3, 4 and 6 bytes, and the word so far). Each hashes into a
+table of counts for half bytes; its log odds are an input of a mixer, whose weights are gated by how often
+the corpus has shown the context and by the place of the bit. What is left is refined adaptively: a
+table by mixed prediction and place tells the true chance, and every text moves the gains of its own four
+inputs after each of its blocks, from bits already coded. So a score is a true probability of the whole
+text, whatever its length.
 
 Counts are sums over all learning documents: every task adds up its own tables and sends them packed,
 and they are merged by table and block. The tables used for scores have a fixed size that is a parameter
 (``TABLE_BITS``), which bounds what is broadcast; more text fills them better and never lengthens them.
-Weights and corrections are learned on every ninth learning document with the counts of the others;
+Weights and chances are learned on every ninth learning document with the counts of the others;
 afterwards those documents' counts join the tables. Each task of that pass goes over its documents
 online; the mean by bits is what the tasks learned together, so weights differ a little with the
 cutting of the input. Scores are the same for the same input files.
@@ -53,19 +54,19 @@ WORD_BYTES = 4 << 20
 LONGEST_WORD = 64
 #: A text's own weights move after 256 bytes, then after blocks that double up to this many.
 LONGEST_BLOCK = 4096
-#: Steps of log odds in a table entry; cells of mixed log odds and steps among them.
+#: Steps of log odds in a table entry; cells of mixed log odds, and steps among them.
 SCALE = 12.0
 CELLS, CELL_SCALE = 321, 16.0
 INPUTS = len(ORDERS) + 1
 #: What both values of a bit count for before they are seen.
 UNSEEN = 0.1
-#: Where the weights start, by the number of known contexts.
-START = ((0.3, 0.3, 0.3, 0.3), (0.45, 0.4, 0.3, 0.3), (0.35, 0.4, 0.3, 0.3), (0.3, 0.45, 0.3, 0.3))
-#: Gates tell how many of the last inputs are known, and the place of the bit.
-LEVELS = INPUTS
-GATES = LEVELS * 8
-#: The middle cell of each gate, by level, half byte and bit.
-_GATES = (np.arange(GATES) * CELLS + CELLS // 2).astype(np.int32).reshape(LEVELS, 2, 4)
+#: How often a context must have been seen for each next gate; the first has not been seen at all.
+SEEN = (1, 4, 16, 128, 2048)
+CONFIDENCES = len(SEEN) + 1
+#: Where the weights start, by input.
+START = (0.3, 0.4, 0.3, 0.3)
+#: Cells are apart by place of the bit, for the first half byte of a code and for later ones.
+GATES = 8
 
 _U = np.uint64
 _SALT = np.array([0x9E3779B97F4A7C15 * (2 * k + 3) % (1 << 64) for k in range(INPUTS)], np.uint64)
@@ -78,6 +79,42 @@ _TURNS = np.where((_LEAVES[:, None] >> np.arange(3, -1, -1)) & 1, 1, -1).astype(
 _LN10 = float(np.log(10.0))
 
 
+class Code(NamedTuple):
+    """The half bytes of every byte value: how many, and for each its value and what tells its place in the code."""
+
+    sizes: np.ndarray
+    values: np.ndarray
+    salts: np.ndarray
+
+
+def byte_code(counts: np.ndarray) -> Code:
+    """A complete code: the 12 most frequent bytes take one half byte, the next 52 two, the others three."""
+    codes = np.zeros((256, 3), np.int64)
+    sizes, places = np.zeros(256, np.int64), np.zeros((256, 3), np.int64)
+    for rank, byte in enumerate(np.lexsort((np.arange(256), -counts)).tolist()):
+        if rank < 12:
+            code = [rank]
+        elif rank < 60:
+            code = [12 + (rank - 12) // 16, (rank - 12) % 16]
+        elif rank < 64:
+            code = [15, rank - 60]
+        else:
+            code = [15, 4 + (rank - 64) // 16, (rank - 64) % 16]
+        sizes[byte], codes[byte, : len(code)] = len(code), code
+        places[byte, 1] = 1 + code[0]
+        places[byte, 2] = 17 + code[1] if len(code) > 2 else 0
+    return Code(sizes, codes.reshape(-1), places.reshape(-1).astype(np.uint64) * _SALT[0])
+
+
+def half_bytes(code: Code, flat: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of every half byte of these bytes: its byte's index, value and salt, and whether it is a later one of its byte."""
+    sizes = code.sizes[flat]
+    of = np.repeat(np.arange(len(flat)), sizes)
+    stage = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    entry = flat[of] * np.int64(3) + stage
+    return of, code.values[entry], code.salts[entry], stage > 0
+
+
 class Run(NamedTuple):
     """Whole rows, or one part of a long row, as coded bytes."""
 
@@ -212,33 +249,23 @@ def _scrambled(value: np.ndarray, k: int) -> np.ndarray:
     return value
 
 
-def _slots(context: np.ndarray, salts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first slot of both half bytes in a table of 2**bits slots; ``salts`` tell the high halves apart."""
-    down, four = _U(64 - (bits - 4)), _U(4)
-    high = context * _C2
-    high >>= down
-    high <<= four
-    low = context + salts
-    low *= _C2
-    low ^= low >> _U(29)
-    low *= _C1
-    low >>= down
-    low <<= four
-    return high.view(np.int64), low.view(np.int64)
-
+def _slots(context: np.ndarray, salts: np.ndarray, bits: int) -> np.ndarray:
+    """The first slot of every half byte's 16 in a table of 2**bits slots; changes ``context``."""
+    context += salts
+    context *= _C2
+    context ^= context >> _U(29)
+    context *= _C1
+    context >>= _U(64 - (bits - 4))
+    context <<= _U(4)
+    return context.view(np.int64)
 
-_HALF_SALTS = (np.arange(1, 17, dtype=np.uint64) * _SALT[0])[np.arange(256) >> 4]
-_HIGH, _LOW = np.arange(256) >> 4, np.arange(256) & 15
 
-
-def _add_counts(tables: list[np.ndarray], window: Window) -> None:
-    high, low, salts = _HIGH[window.flat], _LOW[window.flat], _HALF_SALTS[window.flat]
+def _add_counts(tables: list[np.ndarray], code: Code, window: Window) -> None:
+    of, values, salts, _ = half_bytes(code, window.flat)
     for table, context, bits in zip(tables, _contexts(window), TABLE_BITS, strict=True):
-        first, second = _slots(context, salts, bits)
-        first += high
-        second += low
-        np.add.at(table, first, np.uint32(1))
-        np.add.at(table, second, np.uint32(1))
+        slots = _slots(context[of], salts, bits)
+        slots += values
+        np.add.at(table, slots, np.uint32(1))
 
 
 def _words(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -269,7 +296,25 @@ def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return part.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _packed_counts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+def byte_counts(counts: DataFrame) -> np.ndarray:
+    """How often each byte value occurs in the tokens of ``counts``, (word, n)."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256)
+        for batch in batches:
+            weights = batch.column(1).to_numpy().astype(np.float64)
+            for first, end, data, starts in pieces(batch.column(0)):
+                total += np.bincount(data, weights=np.repeat(weights[first:end], np.diff(starts)), minlength=256)
+                total[32] += weights[first:end].sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(total)], names=["byte", "n"])
+
+    out = np.zeros(256)
+    for byte, n in counts.select("word", "n").mapInArrow(kernel, "byte int, n double").groupBy("byte").agg(F.sum("n")).collect():
+        out[byte] = n
+    return out
+
+
+def _packed_counts(docs: DataFrame, code: Code, text: str, doc_id: str) -> DataFrame:
     """(input, block, fold, counts): each task's sums, packed, without the blocks that it has nothing for."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +328,7 @@ def _packed_counts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                     sums[fold] = [np.zeros(1 << bits, np.uint32) for bits in TABLE_BITS]
                 for run in runs(column, COUNT_BYTES):
                     for window in windows(run):
-                        _add_counts(sums[fold], window)
+                        _add_counts(sums[fold], code, window)
         for fold, tables in sums.items():
             for k, table in enumerate(tables):
                 rows = [(block, part) for block, part in enumerate(table.reshape(-1, 1 << BLOCK_BITS)) if part.any()]
@@ -297,14 +342,15 @@ def _packed_counts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def _log_odds(counts: np.ndarray) -> np.ndarray:
-    """Entries of a run of slots: log odds of a 1 bit at each of the 15 nodes of a half byte, 0 only where nothing was seen."""
+    """Entries of a run of slots: log odds of a 1 bit at each of the 15 nodes of a half byte, and first how often it was seen."""
     level = leaves = counts.reshape(-1, 16).astype(np.float64)
     out = np.zeros(leaves.shape, np.int8)
     for width in (8, 4, 2, 1):
         pairs = level.reshape(len(leaves), width, 2)
         odds = np.rint(np.log((pairs[:, :, 1] + UNSEEN) / (pairs[:, :, 0] + UNSEEN)) * SCALE)
+        out[:, width : 2 * width] = np.clip(odds, -126, 126)
         level = pairs.sum(2)
-        out[:, width : 2 * width] = np.where((odds == 0) & (level > 0), 1, np.clip(odds, -126, 126))
+    out[:, 0] = np.searchsorted(SEEN, level[:, 0], "right")
     return out.reshape(-1)
 
 
@@ -347,26 +393,31 @@ def _tables(merged: DataFrame, column: str) -> list[np.ndarray]:
     return tables
 
 
-def _paths(table: np.ndarray) -> np.ndarray:
-    """For every slot the four log odds on the way to its value, each for the bit taken there, as one number."""
+def _paths(table: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """For every slot the four log odds on the way to its value, each for the bit taken there, as one number.
+
+    With an input's ``weights`` by confidence and place they are weighted, in steps of the cells.
+    """
     out = np.empty((len(table) // 16, 16, 4), np.int8)
     entries = table.reshape(-1, 16)
+    factors = None if weights is None else (weights * np.float32(CELL_SCALE / SCALE))[entries[:, 0]]
     for leaf in range(16):
-        out[:, leaf] = entries[:, _PATHS[leaf]] * _TURNS[leaf]
+        way = entries[:, _PATHS[leaf]] * _TURNS[leaf]
+        out[:, leaf] = way if factors is None else np.clip(np.rint(way * factors), -127, 127)
     return out.reshape(-1).view(np.uint32)
 
 
 class Mixer:
-    """Weights by gate and input, in units of table steps, corrections by gate and cell, and each input's usual curvature.
+    """Weights by input, confidence and place, chances by gate and cell, and each input's usual curvature.
 
     All work on log odds for the bit that is really there. ``cells`` has its chance for every gate and cell of mixed log
     odds; cells of opposite odds sum up to 1, for the two values of a bit share one probability.
     """
 
     def __init__(self) -> None:
-        self.weights = np.repeat(np.array(START, np.float32)[:, None] / np.float32(SCALE), 8, axis=1)
+        self.weights = np.tile(np.array(START, np.float32)[:, None, None], (1, CONFIDENCES, 4))
         self.cells = np.tile(_plain_chances(), (GATES, 1)).astype(np.float32)
-        self.curvature = np.full(INPUTS, 0.13 * SCALE**2, np.float32)
+        self.curvature = np.full(INPUTS, 5.0, np.float32)
 
 
 def _plain_chances() -> np.ndarray:
@@ -392,6 +443,10 @@ def _segments(offsets: np.ndarray, place: int) -> tuple[np.ndarray, ...]:
     return begin[order], end[order], row[order], block[order]
 
 
+#: The middle cell of every place, of first and of later half bytes.
+_GATES = (np.arange(GATES) * CELLS + CELLS // 2).astype(np.int32).reshape(2, 4)
+
+
 def _rows_of(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Rows of four 32-bit values, each fetched as one value."""
     return np.ascontiguousarray(table).view(np.complex128).reshape(-1).take(rows).view(table.dtype)
@@ -404,23 +459,25 @@ def refined(right: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Scores runs of texts; ``learn`` also moves the shared weights and counts correction cells."""
+    """Scores runs of texts; with ``learn`` it also moves the shared weights and counts cells."""
 
-    def __init__(self, tables: list[np.ndarray], mixer: Mixer, learn: bool = False) -> None:
-        self.tables, self.mixer, self.learn, self.windows = tables, mixer, learn, Windows(SCORE_BYTES)
+    def __init__(self, tables: list[np.ndarray], mixer: Mixer, code: Code, learn: bool = False) -> None:
+        self.mixer, self.code, self.learn, self.windows = mixer, code, learn, Windows(SCORE_BYTES)
         self.weights = mixer.weights.copy()
+        self.paths = [_paths(table, None if learn else weights) for table, weights in zip(tables, self.weights, strict=True)]
+        self.seen = [np.ascontiguousarray(table[::16]) for table in tables] if learn else []
         # A chance and its logarithm are fetched as one value.
         self.cells = np.stack([mixer.cells.reshape(-1), np.log(mixer.cells.reshape(-1))], 1).view(np.complex64).reshape(-1)
         self.cell_counts = np.zeros(GATES * CELLS)
         self.curvature = np.zeros(INPUTS)
         self.bits = 0
-        self.gradient, self.hessian = np.zeros((LEVELS, 8, INPUTS)), np.zeros((LEVELS, 8, INPUTS))
+        self.gradient, self.hessian = np.zeros((2, *self.weights.shape))
 
     def __call__(self, run: Run) -> np.ndarray:
         """Natural log probability of every row of the run, or of its part of a row."""
         if run.head:
             rows = len(run.offsets) - 1
-            self.own, self.coded_bits = np.zeros((rows, INPUTS), np.float32), np.zeros(rows, np.float32)
+            self.gains, self.coded_bits = np.ones((rows, INPUTS), np.float32), np.zeros(rows, np.float32)
         total = np.zeros(len(run.offsets) - 1)
         for window in self.windows(run):
             total += self._window(window)
@@ -428,7 +485,7 @@ class Scorer:
 
     def _window(self, window: Window) -> np.ndarray:
         flat, offsets, place = window.flat, window.offsets, window.place
-        own, coded_bits = self.own, self.coded_bits
+        gains, coded_bits = self.gains, self.coded_bits
         rows, n = len(offsets) - 1, len(flat)
         total = np.zeros(rows)
         if not n:
@@ -437,36 +494,29 @@ class Scorer:
         edges = offsets_of(end - begin)
         order = np.arange(n) + np.repeat(begin - edges[:-1], end - begin)
         steps = np.searchsorted(block, np.arange(block[-1] + 2))
-        edges *= 8
-        coded = flat[order]
-        values, salts = (_HIGH[coded], _LOW[coded]), _HALF_SALTS[coded]
-        fetched = np.empty((INPUTS, n, 2), np.uint32)
-        level = np.zeros((n, 2), np.uint8)
-        for k, (table, context) in enumerate(zip(self.tables, _contexts(window), strict=True)):
-            for half, slots in enumerate(_slots(context[order], salts, TABLE_BITS[k])):
-                slots += values[half]
-                fetched[k, :, half] = table.take(slots)
-            if k:
-                level += fetched[k] != 0
-        # Every half byte has a level, and a row of four weights for each input.
-        place_of = level.reshape(-1).astype(np.int64) * 2
-        place_of[1::2] += 1
-        inputs = fetched.view(np.int8).reshape(INPUTS, n * 8).astype(np.float32)
-        gate = _rows_of(_GATES, place_of)
-        mixed = np.zeros(n * 8, np.float32)
-        for k in range(INPUTS):
-            weights = _rows_of(self.weights[..., k], place_of)
-            weights *= inputs[k]
-            mixed += weights
+        of, values, salts, later = half_bytes(self.code, flat[order])
+        edges = offsets_of(self.code.sizes[flat[order]])[edges] * 4
+        of = order[of]
+        fetched, seen = np.empty((INPUTS, len(of)), np.uint32), []
+        for k, (paths, context) in enumerate(zip(self.paths, _contexts(window), strict=True)):
+            slots = _slots(context[of], salts, TABLE_BITS[k])
+            if self.learn:
+                seen.append(self.seen[k].take(slots >> 4))
+            slots += values
+            fetched[k] = paths.take(slots)
+        inputs = fetched.view(np.int8).astype(np.float32)
+        if self.learn:
+            raw = inputs * np.float32(CELL_SCALE / SCALE)
+            inputs = np.stack([x * _rows_of(w, s) for x, w, s in zip(raw, self.weights, seen, strict=True)])
+        gate = _rows_of(_GATES, later.astype(np.int64))
 
         for step in range(len(steps) - 1):
             bounds, lanes = edges[steps[step] : steps[step + 1] + 1], row[steps[step] : steps[step + 1]]
             here, at = slice(bounds[0], bounds[-1]), bounds[:-1] - bounds[0]
-            if step or place:
-                for lane, a, b in zip(lanes.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    mixed[a:b] += own[lane] @ inputs[:, a:b]
-            value = mixed[here]
-            value *= np.float32(CELL_SCALE)
+            segments = list(zip(lanes.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+            value = np.empty(bounds[-1] - bounds[0], np.float32)
+            for lane, a, b in segments:
+                np.matmul(gains[lane], inputs[:, a:b], out=value[a - bounds[0] : b - bounds[0]])
             np.clip(value, -(CELLS // 2), CELLS // 2, out=value)
             cell = np.rint(value, out=value).astype(np.int64)
             cell += gate[here]
@@ -478,49 +528,53 @@ class Scorer:
                 break
             error = np.float32(1) - told[::2]
             coded_bits[lanes] += np.diff(bounds)
-            for lane, a, b in zip(lanes.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            for lane, a, b in segments:
                 slope = inputs[:, a:b] @ error[a - bounds[0] : b - bounds[0]]
-                own[lane] += slope / (self.mixer.curvature * (coded_bits[lane] + 4000)) / 2
+                gains[lane] += slope / (self.mixer.curvature * (coded_bits[lane] + 4000)) * np.float32(CELL_SCALE / 2)
             if self.learn:
+                bend = error * told[::2]
                 for k in range(INPUTS):
-                    self._count(k, gate[here] // CELLS, error, inputs[k, here], error * told[::2])
+                    self.curvature[k] += (bend * inputs[k, here] ** 2).sum()
+                    self._count(k, seen[k][bounds[0] // 4 : bounds[-1] // 4], error, raw[k, here], bend)
         if self.learn:
-            self.bits += n * 8
-            self.weights += (self.gradient / (self.hessian + 200 * SCALE**2) / INPUTS * 2).astype(np.float32)
+            self.bits += fetched.shape[1] * 4
+            self.weights += (self.gradient * CELL_SCALE / (self.hessian + 200 * CELL_SCALE**2) / INPUTS * 2).astype(np.float32)
             # Earlier runs fade, so the step follows the present slope.
             self.gradient *= 0.5
             self.hessian *= 0.9
         return total
 
-    def _count(self, k: int, gate: np.ndarray, error: np.ndarray, values: np.ndarray, variance: np.ndarray) -> None:
-        bend = variance * values * values
-        self.gradient[..., k] += np.bincount(gate, weights=error * values, minlength=GATES).reshape(LEVELS, 8)
-        self.hessian[..., k] += np.bincount(gate, weights=bend, minlength=GATES).reshape(LEVELS, 8)
-        self.curvature[k] += bend.sum()
+    def _count(self, k: int, seen: np.ndarray, error: np.ndarray, values: np.ndarray, bend: np.ndarray) -> None:
+        gate = (seen[:, None] * np.int64(4) + np.arange(4)).reshape(-1)
+        sums = lambda weights: np.bincount(gate, weights=weights, minlength=CONFIDENCES * 4).reshape(CONFIDENCES, 4)
+        self.gradient[k] += sums(error * values)
+        self.hessian[k] += sums(bend * values * values)
 
 
-def _learned(docs: DataFrame, tables, mixer: Mixer, text: str, doc_id: str) -> Mixer:
+def _learned(docs: DataFrame, tables, mixer: Mixer, code: Code, text: str, doc_id: str) -> Mixer:
     """One online pass of every task over the documents of fold 1, and the mean of what they learned."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer([_paths(table) for table in tables.value], mixer, learn=True)
+        scorer = None
         for batch in batches:
             for run in runs(batch.column(0), SCORE_BYTES):
+                scorer = scorer or Scorer(tables.value, mixer, code, learn=True)
                 scorer(run)
-        if scorer.bits:
+        if scorer and scorer.bits:
             parts = [[scorer.bits], scorer.weights.reshape(-1).astype(np.float64) * scorer.bits, scorer.cell_counts, scorer.curvature]
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(parts).tolist()])], names=["sums"])
 
     sample = _folds(docs, text, doc_id).filter("fold = 1").select("text")
     parts = sample.mapInArrow(kernel, "sums array<double>").select(F.posexplode("sums").alias("place", "value"))
     # One sum for each of a few thousand places, whatever the input.
-    sums = np.zeros(1 + GATES * (INPUTS + CELLS) + INPUTS)
+    sizes = [INPUTS * CONFIDENCES * 4, GATES * CELLS, INPUTS]
+    sums = np.zeros(1 + sum(sizes))
     for place, value in parts.groupBy("place").agg(F.sum("value")).collect():
         sums[place] = value
     out, bits = Mixer(), sums[0]
     if bits:
-        weights, right, curvature = np.split(sums[1:], [GATES * INPUTS, GATES * (INPUTS + CELLS)])
-        out.weights = (weights / bits).reshape(LEVELS, 8, INPUTS).astype(np.float32)
+        weights, right, curvature = np.split(sums[1:], np.cumsum(sizes)[:-1])
+        out.weights = (weights / bits).reshape(INPUTS, CONFIDENCES, 4).astype(np.float32)
         out.curvature = np.maximum(curvature / bits, 0.1).astype(np.float32)
         out.cells = refined(right)
     return out
@@ -558,6 +612,7 @@ class Model(NamedTuple):
 
     tables: list[np.ndarray]
     mixer: Mixer
+    code: Code
     counts: DataFrame
     frequent: pa.Table
     #: All tokens, the different ones, and the ends among them.
@@ -574,11 +629,12 @@ def fit(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Model
     ends = F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0))
     tokens, different, endings = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), ends).first()
     frequent = counts.filter("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
-    merged = materialize(_merged(_packed_counts(docs, text, doc_id)))
+    code = byte_code(byte_counts(counts))
+    merged = materialize(_merged(_packed_counts(docs, code, text, doc_id)))
     part = spark.sparkContext.broadcast(_tables(merged, "part"))
-    mixer = _learned(docs, part, Mixer(), text, doc_id)
+    mixer = _learned(docs, part, Mixer(), code, text, doc_id)
     part.unpersist()
-    return Model(_tables(merged, "whole"), mixer, counts, frequent, tokens, different, endings)
+    return Model(_tables(merged, "whole"), mixer, code, counts, frequent, tokens, different, endings)
 
 
 def scored(docs: DataFrame, model: Model, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -589,11 +645,11 @@ def scored(docs: DataFrame, model: Model, *, text: str = "text", doc_id: str = "
     below = np.log10(model.tokens + 0.1 * (model.different + 1))
     base_of = lambda n: np.log10(np.asarray(n, np.float64) + 0.1) - below
     end_base, end_known = float(base_of(model.endings)), int(model.endings > 0)
-    sent = spark.sparkContext.broadcast((model.tables, model.mixer, model.frequent))
+    sent = spark.sparkContext.broadcast((model.tables, model.mixer, model.code, model.frequent))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, learned, words = sent.value
-        scorer = Scorer([_paths(table) for table in tables], learned)
+        tables, learned, code, words = sent.value
+        scorer = Scorer(tables, learned, code)
         known, logs = np.zeros(0, np.uint64), np.zeros(0)
         if len(words):
             held = words.column(0).combine_chunks().cast(pa.large_string())

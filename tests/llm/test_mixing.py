@@ -35,52 +35,63 @@ def contexts(data, i):
     return [(k, data[max(0, i - k) : i]) for k in mixing.ORDERS] + [("word", data[start:i])]
 
 
-def halves(data, i):
-    """For both halves of a byte: the key of its tree, and the bits."""
-    for half, value in enumerate((data[i] >> 4, data[i] & 15)):
-        yield half, (data[i] >> 4) if half else None, [(value >> (3 - j)) & 1 for j in range(4)]
+def halves(code, byte):
+    """For every half byte of a byte's code: those before it, and its bits."""
+    values = code.values.reshape(256, 3)[byte, : code.sizes[byte]].tolist()
+    for k, value in enumerate(values):
+        yield tuple(values[:k]), [(value >> (3 - j)) & 1 for j in range(4)]
 
 
-def learn(texts):
+def learn(texts, code):
     counts = Counter()
     for text in texts:
         data = stream(text)
         for i in range(len(data)):
             for name in contexts(data, i):
-                for _, high, bits in halves(data, i):
+                for before, bits in halves(code, data[i]):
                     for j in range(4):
-                        counts[name, high, tuple(bits[:j]), bits[j]] += 1
+                        counts[name, before, tuple(bits[:j]), bits[j]] += 1
     return counts
 
 
-def log_probability(text, counts, mixer):
+def log_probability(text, counts, mixer, code):
     """Bit by bit, with the same weights, cells and block ends."""
     data = stream(text)
-    own, done, total = np.zeros(mixing.INPUTS), 0, 0.0
+    gains, done, total = np.ones(mixing.INPUTS), 0, 0.0
     slopes, block, ends = np.zeros(mixing.INPUTS), 0, 256
     for i in range(len(data)):
         if i == ends:
-            own += slopes / (mixer.curvature * (done + 4000)) / 2
+            gains += slopes / (mixer.curvature * (done + 4000)) * mixing.CELL_SCALE / 2
             slopes, block, ends = np.zeros(mixing.INPUTS), block + 1, ends + min(256 << (block + 1), mixing.LONGEST_BLOCK)
         names = contexts(data, i)
-        for half, high, bits in halves(data, i):
-            seen = [counts[name, high, (), 0] + counts[name, high, (), 1] > 0 for name in names]
+        for before, bits in halves(code, data[i]):
+            seen = [sum(s <= counts[name, before, (), 0] + counts[name, before, (), 1] for s in mixing.SEEN) for name in names]
             for j, bit in enumerate(bits):
                 inputs = []
-                for name in names:
-                    n0, n1 = (counts[name, high, tuple(bits[:j]), b] for b in (0, 1))
-                    odds = max(-126, min(126, round(math.log((n1 + mixing.UNSEEN) / (n0 + mixing.UNSEEN)) * mixing.SCALE))) or int(n0 + n1 > 0)
-                    inputs.append(odds * (1 if bit else -1))
-                level = sum(seen[1:])
-                value = float(np.dot(mixer.weights[level, 4 * half + j] + own, inputs))
-                cell = max(-(mixing.CELLS // 2), min(mixing.CELLS // 2, round(value * mixing.CELL_SCALE)))
-                chance = float(mixer.cells[level * 8 + 4 * half + j, cell + mixing.CELLS // 2])
+                for k, name in enumerate(names):
+                    n0, n1 = (counts[name, before, tuple(bits[:j]), b] for b in (0, 1))
+                    odds = max(-126, min(126, round(math.log((n1 + mixing.UNSEEN) / (n0 + mixing.UNSEEN)) * mixing.SCALE)))
+                    weighted = odds * float(mixer.weights[k, seen[k], j]) * mixing.CELL_SCALE / mixing.SCALE
+                    inputs.append(max(-127, min(127, round(weighted))) * (1 if bit else -1))
+                value = float(np.dot(gains, inputs))
+                cell = max(-(mixing.CELLS // 2), min(mixing.CELLS // 2, round(value)))
+                chance = float(mixer.cells[4 * bool(before) + j, cell + mixing.CELLS // 2])
                 total += math.log(chance)
                 slopes += np.array(inputs) * (1 - chance)
                 done += 1
     return total
 
 
+def test_the_byte_code_is_complete():
+    pick = random.Random(4)
+    for counts in (np.zeros(256), np.array([pick.randrange(1000) for _ in range(256)])):
+        code = mixing.byte_code(counts)
+        codes = {tuple(code.values.reshape(256, 3)[b, : code.sizes[b]].tolist()) for b in range(256)}
+        assert len(codes) == 256 and sum(16.0 ** -len(c) for c in codes) == 1
+        order = sorted(range(256), key=lambda b: (-counts[b], b))
+        assert [int(code.sizes[b]) for b in order] == [1] * 12 + [2] * 52 + [3] * 192
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     texts = corpus(60, 1)
@@ -89,11 +100,11 @@ def model(spark):
 
 def test_scores_equal_a_model_bit_by_bit(spark, model):
     texts, fitted = model
-    counts = learn(texts)
+    counts = learn(texts, fitted.code)
     tests = [*corpus(12, 2), None, "", " \t\n", "moon" * 300, " ".join(corpus(30, 3)), "zq ünseen Ω", texts[3]]
     rows = mixing.scored(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), fitted).orderBy("doc_id").collect()
     for row, text in zip(rows, tests, strict=True):
-        expected = log_probability(text if text != "moon" * 300 else "", counts, fitted.mixer) / math.log(10)
+        expected = log_probability(text if text != "moon" * 300 else "", counts, fitted.mixer, fitted.code) / math.log(10)
         if text != "moon" * 300:  # such a word starts again in the model, which the loop does not know
             assert row["score"] == pytest.approx(expected, rel=2e-3, abs=2e-3), text
         assert row["n_bytes"] == len(stream(text))
@@ -102,19 +113,19 @@ def test_scores_equal_a_model_bit_by_bit(spark, model):
 
 def test_the_bytes_of_any_context_share_one_probability(model):
     _, fitted = model
-    scorer = mixing.Scorer([mixing._paths(t) for t in fitted.tables], fitted.mixer)
+    scorer = mixing.Scorer(fitted.tables, fitted.mixer, fitted.code)
     for start in (b"", b"sun mo", b"\xc3"):
         # Two bytes of UTF-8 are cut, so all 256 values can follow; every row goes without its end.
         flat = np.frombuffer(b"".join(start + bytes([v]) for v in range(256)), np.uint8)
         size = len(start) + 1
         offsets = np.arange(257) * size
         tokens = np.unique(np.r_[offsets, offsets[:-1] + (4 if start == b"sun mo" else 0)])
-        scorer.own, scorer.coded_bits = np.zeros((256, mixing.INPUTS), np.float32), np.zeros(256, np.float32)
+        scorer.gains, scorer.coded_bits = np.ones((256, mixing.INPUTS), np.float32), np.zeros(256, np.float32)
         whole = scorer._window(mixing.Window(flat, offsets, tokens, np.zeros(0, np.uint8), 0))
         prefix = 0.0
         if start:
             first = offsets[:1]
-            scorer.own, scorer.coded_bits = np.zeros((1, mixing.INPUTS), np.float32), np.zeros(1, np.float32)
+            scorer.gains, scorer.coded_bits = np.ones((1, mixing.INPUTS), np.float32), np.zeros(1, np.float32)
             cut = np.array([0, len(start)])
             own = np.array([0, 4, 6]) if start == b"sun mo" else cut
             prefix = scorer._window(mixing.Window(flat[first[0] : len(start)], cut, own, np.zeros(0, np.uint8), 0))[0]
@@ -124,10 +135,9 @@ def test_the_bytes_of_any_context_share_one_probability(model):
 def test_long_texts_in_parts_score_like_whole_ones(monkeypatch, model):
     _, fitted = model
     text = " ".join(corpus(400, 5))
-    tables = [mixing._paths(t) for t in fitted.tables]
 
     def score(limit):
-        scorer = mixing.Scorer(tables, fitted.mixer)
+        scorer = mixing.Scorer(fitted.tables, fitted.mixer, fitted.code)
         scorer.windows.limit = limit
         parts = list(mixing.runs(pa.array([text, "x"]), limit))
         return sum(scorer(run).sum() for run in parts), len(parts)
@@ -172,7 +182,8 @@ def test_no_documents_and_nothing_to_learn_from(spark, tmp_path):
     spark.createDataFrame([(held, "one two")], "doc_id long, text string").write.parquet(f"{tmp_path}/b/documents.parquet")
     (row,) = queries.op11_lm_score(spark, f"{tmp_path}/b").collect()
     assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == (3, 0, 0)
-    assert row["bits_per_byte"] == pytest.approx(8)
+    sizes = mixing.byte_code(np.zeros(256)).sizes[list(b"one two\n")]
+    assert row["bits_per_byte"] == pytest.approx(4 * sizes.mean())
 
 
 def test_held_out_text_is_told_better_than_by_words_alone(spark):
