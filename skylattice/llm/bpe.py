@@ -307,12 +307,16 @@ def encode(df: DataFrame, vocabulary_path: str, *, text: str = "text", ids: str
 def _decoded(vocabulary: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     data, cuts = vocabulary.decode(ids, ends)
     raw = data.tobytes()
+    begins = data[cuts[:-1][cuts[:-1] < len(data)]]
     try:
         raw.decode()
-        return strings_of(data, cuts).cast(pa.string())
+        whole = not ((begins & 0xC0) == 0x80).any()  # two rows may hold the halves of one character
     except UnicodeDecodeError:  # ids that cut a character apart
-        rows = cuts.tolist()
-        return pa.array([raw[a:b].decode(errors="replace") for a, b in zip(rows, rows[1:], strict=False)], pa.string())
+        whole = False
+    if whole:
+        return strings_of(data, cuts).cast(pa.string())
+    rows = cuts.tolist()
+    return pa.array([raw[a:b].decode(errors="replace") for a, b in zip(rows, rows[1:], strict=False)], pa.string())
 
 
 def decode(df: DataFrame, vocabulary_path: str, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -67,6 +67,13 @@ def test_decode_of_cut_characters(spark, vocabulary, library):
     assert got == {1: library.decode(ids[:1], skip_special_tokens=False), 2: "", 3: ""}
 
 
+def test_halves_of_one_character_in_neighbouring_rows(spark, vocabulary):
+    ids = {bytes(vocabulary.decode(np.array([k]), np.array([0, 1]))[0]): k for k in range(300)}
+    df = spark.createDataFrame([(1, [ids[b"\xc3"]]), (2, [ids[b"\xa9"]]), (3, [ids[b"a"]])], "k long, ids array<int>").coalesce(1)
+    got = {r.k: r.decoded for r in bpe.decode(df, PATH).collect()}
+    assert got == {1: "\ufffd", 2: "\ufffd", 3: "a"}
+
+
 def test_query_digests(spark, library, tmp_path):
     from skylattice.llm.queries import op1_bpe
 

@@ -82,3 +82,27 @@ def test_stages(spark, tables):
         assert [f.dataType for f in out.schema] == [f.dataType for f in documents.schema], name
         assert stage(spark, documents.limit(0), folder).count() == 0, name
     assert P.STAGES[-1][1](spark, documents.limit(0), folder).count() == 0
+
+
+NAMES = """kept counts base_failed character_distance common_word_distance _language _characters _common chunks _lines _marks _ends _gone _doc
+n_chunks n_removed removed_chars _id _version _node component_id class_id n_shingles words item_id contaminated n_hit items _text _gone_text segment row
+decoded _decoded ids n_tokens h1 h2 place c0 there""".split()
+
+
+def test_other_columns_pass_through_whatever_their_names(spark, tables):
+    """Stages neither change nor choke on columns that are called like their own."""
+    _, _, folder = tables
+    plain = spark.read.parquet(f"{folder}/documents.parquet")
+    from pyspark.sql import functions as F
+
+    crowded = plain.select("*", *[F.concat(F.lit(f"{name} of "), F.col("doc_id").cast("string")).alias(name) for name in NAMES])
+    for name, stage in P.STAGES:
+        expected = stage(spark, plain, folder)
+        out = stage(spark, crowded, folder)
+        if name != "encoding":
+            assert out.columns == crowded.columns, name
+            for row in out.select("doc_id", *NAMES).collect():
+                assert all(row[c] == f"{c} of {row.doc_id}" for c in NAMES), name
+        columns = expected.columns
+        rows = [sorted(map(repr, df.select(*columns).collect())) for df in (expected, out)]
+        assert rows[0] == rows[1], name

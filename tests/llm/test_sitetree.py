@@ -32,6 +32,11 @@ def texts(spark, pages):
         ("<p>1 < 2 and <3 &am &bogus;</p></div></i><b>z", "1 < 2 and <3 &am &bogus;\nz"),
         ("<article><p>open <b>bold<br><p>next</article>", "open bold\nnext"),
         ("<p>a<![CDATA[<x> &amp;]]>b</p><unknown-tag>q</unknown-tag><p", "a<x> &amp;b\nq"),
+        ("<p>one</p><p title=it's>two</p><p>three</p>", "one\ntwo\nthree"),
+        ("<p data-x=don't>Second.</p><p>Third.</p><p>It's fourth.</p>", "Second.\nThird.\nIt's fourth."),
+        ("<p><a href=/o'brien>O'Brien</a> and <a title=5\"disk>more</a></p><p>x", "O'Brien and more\nx"),
+        ("<p title = 'a>b' it's>x</p><p class=\"a'b>c\" x='\">'>y</p><p a==b>z</p>", "x\ny\nz"),
+        ("<p class=bad's>kept</p><p class='x ad'>cut</p><p class = ad>cut</p><p id=\"x>promo\">cut</p>", "kept"),
         ("<P CLASS='Ad'>a</P><DIV ROLE=navigation>n</DIV><P>k</P>", "k"),
     ],
 )
