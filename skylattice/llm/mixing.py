@@ -12,7 +12,7 @@ text, whatever its length.
 Counts are sums over all learning documents: every task adds up its own tables and sends them packed,
 and they are merged by table and block. The tables used for scores have a fixed size that is a parameter
 (``TABLE_BITS``), which bounds what is broadcast; more text fills them better and never lengthens them.
-Weights and chances are learned on every ninth learning document with the counts of the others;
+Weights and chances are learned on every 18th learning document with the counts of the others;
 afterwards those documents' counts join the tables. Each task of that pass goes over its documents
 online; the mean by bits is what the tasks learned together, so weights differ a little with the
 cutting of the input. Scores are the same for the same input files.
@@ -45,7 +45,7 @@ TABLE_BITS = (22, 22, 22, 22)
 #: Slots in one packed row of counts, as a power of two.
 BLOCK_BITS = 14
 #: Words that are looked up within the scoring pass.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 17
 #: Texts are counted and scored in windows of about this many bytes.
 COUNT_BYTES, SCORE_BYTES = 256 << 10, 24 << 10
 #: Words are counted in runs of about this many bytes.
@@ -274,9 +274,9 @@ def _words(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def _folds(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """text, fold: fold 1 is every ninth document, by its id."""
+    """text, fold: fold 1 is every 18th document, by its id."""
     number = F.floor(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))) / 10)
-    return docs.select(F.col(text).cast("string").alias("text"), (number % 9 == 0).cast("int").alias("fold"))
+    return docs.select(F.col(text).cast("string").alias("text"), (number % 18 == 0).cast("int").alias("fold"))
 
 
 def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
