@@ -119,3 +119,16 @@ def deg_to_e7(deg) -> Column:
 
 def e7_to_deg(value) -> Column:
     return col(value) / C.E7
+
+
+def _spread_bits(value: Column) -> Column:
+    """A zero bit before each of the low 24 bits."""
+    spread = value.cast("long").bitwiseAND(F.lit(0xFFFFFF))
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        spread = spread.bitwiseOR(F.shiftleft(spread, shift)).bitwiseAND(F.lit(mask))
+    return spread
+
+
+def place_on_curve(x, y) -> Column:
+    """The tile's place on a space-filling curve: the bits of column and row in turn, so near tiles mostly have near places."""
+    return _spread_bits(col(x)).bitwiseOR(F.shiftleft(_spread_bits(col(y)), 1))

@@ -6,13 +6,17 @@ nested form for tile payloads is :func:`nest_runways`.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice import constants as C
 from skylattice.functions import airports as A
 from skylattice.functions import geo, tilemath
-from skylattice.operators.skew import DEFAULT_SALTS, fan_out_join
+from skylattice.operators import nearest, quadtree
+from skylattice.operators.skew import fan_out_join
+from skylattice.session import materialize
 
 
 def approach_idents(runways: DataFrame, navaids: DataFrame) -> DataFrame:
@@ -137,40 +141,82 @@ def airport_index(airports: DataFrame, runways: DataFrame, navaids: DataFrame) -
 # --- search ---------------------------------------------------------------------------------
 
 _GRAM = 3
+_ROW = "_row_id"
 
 
-def airport_search(index: DataFrame, queries: DataFrame, *, limit: int = C.SEARCH_LIMIT) -> DataFrame:
-    """Best ``limit`` index rows per query by score, then by index order (tier, icao).
+class SearchIndex(NamedTuple):
+    """Stored tables that searches meet.
 
-    ``queries`` has query_id and q. Instead of testing every row against every query, both sides
-    meet on a piece of text: the first three characters of the query (or all of a shorter one)
-    must occur in a matching row, so rows are listed under all their one- to three-character pieces.
+    ``rows``: of every distinct text the first rows in index order, as many as a search may show, under
+    kind ('code' or 'name') and text. ``lists``: gram, kind, text. ``lengths``: gram, n.
     """
-    asked = (
-        queries.withColumn("q", F.lower(F.trim("q")))
-        .filter(F.col("q") != "")
-        .withColumn("_gram", F.substring("q", 1, _GRAM))
-    )
-    texts = F.transform(
-        F.array("icao", "iata", "city", "name"), lambda text: F.lower(F.coalesce(text, F.lit("")))
-    )
 
-    def pieces(text: Column) -> Column:
-        starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text)))
-        cuts = F.transform(
-            starts, lambda i: F.array(*[F.substring(text, i, F.lit(n)) for n in range(1, _GRAM + 1)])
-        )
-        return F.coalesce(F.flatten(cuts), F.array().cast("array<string>"))
-
-    listed = index.withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.transform(texts, pieces)))))
-    hits = fan_out_join(listed, asked, ["_gram"], spread_by=["icao", "name"]).withColumn("score", A.search_score("q"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("tier"), "icao", "name")
-    return (
-        hits.filter(F.col("score") > 0)
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= limit)
-        .select("query_id", "q", "rank", "score", *index.columns)
-    )
+    rows: DataFrame
+    lists: DataFrame
+    lengths: DataFrame
+    columns: list[str]
+    limit: int
+
+
+def _grams(text: Column, *sizes: int) -> Column:
+    """The distinct pieces of these lengths."""
+
+    def of(size: int) -> Column:
+        starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1)))
+        return F.coalesce(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))), F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of(size) for size in sizes]))
+
+
+def build_search_index(index: DataFrame, *, limit: int = C.SEARCH_LIMIT) -> SearchIndex:
+    """Texts before rows: equal texts are listed once, and a row counts only while fewer than ``limit`` rows
+    with the same text come before it, for these would be shown first."""
+    texts = [
+        F.struct(F.lit(kind).alias("kind"), F.lower(F.coalesce(column, F.lit(""))).alias("text"))
+        for column, kind in (("icao", "code"), ("iata", "code"), ("city", "name"), ("name", "name"))
+    ]
+    listed = index.withColumn(_ROW, F.monotonically_increasing_id()).withColumn("_t", F.explode(F.array_distinct(F.array(*texts))))
+    order = Window.partitionBy("_t").orderBy(F.desc("tier"), "icao", "name", _ROW)
+    first = listed.filter(F.col("_t.text") != "").withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= limit)
+    rows = materialize(first.select(F.col("_t.kind").alias("_kind"), F.col("_t.text").alias("_text"), _ROW, *index.columns))
+    distinct = rows.select("_kind", "_text").distinct()
+    lists = materialize(distinct.select(F.explode(_grams(F.col("_text"), *range(1, _GRAM + 1))).alias("_gram"), "_kind", "_text"))
+    lengths = lists.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    return SearchIndex(rows, lists, lengths, index.columns, limit)
+
+
+def _matches(stored: SearchIndex, asked: DataFrame) -> DataFrame:
+    """(q, kind, text, score) of the texts that hold a query: each query meets the list of its rarest gram only."""
+    grams = F.when(F.length("q") <= _GRAM, F.array("q")).otherwise(_grams(F.col("q"), _GRAM))
+    rated = asked.select("q", F.explode(grams).alias("_gram")).join(stored.lengths, "_gram", "left")
+    # A query with a gram that no text has matches nothing.
+    rarest = rated.groupBy("q").agg(F.min_by("_gram", F.coalesce("_n", F.lit(0))).alias("_gram"))
+    met = rarest.join(stored.lists, "_gram").filter(F.col("_text").contains(F.col("q")))
+    code = F.when(F.col("_text") == F.col("q"), 1000).when(F.col("_text").startswith(F.col("q")), 500).otherwise(100)
+    name = F.when(F.col("_text").startswith(F.col("q")), 200).otherwise(50)
+    return met.select("q", "_kind", "_text", F.when(F.col("_kind") == "code", code).otherwise(name).alias("score"))
+
+
+def airport_search(index: DataFrame | SearchIndex, queries: DataFrame, *, limit: int = C.SEARCH_LIMIT) -> DataFrame:
+    """Best ``limit`` index rows per query by score, then by index order (tier, icao, name).
+
+    ``queries`` has query_id and q; equal queries are answered once. ``index`` may be a stored
+    :class:`SearchIndex` built for at least ``limit`` rows.
+    """
+    stored = index if isinstance(index, SearchIndex) else build_search_index(index, limit=limit)
+    if limit > stored.limit:
+        raise ValueError(f"the index was built for {stored.limit} rows a search")
+    asked = queries.withColumn("q", F.lower(F.trim("q"))).filter(F.col("q") != "")
+    hits = _matches(stored, asked.select("q").distinct()).join(stored.rows, ["_kind", "_text"])
+    order = [F.desc("score"), F.desc("tier"), "icao", "name", _ROW]
+    by_query = Window.partitionBy("q").orderBy(*order)
+    # A row comes under each of its up to four texts; the best of them counts.
+    few = hits.withColumn("_rn", F.row_number().over(by_query)).filter(F.col("_rn") <= 4 * limit)
+    own = Window.partitionBy("q", _ROW).orderBy(F.desc("score"), "_rn")
+    once = few.withColumn("_rn", F.row_number().over(own)).filter(F.col("_rn") == 1)
+    best = once.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= limit)
+    found = best.select("q", "rank", "score", *stored.columns)
+    return asked.select("query_id", "q").join(found, "q").select("query_id", "q", "rank", "score", *stored.columns)
 
 
 def resolve_points(requests: DataFrame, index: DataFrame) -> DataFrame:
@@ -214,82 +260,31 @@ def geocode_clean(addresses: DataFrame) -> DataFrame:
 
 # --- nearest field --------------------------------------------------------------------------
 
-# Grid steps in degrees for the nearest search, finest first; the last covers the whole map.
-_STEPS = tuple(512.0 / 4**i for i in range(9, -1, -1))
-
-
 def nearest_approach_airport(
     sites: DataFrame, airports: DataFrame, *, same_tile_zoom: int | None = None
 ) -> DataFrame:
     """Each site's nearest airport with an instrument approach: icao, lat/lon, dist_nm; ties by ident.
 
     ``airports`` has ident, lat, lon, instrument_approach. With ``same_tile_zoom`` only the site's
-    own tile is searched (sites in tiles without one are left out).
-
-    Otherwise the search is exact over the whole map without meeting every airport. Airports are
-    listed in a grid at every step size, and the occupied cells mark their 3x3 neighbourhoods. A
-    site's finest marked cell bounds the distance. It then meets the airports of the cells within
-    that bound, at a step where these are few.
+    own tile is searched (sites in tiles without one are left out). Otherwise the search is exact
+    over the whole map (:mod:`nearest`).
     """
-    fields = airports.filter("instrument_approach").select(
-        F.col("ident").alias("icao"), F.col("lat").alias("icao_lat"), F.col("lon").alias("icao_lon")
+    fields = airports.filter("instrument_approach")
+    if same_tile_zoom is None:
+        points = fields.select(F.col("ident").alias("id"), "lat", "lon")
+        found = nearest.nearest(sites, points)
+        best = {"icao": "id", "icao_lat": "lat", "icao_lon": "lon", "dist_nm": "dist_nm"}
+        return found.select(*sites.columns, *[F.col("_best")[field].alias(name) for name, field in best.items()])
+
+    zoom, keys = same_tile_zoom, sites.columns
+    here = sites.withColumns({"_x": tilemath.tile_x(zoom, "lon"), "_y": tilemath.tile_y(zoom, "lat")})
+    there = fields.select(F.col("ident").alias("icao"), F.col("lat").alias("icao_lat"), F.col("lon").alias("icao_lon")).withColumns(
+        {"_x": tilemath.tile_x(zoom, "icao_lon"), "_y": tilemath.tile_y(zoom, "icao_lat")}
     )
     distance = geo.distance_nm("lat", "lon", "icao_lat", "icao_lon").alias("dist_nm")
-    best = F.min(F.struct("dist_nm", "icao", "icao_lat", "icao_lon")).alias("_best")
-    keys = sites.columns
-
-    def pick(met: DataFrame) -> DataFrame:
-        chosen = met.select(*keys, "icao", "icao_lat", "icao_lon", distance).groupBy(*keys).agg(best)
-        return chosen.select(*keys, *[F.col("_best")[c].alias(c) for c in ("icao", "icao_lat", "icao_lon", "dist_nm")])
-
-    if same_tile_zoom is not None:
-        zoom = same_tile_zoom
-        here = sites.withColumns({"_x": tilemath.tile_x(zoom, "lon"), "_y": tilemath.tile_y(zoom, "lat")})
-        there = fields.withColumns(
-            {"_x": tilemath.tile_x(zoom, "icao_lon"), "_y": tilemath.tile_y(zoom, "icao_lat")}
-        )
-        return pick(fan_out_join(there, here, ["_x", "_y"], spread_by=["icao"]))
-
-    steps = F.array(*[F.lit(s) for s in _STEPS])
-    levels = F.explode(F.sequence(F.lit(0), F.lit(len(_STEPS) - 1))).alias("_level")
-
-    def step() -> Column:
-        return F.element_at(steps, F.col("_level") + 1)
-
-    def cells(low: Column, high: Column) -> Column:
-        return F.explode(F.sequence(F.floor(low / step()), F.floor(high / step())))
-
-    listed = fields.select("*", levels).select(
-        "*", F.floor(F.col("icao_lat") / step()).alias("_row"), F.floor(F.col("icao_lon") / step()).alias("_col")
-    )
-    around = F.sequence(F.lit(-1), F.lit(1))
-    covered = (
-        listed.select("_level", "_row", "_col")
-        .distinct()
-        .select("*", F.explode(around).alias("_up"))
-        .select("*", F.explode(around).alias("_right"))
-        .select("_level", (F.col("_row") + F.col("_up")).alias("_row"), (F.col("_col") + F.col("_right")).alias("_col"))
-        .distinct()
-    )
-    own = sites.select(*keys, levels).select(
-        "*", F.floor(F.col("lat") / step()).alias("_row"), F.floor(F.col("lon") / step()).alias("_col")
-    )
-    finest = own.join(covered, ["_level", "_row", "_col"], "left_semi").groupBy(*keys).agg(F.min(step()).alias("_step"))
-    # An airport in the 3x3 cells is at most two steps away along each axis.
-    cos_lat = F.greatest(F.cos(F.radians("lat")), F.lit(1.0e-9))
-    reach_lat = F.lit(2.0) * F.col("_step") * F.sqrt(1.0 + cos_lat * cos_lat)
-    reach_lon = F.least(reach_lat / cos_lat, F.lit(540.0))
-    fitting = F.filter(F.sequence(F.lit(0), F.lit(len(_STEPS) - 1)), lambda i: F.element_at(steps, i + 1) >= reach_lon / 2.0)
-    bounded = finest.select(
-        *keys,
-        reach_lat.alias("_rlat"),
-        reach_lon.alias("_rlon"),
-        F.coalesce(F.try_element_at(fitting, F.lit(1)), F.lit(len(_STEPS) - 1)).alias("_level"),
-    )
-    looking = bounded.select("*", cells(F.col("lat") - F.col("_rlat"), F.col("lat") + F.col("_rlat")).alias("_row")).select(
-        "*", cells(F.col("lon") - F.col("_rlon"), F.col("lon") + F.col("_rlon")).alias("_col")
-    )
-    return pick(fan_out_join(listed, looking, ["_level", "_row", "_col"], spread_by=["icao"]))
+    met = fan_out_join(there, here, ["_x", "_y"], spread_by=["icao"]).select(*keys, "icao", "icao_lat", "icao_lon", distance)
+    chosen = met.groupBy(*keys).agg(F.min(F.struct("dist_nm", "icao", "icao_lat", "icao_lon")).alias("_best"))
+    return chosen.select(*keys, *[F.col("_best")[c].alias(c) for c in ("icao", "icao_lat", "icao_lon", "dist_nm")])
 
 
 def reference_label(nearest: DataFrame) -> DataFrame:
@@ -303,43 +298,37 @@ def reference_label(nearest: DataFrame) -> DataFrame:
 # --- views ----------------------------------------------------------------------------------
 
 
-def airports_near(
-    airports: DataFrame, views: DataFrame, *, zoom: int = C.RENDER_ZOOM, salts: int = DEFAULT_SALTS
-) -> DataFrame:
+def airports_near(airports: DataFrame, views: DataFrame, *, hot_rows: int | None = None) -> DataFrame:
     """Airports within ``radius_km`` of each view (view_id, center_lat, center_lon, radius_km)."""
-    columns = tilemath.disc_columns(zoom, "center_lat", "center_lon", "radius_km")
-    rows = tilemath.disc_rows(zoom, "center_lat", "radius_km")
-    spread = views.select("*", F.explode(columns).alias("_x")).select("*", F.explode(rows).alias("_y"))
-    placed = airports.withColumns({"_x": tilemath.tile_x(zoom, "lon"), "_y": tilemath.tile_y(zoom, "lat")})
-    met = fan_out_join(placed, spread, ["_x", "_y"], spread_by=["ident", "lat", "lon"], salts=salts)
+    box, touches = quadtree.disc_box("center_lat", "center_lon", F.col("radius_km"), C.KM_PER_DEG)
+    met = quadtree.meet(airports, views, box, touches=touches, hot_rows=hot_rows)
     dist = geo.distance_km("center_lat", "center_lon", "lat", "lon")
-    return met.withColumn("dist_km", dist).filter(F.col("dist_km") <= F.col("radius_km")).drop("_x", "_y")
+    return met.withColumn("dist_km", dist).filter(F.col("dist_km") <= F.col("radius_km"))
 
 
-def runways_in_view(airports: DataFrame, runways: DataFrame, views: DataFrame) -> DataFrame:
-    """Runways of the airports near each view, cut to the view's disc, as km offsets from its centre."""
-    near = airports_near(airports, views)
-    drawn = fan_out_join(
-        runways, near.select("view_id", "ident", "center_lat", "center_lon", "radius_km"), ["ident"], spread_by=["row_no"]
-    )
+def _visible(near: DataFrame, runways: DataFrame) -> DataFrame:
+    """``near`` with row_no and ``_cut`` of every runway that shows in its view, cut to the view's disc, in km from its centre."""
     ends = [
         geo.offset_x_km("center_lat", "center_lon", "lon1"),
         geo.offset_y_km("center_lat", "lat1"),
         geo.offset_x_km("center_lat", "center_lon", "lon2"),
         geo.offset_y_km("center_lat", "lat2"),
     ]
-    visible = geo.clip_segment_to_disc("_x0", "_y0", "_x1", "_y1", "radius_km")
-    return drawn.withColumns(dict(zip(("_x0", "_y0", "_x1", "_y1"), ends, strict=True))).select(
-        "view_id", "ident", "row_no", F.inline(F.array_compact(F.array(visible)))
-    )
+    met = near.join(runways.select("ident", "row_no", "lat1", "lon1", "lat2", "lon2"), "ident")
+    placed = met.withColumns(dict(zip(("_x0", "_y0", "_x1", "_y1"), ends, strict=True)))
+    cut = geo.clip_segment_to_disc("_x0", "_y0", "_x1", "_y1", "radius_km").alias("_cut")
+    return placed.select(*near.columns, "row_no", cut).filter(F.col("_cut").isNotNull())
+
+
+def runways_in_view(airports: DataFrame, runways: DataFrame, views: DataFrame) -> DataFrame:
+    """Runways of the airports near each view, cut to the view's disc, as km offsets from its centre."""
+    return _visible(airports_near(airports, views), runways).select("view_id", "ident", "row_no", "_cut.*")
 
 
 def labelled_airports(airports: DataFrame, runways: DataFrame, views: DataFrame) -> DataFrame:
     """Airports that get a label in a view: near it, with a runway drawn; each once."""
-    drawn = runways_in_view(airports, runways, views).select("view_id", "ident").distinct()
-    return airports_near(airports, views).join(drawn, ["view_id", "ident"], "left_semi").dropDuplicates(
-        ["view_id", "ident"]
-    )
+    near = airports_near(airports, views)
+    return _visible(near, runways).select(*near.columns).dropDuplicates(["view_id", "ident"])
 
 
 def distinct_labels(rows: DataFrame) -> DataFrame:

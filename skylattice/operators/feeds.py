@@ -40,6 +40,33 @@ def discard_superseded(
     return rows.filter(F.col(finished)) if finished else rows
 
 
+def answers_in_time(
+    results: DataFrame,
+    starts: DataFrame,
+    *,
+    keys: Sequence[str],
+    generation: str = "generation",
+    finished: str = "finished_at",
+    started: str = "started_at",
+    max_age: str = "60 seconds",
+) -> DataFrame:
+    """Results that no later request of their key had overtaken when they finished.
+
+    ``starts`` has the keys, the generation and its start; a request is given up ``max_age`` after it, so no
+    start counts that lies further back. An anti join over time ranges, for tables and for streams.
+    """
+    keys = list(keys)
+    later = starts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(generation).alias("_generation"), F.col(started).alias("_started"))
+    overtakes = reduce(
+        lambda a, b: a & b,
+        [F.col(k) == F.col(f"_{k}") for k in keys],
+        (F.col("_generation") > F.col(generation))
+        & (F.col("_started") <= F.col(finished))
+        & (F.col("_started") >= F.col(finished) - F.expr(f"INTERVAL {max_age}")),
+    )
+    return results.join(later, overtakes, "left_outer").filter(F.col("_generation").isNull()).select(*results.columns)
+
+
 def snapshot_rates(
     successes: DataFrame, *, ts: str, width: str = "1 minute", slide: str | None = None, by: Sequence[str] = ()
 ) -> DataFrame:

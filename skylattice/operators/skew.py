@@ -7,31 +7,39 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 16
+#: Smaller inputs, by the planner's estimate, are not counted.
+COUNTED_BYTES = 64 << 20
 DEFAULT_HOT_ROWS = 20_000
 _INLINE_KEYS = 10_000
 
 
+def may_be_hot(df: DataFrame) -> bool:
+    """By the planner's size estimate. An input this small cannot keep a task long, so its keys are not counted."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= COUNTED_BYTES
+
+
 def fan_out_join(
     large: DataFrame,
     small: DataFrame,
     keys: Sequence[str],
     *,
     spread_by: Sequence[str],
-    salts: int = DEFAULT_SALTS,
-    how: str = "inner",
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """Join where every row of ``small`` is repeated ``salts`` times and ``large`` rows pick one copy.
+    """Inner join where hot keys of ``large`` are cut into parts and only their rows of ``small`` are repeated.
 
-    A hot key of ``large`` is then split over ``salts`` tasks without counting it first. ``small``
-    must be the side whose repetition is cheap (view requests, focus points); when Spark finds it
-    small enough at run time it still broadcasts it by its own size check.
+    Keys are counted unless the input is small; a given ``hot_rows`` has them counted in any case.
+    ``small`` must be the side whose repetition is cheap (view requests); when Spark finds it small
+    enough at run time it still broadcasts it by its own size check.
     """
-    if salts <= 1:
-        return large.join(small, list(keys), how)
-    picked = large.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return picked.join(copies, [*keys, "_salt"], how).drop("_salt")
+    counted = hot_rows is not None or may_be_hot(large)
+    hot = hot_keys(large, keys, DEFAULT_HOT_ROWS if hot_rows is None else hot_rows) if counted else None
+    if hot is None:
+        return large.join(small, list(keys))
+    parts = F.coalesce("_parts", F.lit(1))
+    picked = large.join(hot, list(keys), "left").withColumn("_part", F.pmod(F.xxhash64(*spread_by), parts).cast("int")).drop("_parts")
+    copies = small.join(hot, list(keys), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return picked.join(copies, [*keys, "_part"]).drop("_part")
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from skylattice import constants as C
 from skylattice.functions import geo, tilemath
 from skylattice.functions import tracks as T
-from skylattice.operators.skew import DEFAULT_HOT_ROWS, DEFAULT_SALTS, fan_out_join, hot_keys, split_hot_join
+from skylattice.operators import quadtree
+from skylattice.operators.skew import DEFAULT_HOT_ROWS, hot_keys, split_hot_join
 from skylattice.operators.timeline import with_previous
 from skylattice.session import materialize
 
@@ -257,33 +258,22 @@ def focus_views(focus: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def tracks_in_radius(
-    tracks: DataFrame,
-    centers: DataFrame,
-    *,
-    scale: float = C.FETCH_SCALE,
-    zoom: int = C.RENDER_ZOOM,
-    salts: int = DEFAULT_SALTS,
+    tracks: DataFrame, centers: DataFrame, *, scale: float = C.FETCH_SCALE, hot_rows: int | None = None
 ) -> DataFrame:
     """Each center's tracks within ``outer_km * scale``; centers have slot, lat, lon, outer_km.
 
-    The centers are spread over the tiles under their disc, tracks carry one tile each, and the
-    distance is checked on what meets. Adds dx_km, dy_km, dist_km and the center's other columns.
+    Tracks and centers meet on cells whose size follows the radius (:mod:`quadtree`), and the distance is
+    checked on what meets. Adds dx_km, dy_km, dist_km and the center's other columns.
     """
     radius = F.col("outer_km") * scale
-    covered = (
-        centers.withColumnsRenamed({"lat": "center_lat", "lon": "center_lon"})
-        .withColumn("_x", F.explode(tilemath.disc_columns(zoom, "center_lat", "center_lon", radius)))
-        .withColumn("_y", F.explode(tilemath.disc_rows(zoom, "center_lat", radius)))
-    )
-    placed = tracks.withColumn("_x", tilemath.tile_x(zoom, "lon")).withColumn(
-        "_y", tilemath.tile_y(zoom, "lat")
-    )
-    met = fan_out_join(placed, covered, ["_x", "_y"], spread_by=[SNAPSHOT, POS], salts=salts)
+    placed = centers.withColumnsRenamed({"lat": "center_lat", "lon": "center_lon"})
+    box, touches = quadtree.disc_box("center_lat", "center_lon", radius, C.KM_PER_DEG)
+    met = quadtree.meet(tracks, placed, box, touches=touches, hot_rows=hot_rows)
     measured = met.withColumn("_o", geo.offset_km("center_lat", "center_lon", "lat", "lon"))
     return (
         measured.filter(F.col("_o.dist") <= radius)
         .withColumns({"dx_km": F.col("_o.dx"), "dy_km": F.col("_o.dy"), "dist_km": F.col("_o.dist")})
-        .drop("_o", "_x", "_y")
+        .drop("_o")
     )
 
 
@@ -305,9 +295,9 @@ def tag_ranking(
     """Tracks that get a label per (snapshot, slot, range).
 
     All emergencies do, outside the budget, with ``tag_rank`` 0. Of the others the best by score
-    (then farther first, then feed order) are ranked from 1 to the view's budget. Only these are
-    ranked, and ``max_budget`` (the largest preset) lets Spark cut each view to that many rows
-    before the shuffle; a view asking for more is an error, never a silent cut.
+    (then farther first, then feed order) are ranked from 1 to the view's budget. ``max_budget`` (the
+    largest preset) lets Spark cut each view to that many rows before the shuffle; a view asking for
+    more is an error, never a silent cut. Every emergency is a ranking of its own, so none is cut.
     """
     checked = F.when(F.col(budget_col) <= max_budget, F.col(budget_col)).otherwise(
         F.raise_error(F.lit("tag budget above max_budget")).cast("int")
@@ -315,17 +305,13 @@ def tag_ranking(
     eligible = ranged.filter((F.col("range_class") == "inside") & T.tag_eligible()).withColumn(
         "score", T.clarity_score()
     )
-    urgent = eligible.filter(T.is_emergency()).withColumn("tag_rank", F.lit(0))
-    view = Window.partitionBy(SNAPSHOT, "slot", "range_idx").orderBy(
+    alone = F.when(T.is_emergency(), F.col(POS))
+    view = Window.partitionBy(SNAPSHOT, "slot", "range_idx", alone).orderBy(
         F.desc("score"), F.desc("dist_km"), F.col(POS)
     )
-    normal = (
-        eligible.filter(~T.is_emergency())
-        .withColumn("tag_rank", F.row_number().over(view))
-        .filter(F.col("tag_rank") <= max_budget)
-        .filter(F.col("tag_rank") <= checked)
-    )
-    return urgent.unionByName(normal)
+    ranked = eligible.withColumn("tag_rank", F.row_number().over(view)).filter(F.col("tag_rank") <= max_budget)
+    kept = ranked.filter(T.is_emergency() | (F.col("tag_rank") <= checked))
+    return kept.withColumn("tag_rank", F.when(T.is_emergency(), 0).otherwise(F.col("tag_rank")))
 
 
 def traffic_density(near: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from skylattice import constants as C
@@ -156,9 +156,7 @@ def cap_tile_size(
     (``drop``); tiles whose airports alone are too large end ``oversized``, without shapes.
 
     Only oversized tiles are touched, and none is collected: all tolerances are tried row by row in
-    one pass, sizes are sums, and dropping keeps a bounded number of largest shapes per tile. A shape
-    takes at least 34 bytes, so shapes past rank cap / 34 in keep order cannot stay; Spark cuts each
-    tile to that many rows before the shuffle.
+    one pass, sizes are sums, and what is dropped follows from a histogram of shape sizes.
     """
     rounds = simplify_rounds(zooms, max_tol)
     # Shapes go through several passes below; the clipping kernel should run once.
@@ -207,7 +205,8 @@ def cap_tile_size(
     hopeless = rest.filter(F.col("_base") > cap)
     dropping = rest.filter(F.col("_base") <= cap)
     final_round = coarser.filter(F.col("round") == last_round)
-    kept = _keep_largest(final_round, _small_tile_table(dropping, zooms), cap)
+    limits = materialize(_size_limits(final_round, _small_tile_table(dropping, zooms), cap))
+    kept = _keep_largest(final_round, _small_tile_table(limits, zooms), cap)
 
     keep_columns = [*shapes.columns, "action"]
     whole = shapes.join(over_keys.select(*TILE), TILE, "left_anti").withColumn("action", F.lit("ok"))
@@ -217,7 +216,7 @@ def cap_tile_size(
         .unionByName(thinner.select(*keep_columns))
         .unionByName(kept.withColumn("action", F.lit("drop")).select(*keep_columns))
     )
-    dropped = dropping.join(kept.groupBy(*TILE).agg(F.max("_size").alias("_size")), TILE, "left")
+    dropped = dropping.join(limits, TILE, "left")
     tiles = (
         fine.unionByName(fitted.select(*TILE, "action", "bytes"))
         .unionByName(dropped.select(*TILE, F.lit("drop").alias("action"), F.coalesce("_size", "_base").alias("bytes")))
@@ -226,23 +225,59 @@ def cap_tile_size(
     return stays, tiles
 
 
-def _keep_largest(shapes: DataFrame, tiles: DataFrame, cap: int) -> DataFrame:
-    """The longest prefix of each tile's shapes, in keep order, that fits the cap.
+def _keep_rank() -> Column:
+    """Shapes stay in this order: land, coast, water."""
+    return F.when(F.col("layer") == "land", 0).when(F.col("layer") == "coast", 1).otherwise(2)
+
+
+def _size_limits(shapes: DataFrame, tiles: DataFrame, cap: int) -> DataFrame:
+    """Where each tile's shapes end, in keep order: ``_layer``, ``_points``, ``_room`` and the bytes ``_size`` of what stays.
 
     Keep order is the reverse of the drop order: land, coast, water; most vertices first; later
-    shapes before earlier ones at equal vertex counts.
+    shapes before earlier ones at equal vertex counts. Shapes of one layer and vertex count take equal
+    bytes, so the counts of these classes tell, by sums over a tile's few classes, in which of them
+    the cap falls, and that ``_room`` shapes of it still fit. Where all shapes fit, ``_layer`` is null.
     """
-    smallest = C.SHAPE_HEAD_BYTES + 2 * C.POINT_BYTES
-    layer_rank = F.when(F.col("layer") == "land", 0).when(F.col("layer") == "coast", 1).otherwise(2)
-    ranked = shapes.join(tiles, TILE).withColumns({"_layer": layer_rank, "_points": F.size("points")})
-    order = Window.partitionBy(*TILE).orderBy("_layer", F.desc("_points"), *[F.desc(c) for c in _SHAPE_ID])
-    ranked = ranked.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= cap // smallest)
-    opens = (F.lag("_layer").over(order).isNull() | (F.lag("_layer").over(order) != F.col("_layer"))).cast("int")
-    step = _shape_bytes() + opens * _SECTION_BYTES
-    sized = ranked.withColumn("_step", step).withColumn(
-        "_size", F.col("_base") + F.sum("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    classes = (
+        shapes.join(tiles, TILE)
+        .groupBy(*TILE, "_base", _keep_rank().alias("_layer"), F.size("points").alias("_points"))
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    return sized.filter(F.col("_size") <= cap)
+    order = Window.partitionBy(*TILE).orderBy("_layer", F.desc("_points"))
+    opens = F.coalesce((F.lag("_layer").over(order) != F.col("_layer")).cast("int"), F.lit(1)) * _SECTION_BYTES
+    one = F.col("_points") * C.POINT_BYTES + C.SHAPE_HEAD_BYTES
+    sized = classes.withColumns({"_one": one, "_opens": opens}).withColumn("_all", F.col("_n") * F.col("_one") + F.col("_opens"))
+    sized = sized.withColumn("_upto", F.col("_base") + F.sum("_all").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.col("_upto") - F.col("_all")
+    room = F.greatest(F.floor((cap - before - F.col("_opens")) / F.col("_one")), F.lit(0))
+    edge = F.struct(
+        "_layer", (-F.col("_points")).alias("_less"), room.alias("_room"), (before + F.when(room > 0, room * F.col("_one") + F.col("_opens")).otherwise(0)).alias("_size")
+    )
+    # The first class that does not fit; its fields say what of it does.
+    found = sized.groupBy(*TILE).agg(F.min(F.when(F.col("_upto") > cap, edge)).alias("_edge"), F.max("_upto").alias("_whole"))
+    return found.select(
+        *TILE,
+        F.col("_edge._layer").alias("_layer"),
+        (-F.col("_edge._less")).alias("_points"),
+        F.col("_edge._room").alias("_room"),
+        F.coalesce("_edge._size", "_whole").alias("_size"),
+    )
+
+
+def _keep_largest(shapes: DataFrame, limits: DataFrame, cap: int) -> DataFrame:
+    """The shapes before each tile's limit, and as many of the class at the limit as have room.
+
+    Only shapes of that class are ranked. A shape takes at least 34 bytes, so no more than cap / 34 of
+    them can stay, and Spark cuts each tile to that many rows before the shuffle.
+    """
+    smallest = C.SHAPE_HEAD_BYTES + 2 * C.POINT_BYTES
+    placed = shapes.withColumns({"_rank": _keep_rank(), "_size_of": F.size("points")}).join(limits, TILE)
+    ahead = (F.col("_rank") < F.col("_layer")) | ((F.col("_rank") == F.col("_layer")) & (F.col("_size_of") > F.col("_points")))
+    at_edge = (F.col("_rank") == F.col("_layer")) & (F.col("_size_of") == F.col("_points"))
+    whole = placed.filter(F.col("_layer").isNull() | ahead)
+    order = Window.partitionBy(*TILE).orderBy(*[F.desc(c) for c in _SHAPE_ID])
+    ranked = placed.filter(at_edge).withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= cap // smallest)
+    return whole.select(*shapes.columns).unionByName(ranked.filter(F.col("_rn") <= F.col("_room")).select(*shapes.columns))
 
 
 def cap_actions(tiles: DataFrame) -> DataFrame:
@@ -318,7 +353,65 @@ def pyramid_quality(shapes: DataFrame, *, canary: tuple[int, int, int] | None =
     )
 
 
-def map_layers_for_view(views: DataFrame, shapes: DataFrame, *, zoom: int = C.RENDER_ZOOM) -> DataFrame:
+#: What a whole pyramid has at least.
+LEAST_TILES = 3000
+
+
+def pyramid_verdicts(
+    quality: DataFrame, *, zooms: Mapping[int, float] = C.ZOOM_TOLERANCES, least_tiles: int = LEAST_TILES, canary: bool = False
+) -> DataFrame:
+    """verdict, passed: enough tiles, all zooms, each coarser zoom smaller than the next, and the canary tile if asked for.
+
+    ``quality`` is what :func:`pyramid_quality` gives, a row for each zoom.
+    """
+    finer = F.lead("points").over(Window.partitionBy(F.lit(0)).orderBy("z"))  # one row for each zoom
+    sums = quality.withColumn("_finer", finer).agg(
+        F.coalesce(F.sum("tiles"), F.lit(0)).alias("tiles"),
+        F.collect_set(F.col("z").cast("int")).alias("zooms"),
+        F.coalesce(F.bool_and(F.col("_finer").isNull() | (F.col("points") < F.col("_finer"))), F.lit(False)).alias("smaller"),
+        F.coalesce(F.max("canary"), F.lit(0)).alias("canary"),
+    )
+    asked = F.array(*[F.lit(z) for z in zooms])
+    verdicts = {
+        "enough tiles": F.col("tiles") >= least_tiles,
+        "all zooms": F.size(F.array_except(asked, F.col("zooms"))) == 0,
+        "coarser is smaller": F.col("smaller"),
+    } | ({"canary tile": F.col("canary") > 0} if canary else {})
+    rows = F.array(*[F.struct(F.lit(name).alias("verdict"), passed.alias("passed")) for name, passed in verdicts.items()])
+    return sums.select(F.inline(rows))
+
+
+class PyramidFailed(Exception):
+    """A pyramid that must not be published; the message names the verdicts."""
+
+
+def watched(shapes: DataFrame, zooms: Mapping[int, float] = C.ZOOM_TOLERANCES) -> tuple[DataFrame, Observation]:
+    """``shapes``, counted by zoom in whatever pass writes them: n_{z} and points_{z}."""
+    seen = Observation("pyramid")
+    at = lambda z, value: F.coalesce(F.sum(F.when(F.col("z") == z, value)), F.lit(0))
+    metrics = [m for z in zooms for m in (at(z, F.lit(1)).alias(f"n_{z}"), at(z, F.size("points")).alias(f"points_{z}"))]
+    return shapes.observe(seen, *metrics), seen
+
+
+def require_whole(counts: Mapping[str, int], tiles: int, zooms: Mapping[int, float], least_tiles: int) -> None:
+    """Fail unless the counts of :func:`watched` and the number of tiles are those of a whole pyramid."""
+    points = [counts[f"points_{z}"] for z in sorted(zooms)]
+    failed = [
+        name
+        for name, passed in (
+            ("enough tiles", tiles >= least_tiles),
+            ("all zooms", all(counts[f"n_{z}"] for z in zooms)),
+            ("coarser is smaller", all(a < b for a, b in zip(points, points[1:], strict=False))),
+        )
+        if not passed
+    ]
+    if failed:
+        raise PyramidFailed(", ".join(failed))
+
+
+def map_layers_for_view(
+    views: DataFrame, shapes: DataFrame, *, zoom: int = C.RENDER_ZOOM, hot_rows: int | None = None
+) -> DataFrame:
     """Shapes of all tiles covering each view (view_id, center_lat, center_lon, radius_km).
 
     The filter on ``z`` prunes partitions of a stored pyramid; tiles that do not exist are just absent.
@@ -326,7 +419,7 @@ def map_layers_for_view(views: DataFrame, shapes: DataFrame, *, zoom: int = C.RE
     columns = tilemath.disc_columns(zoom, "center_lat", "center_lon", "radius_km")
     rows = tilemath.disc_rows(zoom, "center_lat", "radius_km")
     wanted = views.select("*", F.explode(columns).alias("x")).select("*", F.explode(rows).alias("y"))
-    return fan_out_join(shapes.filter(F.col("z") == zoom), wanted, ["x", "y"], spread_by=_SHAPE_ID)
+    return fan_out_join(shapes.filter(F.col("z") == zoom), wanted, ["x", "y"], spread_by=_SHAPE_ID, hot_rows=hot_rows)
 
 
 def segments_in_disc(shapes_in_view: DataFrame) -> DataFrame:

@@ -3,11 +3,15 @@
 An entity may own a large share of all rows, so no window here spans a whole entity. Rows are cut
 into time chunks; the last row of each chunk is found with a pre-aggregated ``max_by``, a window
 over those few summaries links the chunks, and the row-level window only covers one chunk.
+
+Rows without a key are the history of one more entity. Rows without a time come before the others of theirs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +36,11 @@ def _with_carry(df: DataFrame, keys: list[str], order: list[str], carried: Colum
     )
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.select(*keys, "_chunk", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
-    return df.join(summary, [*keys, "_chunk"])
+    # Null-safe, so that rows without a key or a time meet their own summary.
+    own = [*keys, "_chunk"]
+    summary = summary.withColumnsRenamed({c: f"_s_{i}" for i, c in enumerate(own)})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_s_{i}")) for i, c in enumerate(own)])
+    return df.join(summary, same).drop(*[f"_s_{i}" for i in range(len(own))])
 
 
 def with_previous(

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice import constants as C
-from skylattice.functions import geo, tilemath
+from skylattice.functions import geo
 from skylattice.functions import weather as Wx
-from skylattice.operators.skew import DEFAULT_SALTS, fan_out_join
+from skylattice.operators import quadtree
 from skylattice.operators.timeline import staleness_flags, with_last_known
 
 
@@ -31,35 +31,20 @@ def stations(raw_metar: DataFrame) -> DataFrame:
 
 
 def stations_in_bbox(
-    stations: DataFrame,
-    views: DataFrame,
-    *,
-    inflate: float = C.BBOX_INFLATE,
-    zoom: int = C.RENDER_ZOOM,
-    salts: int = DEFAULT_SALTS,
+    stations: DataFrame, views: DataFrame, *, inflate: float = C.BBOX_INFLATE, hot_rows: int | None = None
 ) -> DataFrame:
     """Stations inside each view's box, with ``dist_nm`` from the view's centre.
 
-    Views have view_id, center_lat, center_lon, radius_nm. They are spread over the tiles of their
-    box and meet the stations on the tile.
+    Views have view_id, center_lat, center_lon, radius_nm. They meet the stations on cells whose size
+    follows the box (:mod:`quadtree`). Boxes do not wrap at the antimeridian.
     """
     boxed = views.withColumn("_box", geo.make_bbox("center_lat", "center_lon", "radius_nm", inflate))
-    columns = tilemath.column_span(zoom, F.col("_box.min_lon"), F.col("_box.max_lon"))
-    rows = tilemath.row_span(zoom, F.col("_box.min_lat"), F.col("_box.max_lat"))
-    spread = boxed.select("*", F.explode(columns).alias("_x")).select("*", F.explode(rows).alias("_y"))
-    # No wrap here, as in the box test itself: clamp the column instead.
-    placed = stations.select(
-        "*",
-        F.element_at(tilemath.column_span(zoom, F.col("lon"), F.col("lon")), 1).alias("_x"),
-        F.element_at(tilemath.row_span(zoom, F.col("lat"), F.col("lat")), 1).alias("_y"),
-    )
-    met = fan_out_join(placed, spread, ["_x", "_y"], spread_by=["icao", "lat", "lon"], salts=salts)
-    inside = F.col("lat").between(F.col("_box.min_lat"), F.col("_box.max_lat")) & F.col("lon").between(
-        F.col("_box.min_lon"), F.col("_box.max_lon")
-    )
+    box = tuple(F.col(f"_box.{side}") for side in ("min_lat", "max_lat", "min_lon", "max_lon"))
+    met = quadtree.meet(stations, boxed, box, hot_rows=hot_rows)
+    inside = F.col("lat").between(box[0], box[1]) & F.col("lon").between(box[2], box[3])
     return met.filter(inside).select(
-        *[c for c in views.columns],
-        *[c for c in stations.columns],
+        *views.columns,
+        *stations.columns,
         geo.distance_nm("center_lat", "center_lon", "lat", "lon").alias("dist_nm"),
     )
 
@@ -104,16 +89,22 @@ def carry_forward_offset(
     ts: str = "fetched_at",
     tie: str = "reading_id",
     chunk_seconds: int = 86_400,
+    before: DataFrame | None = None,
 ) -> DataFrame:
     """Each site's last known UTC offset at every reading, 0 before the first.
 
-    Rejected readings (no temperature) do not update the offset.
+    Rejected readings (no temperature) do not update the offset. ``before`` has the offsets (key,
+    utc_offset_sec) that are known from earlier on, one for each site.
     """
     fresh = F.when(F.col("valid"), F.col("utc_offset_sec"))
     known = with_last_known(
         readings, keys=[key], order=[ts, tie], value=fresh, ts=ts, chunk_seconds=chunk_seconds, name="_known"
     )
-    return known.withColumn("offset_sec", F.coalesce("_known", F.lit(0))).drop("_known")
+    if before is None:
+        return known.withColumn("offset_sec", F.coalesce("_known", F.lit(0))).drop("_known")
+    earlier = before.select(F.col(key).alias("_key"), F.col("utc_offset_sec").alias("_earlier"))
+    met = known.join(earlier, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return met.withColumn("offset_sec", F.coalesce("_known", "_earlier", F.lit(0))).drop("_known", "_key", "_earlier")
 
 
 def reading_staleness(readings: DataFrame, *, ttl_seconds: int = C.READING_TTL_SECONDS) -> DataFrame:
@@ -123,3 +114,24 @@ def reading_staleness(readings: DataFrame, *, ttl_seconds: int = C.READING_TTL_S
 def readings_at_current_home(readings: DataFrame, homes: DataFrame) -> DataFrame:
     """Drop readings fetched for a place that is no longer the site's home."""
     return readings.join(homes.select("site_id", "lat", "lon"), ["site_id", "lat", "lon"], "left_semi")
+
+
+def readings_at_valid_home(
+    readings: DataFrame, homes: DataFrame, *, ts: str = "fetched_at", tie: str = "reading_id", chunk_seconds: int = 86_400
+) -> DataFrame:
+    """Readings fetched for the place that was their site's home at their time.
+
+    ``homes`` has site_id, lat, lon and valid_from: a home holds until the site's next one. Homes and
+    readings become one history, and the last home is carried forward by time chunks, so neither a site
+    with many readings nor one that moved often is gathered. Readings before the first home go.
+    """
+    moved = homes.select(
+        "site_id", F.col("valid_from").alias(ts), F.lit(0).alias("_kind"), F.struct("lat", "lon").alias("_home"), F.lit(None).cast(readings.schema[tie].dataType).alias(tie)
+    )
+    both = readings.withColumn("_kind", F.lit(1)).unionByName(moved, allowMissingColumns=True)
+    # At one moment the home comes first; of several homes at one moment the last by place.
+    placed = with_last_known(
+        both, keys=["site_id"], order=[ts, "_kind", "_home", tie], value=F.col("_home"), ts=ts, chunk_seconds=chunk_seconds, name="_at"
+    )
+    there = (F.col("_kind") == 1) & (F.col("_at.lat") == F.col("lat")) & (F.col("_at.lon") == F.col("lon"))
+    return placed.filter(there).select(*readings.columns)

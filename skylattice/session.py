@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,24 +53,27 @@ def materialize(df: DataFrame, *, partition_by: Sequence[str] = ()) -> DataFrame
     strategies by.
     """
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    for paths in _temporary[-1:]:
+    if (paths := _temporary.get()) is not None:
         paths.append(path)
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_temporary: list[list[str]] = []
+# Of each thread its own: streams run their batches side by side.
+_temporary: ContextVar[list[str] | None] = ContextVar("temporary_tables", default=None)
 
 
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
-    """Tables that are materialized inside are deleted at the end; their results must have been written by then."""
-    _temporary.append([])
+    """Tables that this thread materializes inside are deleted at the end; their results must have been written by then."""
+    paths: list[str] = []
+    outer = _temporary.set(paths)
     try:
         yield
     finally:
+        _temporary.reset(outer)
         hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-        for name in _temporary.pop():
+        for name in paths:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(hadoop).delete(path, True)
 

@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
+import json
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skylattice.functions import tilemath
 from skylattice.operators.airports import airport_order
-from skylattice.operators.tilepyramid import TILE
 from skylattice.session import ship_package
+from skylattice.sinks.tile_files import MANIFEST, TileFiles, store_of
 
 
-def write_tile_table(shapes: DataFrame, folder: str, *, mode: str = "overwrite") -> None:
-    """The pyramid as Parquet partitioned by zoom, sorted by tile.
+def write_tile_table(shapes: DataFrame, folder: str, *, mode: str = "overwrite", row_group_bytes: int = 8 << 20) -> None:
+    """The pyramid as Parquet partitioned by zoom, along a space-filling curve over the tiles.
 
-    Ranges go down to the shape, so a tile with a large share of the rows spreads over several
-    files, and row groups stay selective on x and y.
+    A view covers a block of tiles, which lies in few pieces of the curve, so the bounds of x and y tell
+    most row groups apart. Ranges go down to the shape, so a tile with a large share of the rows spreads
+    over several files.
     """
-    order = [*TILE, "layer", "feature_id", "part", "run"]
-    shapes.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("z").parquet(folder)
+    order = ["z", "_place", "layer", "feature_id", "part", "run"]
+    placed = shapes.withColumn("_place", tilemath.place_on_curve("x", "y"))
+    sorted_shapes = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_place")
+    sorted_shapes.write.mode(mode).option("parquet.block.size", row_group_bytes).partitionBy("z").parquet(folder)
 
 
 def read_tile_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,39 +34,22 @@ def tile_path(z, x, y) -> str:
     return f"tiles/{z}/{x}/{y}.bin"
 
 
-def write_tile_blobs(blobs: DataFrame, folder: str) -> DataFrame:
+def write_tile_blobs(blobs: DataFrame, folder: str, *, mode: str = "append") -> DataFrame:
     """Write ``tiles/{z}/{x}/{y}.bin`` under a folder all executors share; returns counts and bytes per zoom.
 
-    Files are written under a name of the attempt and then moved, and the same tile always has the
-    same bytes, so a repeated or speculative task does no harm. The folder may be any URI that
-    pyarrow's file systems know. The counts come from the same single pass that writes.
+    The files appear together when all tasks have ended (:mod:`tile_files`). With mode "overwrite" they replace
+    the tiles that are there, else they join them. The folder may be any URI that pyarrow's file
+    systems know. The counts come from the same single pass that writes.
     """
-
-    def write(rows: Iterator[Row]) -> Iterator[tuple]:
-        from pyarrow import fs
-        from pyspark import TaskContext
-
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder))
-        attempt = TaskContext.get().taskAttemptId()
-        for row in rows:
-            path = f"{root}/{tile_path(row.z, row.x, row.y)}"
-            store.create_dir(os.path.dirname(path), recursive=True)
-            with store.open_output_stream(f"{path}.{attempt}") as out:
-                out.write(bytes(row.payload))
-            store.move(f"{path}.{attempt}", path)
-            yield (row.z, len(row.payload))
-
-    def batches(frames):
-        import pandas as pd
-
-        for frame in frames:
-            yield pd.DataFrame(list(write(frame.itertuples(index=False))), columns=["z", "bytes"])
-
+    spark = blobs.sparkSession
+    ship_package(spark)
+    spark.dataSource.register(TileFiles)
     wanted = blobs.filter(F.col("payload").isNotNull()).select(F.col("z").cast("int").alias("z"), "x", "y", "payload")
-    ship_package(blobs.sparkSession)
-    written = wanted.mapInPandas(batches, "z int, bytes long")
-    counts = written.groupBy("z").agg(F.count(F.lit(1)).alias("tiles"), F.sum("bytes").alias("bytes"))
-    return blobs.sparkSession.createDataFrame(counts.collect(), counts.schema)  # one row per zoom
+    wanted.repartition("z", "x").write.format("tile_files").mode(mode).option("path", folder).save()
+    store, root = store_of(folder)
+    with store.open_input_stream(f"{root}/{MANIFEST}") as manifest:
+        counts = json.loads(manifest.read())
+    return spark.createDataFrame([tuple(row) for row in counts], "z int, tiles long, bytes long")
 
 
 def write_airport_index(index: DataFrame, folder: str, *, mode: str = "overwrite", trimmed: bool = False) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import weather as Wx
@@ -63,17 +63,17 @@ def read_track_snapshots(spark: SparkSession, path: str, *, streaming: bool = Fa
 def parse_metar(documents: DataFrame, *, body: str = "body") -> DataFrame:
     """Station reports: the root must be an array, and elements that are no objects are skipped."""
     others = [c for c in documents.columns if c != body]
-    rows = documents.select(*others, F.explode(json_list(F.col(body))).alias("_m")).filter(is_object(F.col("_m")))
+    rows = documents.select(*others, F.posexplode(json_list(F.col(body))).alias("feed_pos", "_m")).filter(is_object(F.col("_m")))
     token = F.regexp_extract("_m", r'"visib"\s*:\s*("(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*)', 1)
-    read = rows.select(*others, F.from_json("_m", METAR_FIELDS).alias("_r"), token.alias("_v"))
+    read = rows.select(*others, "feed_pos", F.from_json("_m", METAR_FIELDS).alias("_r"), token.alias("_v"))
     visib = F.when(F.length("_v") > 0, Wx.rounded_number(F.col("_v"))).otherwise(F.col("_r.visib"))
     fields = [visib.alias("visib") if c.split()[0] == "visib" else F.col(f"_r.{c.split()[0]}") for c in METAR_FIELDS.split(", ")]
-    return read.select(*others, *fields)
+    return read.select(*others, "feed_pos", *fields)
 
 
 def read_metar(spark: SparkSession, path: str, *, streaming: bool = False) -> DataFrame:
-    """JSON arrays of station reports; ``visib`` is kept as text, a JSON number rounded half up."""
-    return parse_metar(read_documents(spark, path, streaming=streaming).drop("document_id"))
+    """JSON arrays of station reports with document and place; ``visib`` is kept as text, a JSON number rounded half up."""
+    return parse_metar(read_documents(spark, path, streaming=streaming))
 
 
 def parse_point_weather(documents: DataFrame, *, body: str = "body") -> DataFrame:
@@ -104,16 +104,59 @@ def read_point_weather(spark: SparkSession, path: str, *, streaming: bool = Fals
     return parse_point_weather(documents)
 
 
+#: Holds the text of a CSV record that does not fit its header.
+CORRUPT = "_corrupt_record"
+
+
+def numbered_rows(rows: DataFrame, *, name: str = "row_no") -> DataFrame:
+    """File rows with their number in order of file name and place, over any number of files and splits.
+
+    Ids grow within a split. Rows are counted by split, and a running sum over the splits (one row each)
+    gives every split its first number.
+    """
+    placed = rows.select(
+        "*",
+        F.col("_metadata.file_name").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    splits = placed.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    joined = placed.join(offsets, ["_file", "_start"])
+    return joined.withColumn(name, F.col("_before") + F.col("_id") - F.col("_first")).drop("_file", "_start", "_id", "_first", "_before")
+
+
 def read_airport_csvs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """airports, runways and navaids as strings, with ``row_no`` in file order (one CSV file each)."""
+    """airports, runways and navaids as strings, with ``row_no`` in file order.
+
+    Each is a CSV file or a folder of them, all with one header. Records may span lines. A record with too few
+    or too many fields keeps its text in ``_corrupt_record``; see :func:`split_corrupt`.
+    """
 
     def read(name: str) -> DataFrame:
-        rows = spark.read.csv(f"{folder}/{name}.csv", header=True, inferSchema=False, multiLine=True, escape='"')
-        return rows.withColumn("row_no", F.monotonically_increasing_id())
+        def reader() -> DataFrameReader:
+            return spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+
+        columns = reader().csv(f"{folder}/{name}.csv").columns
+        schema = ", ".join(f"`{c}` string" for c in [*columns, CORRUPT])
+        rows = reader().schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(f"{folder}/{name}.csv")
+        # Spark refuses to read the corrupt records alone, so they are made to need another column too.
+        marked = F.coalesce(CORRUPT, F.when(F.col(f"`{columns[0]}`") == "\0", ""))
+        return numbered_rows(rows).withColumn(CORRUPT, marked)
 
     return {name: read(name) for name in ("airports", "runways", "navaids")}
 
 
+def split_corrupt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Whole records, and the others as row_no, first_field, record and reason for the quarantine."""
+    good = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    bad = rows.filter(F.col(CORRUPT).isNotNull())
+    return good, bad.select(
+        "row_no", F.col(rows.columns[0]).alias("first_field"), F.col(CORRUPT).alias("record"), F.lit("fields do not fit the header").alias("reason")
+    )
+
+
 def parse_features(texts: DataFrame, layer: str, *, body: str = "value") -> DataFrame:
     """GeoJSON features, one per row, to feature_id, layer, part, area, points.
 

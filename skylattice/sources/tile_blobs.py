@@ -1,7 +1,8 @@
 """Binary tile payloads: a small header, a section index, then shape and airport sections.
 
-All numbers are little-endian. Shapes are encoded column-wise in an Arrow kernel; putting sections
-together is plain byte concatenation in the engine.
+All numbers are little-endian. Shapes are encoded column-wise in an Arrow kernel. Items sorted by tile lie
+side by side in a batch, so a section is one slice of its bytes and a payload takes time in its length.
+Reading finds the items of a section by their counts and takes all its coordinates at once.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +20,11 @@ from skylattice.functions import airports as A
 from skylattice.functions import tilemath
 from skylattice.operators.geometry_kernels import Rings
 from skylattice.operators.tilepyramid import TILE
-from skylattice.session import ship_package
+from skylattice.session import materialize, ship_package
 
 MAX_ITEMS = 0xFFFF
+#: Largest payload that is put together; the format would address 4 GiB.
+MAX_BYTES = 256 << 20
 IDENT_CHARS = 8
 
 
@@ -71,6 +73,52 @@ def _encode_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], payload], names=[*batch.schema.names[:-1], "payload"])
 
 
+def _payload(tile: tuple[int, int, int], sections: list[list]) -> bytes:
+    """Header, index and sections; each section is [kind, number of items, pieces of its bytes]."""
+    z, x, y = tile
+    head = [struct.pack("<4sBBHHBx", C.TILE_MAGIC, C.TILE_VERSION, z, x, y, len(sections))]
+    at, body = C.HEADER_BYTES + len(sections) * C.INDEX_ENTRY_BYTES, []
+    for kind, n, pieces in sections:
+        size = C.SECTION_COUNT_BYTES + sum(map(len, pieces))
+        head.append(struct.pack("<B3xII", kind, at, size))
+        body += [struct.pack("<H", n), *pieces]
+        at += size
+    return b"".join(head + body)
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items in order of tile and section to one payload per tile; only one unfinished tile is held."""
+    names, kinds = ["z", "x", "y", "payload", "bytes"], [pa.int8(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
+    tile, sections = None, []
+
+    def rows(done: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*[(*key, data, len(data)) for key, data in done], strict=True)) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        done: list[tuple] = []
+        keys = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns[:4]], axis=1)
+        edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
+        payload = batch.column(4)
+        offsets = np.frombuffer(payload.buffers()[1], np.int32)[payload.offset : payload.offset + batch.num_rows + 1]
+        data = memoryview(payload.buffers()[2] or b"")
+        for first, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            *key, kind = keys[first].tolist()
+            if tuple(key) != tile:
+                if tile is not None:
+                    done.append((tile, _payload(tile, sections)))
+                tile, sections = tuple(key), []
+            if not sections or sections[-1][0] != kind:
+                sections.append([kind, 0, []])
+            sections[-1][1] += end - first
+            sections[-1][2].append(bytes(data[offsets[first] : offsets[end]]))
+        yield rows(done)
+    if tile is not None:
+        yield rows([(tile, _payload(tile, sections))])
+
+
 def _airport_payload() -> Column:
     place = [little_endian(tilemath.deg_to_e7(c), 4) for c in ("lat", "lon")]
     flags = A.airport_flags("tier", "instrument_approach", F.size("runways") > 0)
@@ -86,8 +134,9 @@ def encode_tiles(capped: DataFrame, placed_airports: DataFrame) -> DataFrame:
     """Capped shapes and airports (with ``runways``) to z, x, y, payload, bytes, reason.
 
     The format counts the items of a section, the points of a shape and the tile's place in two
-    bytes each, and holds idents of eight characters. A tile beyond any of that has no payload but a
-    ``reason``; its rows are counted, never gathered, so no task receives more than the format holds.
+    bytes each, and holds idents of eight characters. A tile beyond any of that, or of more than
+    ``MAX_BYTES``, has no payload but a ``reason``; its rows are counted, never gathered. Items of equal
+    order stand in order of their bytes, so a tile always has the same payload.
     """
     ship_package(capped.sparkSession)
     order = F.when(F.col("action") == "drop", F.size("points")).otherwise(0)
@@ -95,17 +144,15 @@ def encode_tiles(capped: DataFrame, placed_airports: DataFrame) -> DataFrame:
     shapes = rows.mapInArrow(
         _encode_shapes,
         "z tinyint, x int, y int, layer string, o1 int, o2 long, part int, run int, payload binary",
-    ).select(*TILE, "layer", F.struct("o1", F.lit("").alias("o2a"), "o2", "part", "run", "payload").alias("item"))
+    ).withColumn("o2a", F.lit(""))
     airports = placed_airports.select(
-        *TILE,
-        F.lit("airports").alias("layer"),
-        F.struct(
-            (-F.col("tier")).cast("int").alias("o1"), F.col("ident").alias("o2a"), F.lit(0).cast("long").alias("o2"),
-            F.lit(0).alias("part"), F.lit(0).alias("run"), _airport_payload().alias("payload"),
-        ).alias("item"),
+        *TILE, F.lit("airports").alias("layer"), (-F.col("tier")).cast("int").alias("o1"), F.lit(0).cast("long").alias("o2"),
+        F.lit(0).alias("part"), F.lit(0).alias("run"), _airport_payload().alias("payload"), F.col("ident").alias("o2a"),
     )
-    items = shapes.unionByName(airports)
-    counts = items.groupBy(*TILE, "layer").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.coalesce(*[F.when(F.col("layer") == k, F.lit(v)) for k, v in C.SECTION_KINDS.items()])
+    # Encoded once: the items are counted, and then put together.
+    items = materialize(shapes.unionByName(airports).withColumn("kind", kind).drop("layer"))
+    counts = items.groupBy(*TILE, "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("payload")).alias("_bytes"))
 
     def because(rows: DataFrame, condition: Column, reason: str) -> DataFrame:
         return rows.filter(condition).select(*TILE, F.lit(reason).alias("reason"))
@@ -114,38 +161,16 @@ def encode_tiles(capped: DataFrame, placed_airports: DataFrame) -> DataFrame:
     unfit = (
         because(counts, F.col("n") > MAX_ITEMS, "more items in a section than the format counts")
         .unionByName(because(counts, far, "tile beyond the places the format counts"))
+        .unionByName(because(counts.groupBy(*TILE).agg(F.sum("_bytes").alias("_bytes")), F.col("_bytes") > MAX_BYTES, "more bytes than a payload may have"))
         .unionByName(because(capped, F.size("points") > MAX_ITEMS, "more points in a shape than the format counts"))
         .unionByName(because(placed_airports, F.length("ident") > IDENT_CHARS, "ident longer than the format holds"))
     )
     refused = unfit.groupBy(*TILE).agg(F.min("reason").alias("reason"))
-    sections = (
-        items.join(refused, TILE, "left_anti")
-        .groupBy(*TILE, "layer")
-        .agg(F.sort_array(F.collect_list("item")).alias("items"))
-        .select(
-            *TILE,
-            F.coalesce(*[F.when(F.col("layer") == k, F.lit(v)) for k, v in C.SECTION_KINDS.items()]).alias("kind"),
-            F.concat(little_endian(F.size("items"), 2), _joined(F.transform("items", lambda i: i["payload"]))).alias("data"),
-        )
-    )
-    tiles = sections.groupBy(*TILE).agg(F.sort_array(F.collect_list(F.struct("kind", "data"))).alias("s"))
-    number = F.size("s")
-    first = number * C.INDEX_ENTRY_BYTES + C.HEADER_BYTES
-
-    def entry(section: Column, i: Column) -> Column:
-        earlier = F.aggregate(F.slice("s", 1, i), F.lit(0), lambda total, e: total + F.length(e["data"]))
-        return F.concat(
-            little_endian(section["kind"], 1), F.lit(b"\0\0\0"), little_endian(first + earlier, 4),
-            little_endian(F.length(section["data"]), 4),
-        )
-
-    header = F.concat(
-        F.lit(C.TILE_MAGIC), little_endian(F.lit(C.TILE_VERSION), 1), little_endian(F.col("z"), 1),
-        little_endian(F.col("x"), 2), little_endian(F.col("y"), 2), little_endian(number, 1), F.lit(b"\0"),
-    )
-    payload = F.concat(header, _joined(F.transform("s", entry)), _joined(F.transform("s", lambda e: e["data"])))
-    encoded = tiles.select(*TILE, payload.alias("payload")).select(
-        *TILE, "payload", F.length("payload").alias("bytes"), F.lit(None).cast("string").alias("reason")
+    order = [*TILE, "kind", "o1", "o2a", "o2", "part", "run"]
+    fitting = items.join(refused, TILE, "left_anti").select(*order, "payload")
+    sorted_items = fitting.repartition(*TILE).sortWithinPartitions(*order, "payload").select(*TILE, "kind", "payload")
+    encoded = sorted_items.mapInArrow(_assemble, "z tinyint, x int, y int, payload binary, bytes int").withColumn(
+        "reason", F.lit(None).cast("string")
     )
     rejected = refused.select(
         *TILE, F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("int").alias("bytes"), "reason"
@@ -159,58 +184,87 @@ _DECODED = (
     "path string, z int, x int, y int, layer string, item int, lons array<double>, lats array<double>, "
     "ident string, flags int, reason string"
 )
-
-
-def _decode_one(path: str, data: bytes) -> list[tuple]:
-    """Rows of one tile, or one row with the reason it was refused."""
-
-    def refused(reason: str) -> list[tuple]:
-        return [(path, None, None, None, None, None, None, None, None, None, reason)]
-
+_KIND_NAMES = {kind: name for name, kind in C.SECTION_KINDS.items()}
+
+
+class _Refused(Exception):
+    """The file cannot be read; the message is the reason."""
+
+
+def _section(data: np.ndarray, kind: int, start: int, end: int) -> tuple:
+    """(number of points of every item, all points, idents, flags) of a section, by arrays."""
+    if start + C.SECTION_COUNT_BYTES > end:
+        raise _Refused("damaged section")
+    raw = data[start:end].tobytes()
+    airports = _KIND_NAMES[kind] == "airports"
+    head = C.AIRPORT_HEAD_BYTES if airports else C.SHAPE_HEAD_BYTES
+    heads, counts, at = [], [], C.SECTION_COUNT_BYTES
+    for _ in range(raw[0] | raw[1] << 8):
+        if at + head > len(raw):
+            raise _Refused("damaged section")
+        n = 2 * raw[at + head - 1] if airports else raw[at] | raw[at + 1] << 8
+        heads.append(at)
+        counts.append(n)
+        at += head + n * C.POINT_BYTES
+    if at > len(raw):
+        raise _Refused("damaged section")
+    heads, counts = np.array(heads, np.int64), np.array(counts, np.int64)
+    # What is left without the heads are coordinates; an airport's head begins with its own place.
+    skip = C.POINT_BYTES if airports else 0
+    plain = np.ones(at, bool)
+    plain[: C.SECTION_COUNT_BYTES] = False
+    plain[(heads[:, None] + np.arange(skip, head)).reshape(-1)] = False
+    bytes_ = np.frombuffer(raw, np.uint8, at)
+    points = bytes_[plain].view("<i4").reshape(-1, 2) / C.E7
+    if not airports:
+        return counts, points, [None] * len(heads), [None] * len(heads)
+    idents = [raw[p + 9 : p + 17].rstrip(b"\0").decode("ascii", "replace") for p in heads.tolist()]
+    return counts + 1, points, idents, bytes_[heads + 8].tolist()
+
+
+def _sections(data: bytes) -> Iterator[tuple]:
+    """(z, x, y, layer, and what _section gives) of a file's known sections."""
     if len(data) < C.HEADER_BYTES:
-        return refused("shorter than the header")
+        raise _Refused("shorter than the header")
     magic, version, z, x, y, sections = struct.unpack_from("<4sBBHHB", data)
     if magic != C.TILE_MAGIC:
-        return refused("bad magic")
+        raise _Refused("bad magic")
     if version != C.TILE_VERSION:
-        return refused("unsupported version")
-    if len(data) < C.HEADER_BYTES + sections * C.INDEX_ENTRY_BYTES:
-        return refused("shorter than the section index")
-    names = {kind: name for name, kind in C.SECTION_KINDS.items()}
-    rows: list[tuple] = []
-    try:
-        for kind, start, length in struct.iter_unpack(
-            "<B3xII", data[C.HEADER_BYTES : C.HEADER_BYTES + sections * C.INDEX_ENTRY_BYTES]
-        ):
-            if start + length > len(data):
-                return refused("section beyond the end")
-            if kind not in names:
+        raise _Refused("unsupported version")
+    first = C.HEADER_BYTES + sections * C.INDEX_ENTRY_BYTES
+    if len(data) < first:
+        raise _Refused("shorter than the section index")
+    numbers = np.frombuffer(data, np.uint8)
+    for kind, start, length in struct.iter_unpack("<B3xII", data[C.HEADER_BYTES : first]):
+        if start + length > len(data):
+            raise _Refused("section beyond the end")
+        if kind in _KIND_NAMES:
+            yield z, x, y, _KIND_NAMES[kind], *_section(numbers, kind, start, start + length)
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in _DECODED.split(", ")]
+    lists, ints, text = pa.list_(pa.float64()), pa.int32(), pa.string()
+    kinds = [text, ints, ints, ints, text, ints, lists, lists, text, ints, text]
+    for batch in batches:
+        for path, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            try:
+                found = list(_sections(bytes(blob.as_buffer()) if blob.is_valid else b""))
+            except _Refused as refused:
+                columns = [pa.array([path if n == "path" else str(refused) if n == "reason" else None], k) for n, k in zip(names, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 continue
-            at = start + C.SECTION_COUNT_BYTES
-            for item in range(struct.unpack_from("<H", data, start)[0]):
-                ident = flags = None
-                if names[kind] == "airports":
-                    lat, lon, flags, ident, n = struct.unpack_from("<iiB8sB", data, at)
-                    ident = ident.rstrip(b"\0").decode("ascii")
-                    strips = np.frombuffer(data, "<i4", n * 4, at + C.AIRPORT_HEAD_BYTES)
-                    points = np.concatenate([[lat, lon], strips])
-                    at += C.AIRPORT_HEAD_BYTES + C.RUNWAY_BYTES * n
-                else:
-                    n = struct.unpack_from("<H", data, at)[0]
-                    points = np.frombuffer(data, "<i4", n * 2, at + C.SHAPE_HEAD_BYTES)
-                    at += C.SHAPE_HEAD_BYTES + C.POINT_BYTES * n
-                degrees = points / C.E7
-                rows.append((path, z, x, y, names[kind], item, degrees[1::2], degrees[0::2], ident, flags, None))
-    except (struct.error, ValueError):
-        return refused("damaged section")
-    return rows
-
-
-def _decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in _DECODED.split(", ")]
-    for frame in frames:
-        rows = [row for path, data in zip(frame["path"], frame["payload"], strict=True) for row in _decode_one(path, data)]
-        yield pd.DataFrame(rows, columns=columns).astype({c: "Int32" for c in ("z", "x", "y", "item", "flags")})
+            for z, x, y, layer, counts, points, idents, flags in found:
+                n = len(counts)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                same = lambda value, kind: pa.array([value] * n, kind)  # noqa: E731, B023
+                columns = [
+                    same(path, text), same(z, ints), same(x, ints), same(y, ints), same(layer, text), pa.array(np.arange(n, dtype=np.int32)),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(points[:, 1]))),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(points[:, 0]))),
+                    pa.array(idents, text), pa.array(flags, ints), same(None, text),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def decode_tiles(blobs: DataFrame) -> DataFrame:
@@ -220,7 +274,7 @@ def decode_tiles(blobs: DataFrame) -> DataFrame:
     Unknown section kinds are skipped.
     """
     ship_package(blobs.sparkSession)
-    return blobs.select("path", "payload").mapInPandas(_decode, _DECODED)
+    return blobs.select("path", "payload").mapInArrow(_decode, _DECODED)
 
 
 def read_tiles(spark: SparkSession, folder: str) -> DataFrame:

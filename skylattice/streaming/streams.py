@@ -7,17 +7,14 @@ batch operator on the micro-batch.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skylattice import constants as C
-from skylattice.operators import feeds, surveillance
+from skylattice.operators import feeds, surveillance, timeline
 from skylattice.operators import weather as W
 from skylattice.session import temporary_tables
 
@@ -65,26 +62,42 @@ def keep_last_good(polls: DataFrame, *, keys: Sequence[str], ts: str) -> DataFra
     return feeds.keep_last_good(polls, keys=keys, ts=ts)
 
 
-def carry_offsets(readings: DataFrame) -> DataFrame:
+def carry_offsets(
+    readings: DataFrame, sink: BatchSink, folder: str, checkpoint: str, *, once: bool = False
+) -> StreamingQuery:
     """Readings with ``offset_sec``, their site's last known UTC offset, across batches; 0 before the first one.
 
-    One integer per site as built-in group state. In a batch a site's rows count in order of
-    (fetched_at, reading_id); readings that are not valid do not set the offset.
+    Within a batch the batch operator carries the offsets, by time chunks, so no site is gathered. Across
+    batches the sites' last offsets are a table below ``folder``, one folder per batch: a batch reads
+    that of the batch before and writes its own, so a repeated batch starts from the same offsets.
+    Rows count in order of (fetched_at, reading_id) within their batch; readings that are not valid
+    set no offset.
     """
-    schema = T.StructType([*readings.schema.fields, T.StructField("offset_sec", T.IntegerType())])
+    last = ["site_id", "utc_offset_sec"]
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.persist()  # read for the rows and for the sites' last offsets
+        try:
+            with temporary_tables(spark):
+                before = _offsets_before(spark, folder, batch_id, batch.select(*last).limit(0))
+                sink(W.carry_forward_offset(batch, before=before), batch_id)
+                newest = timeline.latest_per_key(
+                    batch.filter("valid AND utc_offset_sec IS NOT NULL"), keys=["site_id"], order=["fetched_at", "reading_id"]
+                ).select(*last)
+                kept = before.join(newest.select(F.col("site_id").alias("_site")), F.col("site_id").eqNullSafe(F.col("_site")), "left_anti")
+                kept.unionByName(newest).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return start(readings, step, checkpoint, once=once)
 
-    def step(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["fetched_at", "reading_id"])
-        stored = state.get[0] if state.exists else None
-        valid = rows["valid"].astype("boolean").fillna(False)
-        carried = rows["utc_offset_sec"].astype("Int32").where(valid).ffill()
-        if carried.notna().any():
-            state.update((int(carried.dropna().iloc[-1]),))
-        rows["utc_offset_sec"] = rows["utc_offset_sec"].astype("Int32")
-        rows["offset_sec"] = carried.fillna(0 if stored is None else stored)
-        yield rows[schema.names]
 
-    return readings.groupBy("site_id").applyInPandasWithState(step, schema, "utc_offset_sec int", "append", GroupStateTimeout.NoTimeout)
+def _offsets_before(spark: SparkSession, folder: str, batch_id: int, none: DataFrame) -> DataFrame:
+    """The sites' offsets after the batch before this one; batches have consecutive numbers from 0."""
+    if batch_id == 0:
+        return none
+    return spark.read.schema(none.schema).parquet(f"{folder}/batch_id={batch_id - 1}")
 
 
 def discard_superseded(results: DataFrame, *, keys: Sequence[str], generation: str) -> DataFrame:
@@ -95,6 +108,19 @@ def discard_superseded(results: DataFrame, *, keys: Sequence[str], generation: s
     return feeds.discard_superseded(results, keys=keys, generation=generation)
 
 
+def answers_in_time(
+    results: DataFrame, starts: DataFrame, *, max_age: str = "60 seconds", late_seconds: int = C.LATE_SECONDS, **columns
+) -> DataFrame:
+    """Answers that no later-started request of their key overtook, as a stream-stream join; see :func:`feeds.answers_in_time`.
+
+    Both sides have a watermark. An answer comes out once the watermark has passed it, when no start that could
+    overtake it is still due; starts older than ``max_age`` before the watermark leave the state.
+    """
+    finished, started = columns.get("finished", "finished_at"), columns.get("started", "started_at")
+    late = f"{late_seconds} seconds"
+    return feeds.answers_in_time(results.withWatermark(finished, late), starts.withWatermark(started, late), max_age=max_age, **columns)
+
+
 def track_sessions(
     seen: DataFrame, *, keys: Sequence[str], ts: str, gap_seconds: int = C.SESSION_GAP_SECONDS, late_seconds: int = C.LATE_SECONDS
 ) -> DataFrame:

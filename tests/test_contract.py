@@ -22,7 +22,7 @@ def test_every_sql_belongs_to_a_query():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries)
     own = {name for name in set(queries) - set(sql) if not re.match(r"op\d+_|pipeline$", name)}
-    assert own == {"tile_cap_actions", "cap_histogram"}
+    assert own == set()
 
 
 def test_entry_gives_labels(spark):

@@ -2,7 +2,11 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import threading
 
+import pytest
+
+from skylattice.session import materialize, temporary_tables
 from skylattice.sources import readers
 from skylattice.streaming import streams
 
@@ -64,9 +68,10 @@ def test_last_good_poll_survives_failures(spark, tmp_path):
 
 
 def test_offsets_carry_across_batches(spark, tmp_path):
+    """Each batch is a run of its own: the offsets outlive the query."""
     schema = "reading_id long, site_id string, fetched_at timestamp, valid boolean, utc_offset_sec int"
     (tmp_path / "in").mkdir()
-    carried = streams.carry_offsets(stream_of(spark, tmp_path / "in", schema))
+    readings = stream_of(spark, tmp_path / "in", schema)
     got = {}
 
     def at(i, site, valid, offset):
@@ -75,10 +80,80 @@ def test_offsets_carry_across_batches(spark, tmp_path):
     batches = [[at(0, "s", True, None), at(1, "s", True, 3600), at(2, "s", True, None)], [at(3, "s", True, None), at(4, "t", True, 60)], [at(5, "s", False, 99), at(6, "s", True, 7200), at(7, "s", True, None), at(8, "t", True, None)]]
     for n, rows in enumerate(batches):
         write(spark, tmp_path / "in", str(n), rows, schema)
-        got.update({r.reading_id: r.offset_sec for r in drain(carried, tmp_path, "offsets")})
+        sink = lambda batch, _: got.update({r.reading_id: r.offset_sec for r in batch.collect()})
+        streams.carry_offsets(readings, sink, str(tmp_path / "offsets"), str(tmp_path / "cp"), once=True).awaitTermination()
     assert got == {0: 0, 1: 3600, 2: 3600, 3: 3600, 4: 60, 5: 3600, 6: 7200, 7: 7200, 8: 60}
 
 
+def test_a_repeated_batch_starts_from_the_same_offsets(spark, tmp_path):
+    """The sink of the second batch fails once; the run after it takes the batch again."""
+    schema = "reading_id long, site_id string, fetched_at timestamp, valid boolean, utc_offset_sec int"
+    (tmp_path / "in").mkdir()
+    readings = stream_of(spark, tmp_path / "in", schema)
+    got, fails = {}, [False, True, False]
+
+    def sink(batch, batch_id):
+        if batch_id == 1 and fails.pop(0):
+            raise RuntimeError("lost")
+        got.update({r.reading_id: r.offset_sec for r in batch.collect()})
+
+    def run():
+        streams.carry_offsets(readings, sink, str(tmp_path / "offsets"), str(tmp_path / "cp"), once=True).awaitTermination()
+
+    write(spark, tmp_path / "in", "0", [(0, "s", T0, True, 60)], schema)
+    run()
+    write(spark, tmp_path / "in", "1", [(1, "s", T0 + dt.timedelta(minutes=1), True, None), (2, "s", T0 + dt.timedelta(minutes=2), True, 120)], schema)
+    fails[0] = True
+    with pytest.raises(Exception, match="lost"):
+        run()
+    fails[:] = [False]
+    run()
+    assert got == {0: 60, 1: 60, 2: 120}
+
+
+def test_an_overtaken_answer_is_dropped_across_batches(spark, tmp_path):
+    """The answer of the first request comes a batch after the second request started."""
+    starts, results = "key string, generation int, started_at timestamp", "key string, generation int, finished_at timestamp, body string"
+    for name in ("starts", "results"):
+        (tmp_path / name).mkdir()
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    first = ([("k", 1, at(0)), ("k", 2, at(5)), ("j", 1, at(0))], [("j", 1, at(3), "only")])
+    second = ([("far", 0, at(900))], [("k", 1, at(7), "late first"), ("k", 2, at(9), "second"), ("far", 0, at(900), "")])
+    seen = []
+    for n, (s, r) in enumerate((first, second, ([("far", 1, at(2000))], [("far", 1, at(2000), "")]))):
+        write(spark, tmp_path / "starts", str(n), s, starts)
+        write(spark, tmp_path / "results", str(n), r, results)
+        joined = streams.answers_in_time(stream_of(spark, tmp_path / "results", results), stream_of(spark, tmp_path / "starts", starts), keys=["key"])
+        seen += [(r.key, r.body) for r in drain(joined, tmp_path, "answers") if r.key != "far"]
+    assert sorted(seen) == [("j", "only"), ("k", "second")]
+
+
+def test_two_streams_keep_their_own_tables(spark):
+    """Each thread deletes what it materialized, and nothing of the other's."""
+    ready, done = threading.Barrier(2), []
+
+    def work(n):
+        with temporary_tables(spark):
+            ready.wait(60)
+            assert materialize(spark.range(10)).count() == 10
+        ready.wait(60)
+        done.append(n)
+
+    def reader():
+        with temporary_tables(spark):
+            mine = materialize(spark.range(7))
+            ready.wait(60)
+            ready.wait(60)  # the other thread has left its block
+            done.append(mine.count())
+
+    threads = [threading.Thread(target=work, args=(1,)), threading.Thread(target=reader)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(120)
+    assert sorted(done) == [1, 7]
+
+
 def test_superseded_answers_never_win(spark, tmp_path):
     schema = "key string, gen int, body string"
     (tmp_path / "in").mkdir()

@@ -206,7 +206,7 @@ def test_radius_and_rim(spark):
     lats = [37.0, 37.0 + 18.0 / 111, 37.0 + 19.0 / 111, 37.0 + 25.0 / 111]
     views = spark.createDataFrame([(0, 37.0, 10.0, 1, 18.52, 15)], "slot int, lat double, lon double, range_idx int, outer_km double, tag_budget int")
     tracks = S.clean_tracks(raw(spark, snapshot(*[plane(lat=lat, lon=10.0) for lat in lats])))
-    near = S.range_class(S.tracks_in_radius(tracks, views, salts=3)).orderBy("feed_pos").collect()
+    near = S.range_class(S.tracks_in_radius(tracks, views, hot_rows=1)).orderBy("feed_pos").collect()
     assert [(r.feed_pos, r.range_class) for r in near] == [(0, "inside"), (1, "inside"), (2, "rim")]
 
 
