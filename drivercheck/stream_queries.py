@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from drivercheck.track_queries import ORACLES as TRACK_ORACLES
 from drivercheck.views import cte, table, view
 from drivercheck.weather_queries import ORACLES as WEATHER_ORACLES
+from skylattice.functions.timecols import micros
 from skylattice.operators import weather as W
 from skylattice.session import shared_folder
 from skylattice.streaming import replay, streams
@@ -20,11 +22,21 @@ def _folder(spark) -> str:
     return f"{shared_folder(spark)}/replay/{uuid.uuid4().hex}"
 
 
+def _ten_days(ts: str):
+    """The number of the ten days a time lies in."""
+    return F.floor(micros(ts) / (86_400 * 10 * 1_000_000))
+
+
+def _events(spark, sf_dir):
+    """Events with a time that a watermark can follow."""
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def q_stream_tracks_replayed(spark, sf_dir):
-    """Raw polls as a stream, six snapshots to a file."""
+    """Raw polls as a stream, twelve snapshots to a file."""
     folder = _folder(spark)
     raw = view(spark, sf_dir, "raw_tracks")
-    replay.write_slices(raw, F.floor(F.col("snapshot_id") / 6), f"{folder}/in")
+    replay.write_slices(raw, F.floor(F.col("snapshot_id") / 12), f"{folder}/in")
     stream = replay.stream_of(spark, f"{folder}/in", raw)
     streams.stream_tracks(stream, streams.parquet_sink(f"{folder}/out"), f"{folder}/checkpoint", once=True).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("snapshot_id", "feed_pos", "callsign", "source")
@@ -35,12 +47,11 @@ def q_offsets_replayed(spark, sf_dir):
     folder = _folder(spark)
     readings = W.convert_readings(view(spark, sf_dir, "readings"))
     # Slices of about a third of the time the events cover.
-    day = F.floor(F.unix_timestamp("fetched_at") / (86_400 * 10))
-    replay.write_slices(readings, day, f"{folder}/in")
+    replay.write_slices(readings, _ten_days("fetched_at"), f"{folder}/in")
     stream = replay.stream_of(spark, f"{folder}/in", readings)
     sink = streams.parquet_sink(f"{folder}/out")
     streams.carry_offsets(stream, sink, f"{folder}/offsets", f"{folder}/checkpoint", once=True).awaitTermination()
-    carried = spark.read.schema(readings.schema.add("offset_sec", "int")).parquet(f"{folder}/out")
+    carried = spark.read.schema(T.StructType([*readings.schema.fields, T.StructField("offset_sec", T.IntegerType())])).parquet(f"{folder}/out")
     return carried.select("reading_id", "site_id", "offset_sec")
 
 
@@ -48,7 +59,7 @@ def _requests(spark, sf_dir):
     """Every event is a request of its user; it takes up to an hour."""
     number = F.col("event_id")
     took = (number * 37) % 3600
-    events = table(spark, sf_dir, "events")
+    events = _events(spark, sf_dir)
     starts = events.select(F.col("user_id").alias("device_id"), number.alias("generation"), F.col("ts").alias("started_at"))
     finished = F.expr("ts + make_dt_interval(0, 0, 0, (event_id * 37) % 3600)")
     results = events.select(F.col("user_id").alias("device_id"), number.alias("generation"), finished.alias("finished_at"), took.alias("took"))
@@ -70,7 +81,7 @@ def q_answers_replayed(spark, sf_dir):
     slices = {"starts": ("started_at", starts), "results": ("finished_at", results)}
     inputs = {}
     for name, (ts, rows) in slices.items():
-        replay.write_slices(rows, F.floor(F.unix_timestamp(ts) / (86_400 * 10)), f"{folder}/{name}")
+        replay.write_slices(rows, _ten_days(ts), f"{folder}/{name}")
         inputs[name] = replay.stream_of(spark, f"{folder}/{name}", rows)
     # The two streams are cut at the same times, but their files come side by side, so a slice may be early.
     joined = streams.answers_in_time(inputs["results"], inputs["starts"], keys=["device_id"], max_age="6 hours", late_seconds=86_400 * 10)
@@ -82,8 +93,8 @@ def q_answers_replayed(spark, sf_dir):
 def q_late_rows_replayed(spark, sf_dir):
     """Events that arrive by slices of ten days, every 40th a whole slice late or more: what is kept, and what the watermark drops."""
     folder = _folder(spark)
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    arrives = F.floor(F.unix_timestamp("ts") / (86_400 * 10)) + F.when(F.col("event_id") % 40 == 0, 2).otherwise(0)
+    events = _events(spark, sf_dir).select("event_id", "user_id", "ts")
+    arrives = _ten_days("ts") + F.when(F.col("event_id") % 40 == 0, 2).otherwise(0)
     replay.write_slices(events, arrives, f"{folder}/in")
     stream = replay.stream_of(spark, f"{folder}/in", events)
     once = streams.exactly_one_per_key(stream, keys=["event_id"], ts="ts", late_seconds=_LATE_SECONDS)

@@ -98,7 +98,7 @@ def q_airport_tiles(spark, sf_dir):
 
 
 #: Small enough for every kind of action to occur.
-_CAP = 2000
+_CAP = 200
 
 
 def _capped(spark, sf_dir):

@@ -20,25 +20,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylattice import constants as C
-from skylattice.functions import geo
-from skylattice.operators.quadtree import Box, CELL, cell_box, index_at, level_for, step
+from skylattice.operators.quadtree import CELL, WORLD, index_at
 from skylattice.session import materialize
 
 #: The level of half degree squares, and the finest.
 SQUARE, FINEST = 10, 18
 CROWDED = 16
 
+_HALF = WORLD / 2
+# Expressions as text: a Column is a call into the JVM for each of its parts.
+_STEP = f"{WORLD}D / pow(2D, level) AS b_step"
+_EDGES = [f"row * b_step - {_HALF}D AS b_south", f"(row + 1) * b_step - {_HALF}D AS b_north", f"col * b_step - {_HALF}D AS b_west", f"(col + 1) * b_step - {_HALF}D AS b_east"]
+_SQUEEZE = [
+    "greatest(cos(radians(least(greatest(abs(b_south), abs(b_north)), 90D))), 0D) AS b_narrow",
+    "if(b_south <= 0 AND b_north >= 0, 1D, greatest(cos(radians(least(abs(b_south), abs(b_north), 90D))), 0D)) AS b_wide",
+]
+_BOX = ["b_step", "b_south", "b_north", "b_west", "b_east", "b_narrow", "b_wide"]
 
-def _distances(box: Box, lat: Column, lon: Column) -> tuple[Column, Column]:
-    """The least and the largest distance in nm of a point from the places of a box, each measured at its own latitude."""
-    south, north, west, east = box
-    far_lat = F.greatest(F.abs(south), F.abs(north))
-    near_lat = F.when((south <= 0) & (north >= 0), F.lit(0.0)).otherwise(F.least(F.abs(south), F.abs(north)))
-    narrow, wide = (F.greatest(F.cos(F.radians(F.least(a, F.lit(90.0)))), F.lit(0.0)) for a in (far_lat, near_lat))
-    zero = F.lit(0.0)
-    least = F.hypot(F.greatest(south - lat, lat - north, zero), F.greatest(west - lon, lon - east, zero) * narrow)
-    most = F.hypot(F.greatest(F.abs(south - lat), F.abs(north - lat)), F.greatest(F.abs(west - lon), F.abs(east - lon)) * wide)
-    return least * C.NM_PER_DEG * (1 - 1e-9), most * C.NM_PER_DEG * (1 + 1e-9)
+
+def _boxed(cells: DataFrame) -> DataFrame:
+    """Cells (level, row, col) with their edges, and the least and largest share of a degree of longitude in them."""
+    return cells.selectExpr("*", _STEP).selectExpr("*", *_EDGES).selectExpr("*", *_SQUEEZE)
+
+
+def _least(lat: str, lon: str) -> str:
+    """The least distance in nm of a point from the places of a cell, each measured at its own latitude."""
+    up, across = f"greatest(b_south - {lat}, {lat} - b_north, 0D)", f"greatest(b_west - {lon}, {lon} - b_east, 0D)"
+    return f"hypot({up}, {across} * b_narrow) * {C.NM_PER_DEG * (1 - 1e-9)!r}D"
+
+
+def _most(lat: str, lon: str) -> str:
+    """The largest one."""
+    up, across = f"greatest(abs(b_south - {lat}), abs(b_north - {lat}))", f"greatest(abs(b_west - {lon}), abs(b_east - {lon}))"
+    return f"hypot({up}, {across} * b_wide) * {C.NM_PER_DEG * (1 + 1e-9)!r}D"
 
 
 def _levels(first: int, last: int) -> Column:
@@ -50,59 +64,48 @@ def _cells_at(df: DataFrame, lat: str, lon: str, level: Column) -> DataFrame:
     return placed.withColumns({"_row": index_at(F.col("_level"), F.col(lat)), "_col": index_at(F.col("_level"), F.col(lon))})
 
 
-def _ancestors(cells: DataFrame, first: int, last: Column) -> DataFrame:
-    """Cells (row, col, level) with one row for each cell above them from ``first`` to ``last``, as CELL."""
-    up = lambda index: F.floor(F.col(index) / F.pow(F.lit(2.0), F.col("level") - F.col("_level")))
-    return cells.withColumn("_level", F.explode(F.sequence(F.lit(first), last))).withColumns({"_row": up("row"), "_col": up("col")})
+def _ancestors(cells: DataFrame, first: int, last: str) -> DataFrame:
+    """Cells (level, row, col) with one row for each cell above them from ``first`` to ``last``, as CELL."""
+    up = "cast(floor({0} / pow(2D, level - _level)) as bigint) AS _{0}"
+    return cells.selectExpr("*", f"explode(sequence({first}, {last})) AS _level").selectExpr("*", up.format("row"), up.format("col"))
 
 
 def _unsplit(cells: DataFrame, crowded: DataFrame, first: int, last: int) -> DataFrame:
     """``cells`` (level, row, col) with the level of the unsplit cell they lie in, at most ``last`` + 1."""
-    split = _ancestors(cells, first, F.lit(last)).join(crowded, CELL, "left_semi").groupBy("level", "row", "col")
+    split = _ancestors(cells, first, str(last)).join(crowded, CELL, "left_semi").groupBy("level", "row", "col")
     deepest = split.agg((F.max("_level") + 1).alias("_leaf"))
     return cells.join(deepest, ["level", "row", "col"], "left").withColumn("_leaf", F.coalesce("_leaf", F.lit(first)))
 
 
 def candidate_lists(leaves: DataFrame, spots: DataFrame, pyramid: DataFrame) -> DataFrame:
-    """CELL, ``near``: for cells the points that can be the nearest to a place in them, as (id, lat, lon)."""
-    named = leaves.withColumnsRenamed(dict(zip(CELL, ("level", "row", "col"), strict=True)))
-    own = cell_box("level", "row", "col")
-    bounded = (
-        _ancestors(named, 0, F.col("level"))
-        .join(pyramid.select(*CELL, "one"), CELL)
-        .groupBy("level", "row", "col")
-        .agg(F.max_by("one", "_level").alias("one"))
-        .withColumn("bound", _distances(own, F.col("one.lat"), F.col("one.lon"))[1])
+    """(level, row, col, near): for cells the points that can be the nearest to a place in them, as (id, lat, lon)."""
+    known = _ancestors(leaves, 0, "level").join(pyramid.select(*CELL, "one"), CELL)
+    bounded = _boxed(known.groupBy("level", "row", "col").agg(F.max_by("one", "_level").alias("one"))).selectExpr(
+        "level", "row", "col", *_BOX, f"{_most('one.lat', 'one.lon')} AS bound"
     )
-    south, north, west, east = own
-    up = F.col("bound") / C.NM_PER_DEG
-    narrow = F.cos(F.radians(F.least(F.greatest(F.abs(south), F.abs(north)), F.lit(90.0))))
-    across = F.least(up / F.greatest(narrow, F.lit(1e-9)), F.lit(720.0))
-    reach = (south - up, north + up, west - across, east + across)
-    level = F.least(level_for(F.greatest(reach[1] - reach[0], reach[3] - reach[2]), 3), F.lit(FINEST))
+    # A box around the cell that holds all places within the bound, and cells a third of its longer side or larger.
+    reached = bounded.selectExpr("*", f"bound / {C.NM_PER_DEG}D AS up").selectExpr(
+        "*", "least(up / greatest(b_narrow, 1e-9D), 720D) AS across"
+    )
+    side = "greatest(b_north - b_south + 2 * up, b_east - b_west + 2 * across)"
     looking = (
-        bounded.withColumn("_level", level)
-        .withColumn("_row", F.explode(F.sequence(index_at(F.col("_level"), reach[0]), index_at(F.col("_level"), reach[1]))))
-        .withColumn("_col", F.explode(F.sequence(index_at(F.col("_level"), reach[2]), index_at(F.col("_level"), reach[3]))))
+        reached.selectExpr("*", f"cast(greatest(least(floor(log2({3 * WORLD}D / greatest({side}, 1e-9D))), {FINEST}), 0) as int) AS _level")
+        .selectExpr("*", f"pow(2D, _level) / {WORLD}D AS per")
+        .selectExpr("*", f"explode(sequence(floor((b_south - up + {_HALF}D) * per), floor((b_north + up + {_HALF}D) * per))) AS _row")
+        .selectExpr("*", f"explode(sequence(floor((b_west - across + {_HALF}D) * per), floor((b_east + across + {_HALF}D) * per))) AS _col")
     )
     listed = _cells_at(spots, "lat", "lon", _levels(0, FINEST))
-    least, _ = _distances(own, F.col("lat"), F.col("lon"))
-    met = looking.join(listed, CELL).filter(least <= F.col("bound"))
+    met = looking.join(listed, CELL).filter(f"{_least('lat', 'lon')} <= bound")
     gathered = met.groupBy("level", "row", "col").agg(F.collect_list(F.struct("id", "lat", "lon")).alias("near"))
-    return _closest(gathered, own).select(*[F.col(a).alias(b) for a, b in zip(("level", "row", "col"), CELL, strict=True)], "near")
-
+    return _closest(gathered)
 
-def _closest(lists: DataFrame, box: Box) -> DataFrame:
-    """``lists`` with only those points in ``near`` that can be the nearest to a place in the box."""
 
-    def once(value: Column) -> Column:
-        """Worked out once a row; without it the value would be worked out again for every point."""
-        return F.explode(F.array(value))
-
-    reach = F.transform("near", lambda p: F.struct(p.alias("p"), *[d.alias(n) for n, d in zip(("least", "most"), _distances(box, p["lat"], p["lon"]), strict=True)]))
-    known = lists.withColumn("_reach", once(reach)).withColumn("_bound", once(F.array_min(F.col("_reach.most"))))
-    kept = F.filter("_reach", lambda r: r["least"] <= F.col("_bound"))
-    return known.withColumn("near", F.transform(kept, lambda r: r["p"])).drop("_reach", "_bound")
+def _closest(lists: DataFrame) -> DataFrame:
+    """``lists`` (level, row, col, near) with only those points that can be the nearest to a place in the cell."""
+    reach = f"transform(near, p -> struct(p AS p, {_least('p.lat', 'p.lon')} AS least, {_most('p.lat', 'p.lon')} AS most))"
+    # Exploding one value has it worked out once a row; inside the filter it would be for every point.
+    known = _boxed(lists).selectExpr("level", "row", "col", f"explode(array({reach})) AS reach").selectExpr("*", "explode(array(array_min(reach.most))) AS bound")
+    return known.selectExpr("level", "row", "col", "transform(filter(reach, r -> r.least <= bound), r -> r.p) AS near")
 
 
 def near_lists(sites: DataFrame, points: DataFrame, *, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -124,18 +127,19 @@ def near_lists(sites: DataFrame, points: DataFrame, *, lat: str = "lat", lon: st
         fine = _unsplit(flat(placed.filter(F.col("_level") == FINEST)), crowded, SQUARE, FINEST - 1)
         homes = homes.filter(F.col("_leaf") <= SQUARE).unionByName(fine)
     homes = materialize(homes) if deep else homes
-    above = lambda index: F.floor(F.col(index) / F.pow(F.lit(2.0), F.col("level") - F.col("_leaf")))
-    homes = homes.withColumns({"_row": above("row"), "_col": above("col")}).withColumnRenamed("_leaf", "_level")
-    lists = candidate_lists(homes.select(*CELL).distinct(), spots, pyramid)
+    above = "cast(floor({0} / pow(2D, level - _leaf)) as bigint) AS up_{0}"
+    homes = homes.selectExpr("*", above.format("row"), above.format("col"))
+    lists = candidate_lists(homes.selectExpr("_leaf AS level", "up_row AS row", "up_col AS col").distinct(), spots, pyramid)
+    of_leaf = lists.withColumnsRenamed({"level": "_leaf", "row": "up_row", "col": "up_col"})
     # A square is smaller than the unsplit cell it lies in, so its list is too.
-    cut = _closest(homes.join(lists, CELL), cell_box("level", "row", "col"))
-    by_home = cut.select(*[F.col(a).alias(b) for a, b in zip(("level", "row", "col"), CELL, strict=True)], "near")
+    cut = _closest(homes.join(of_leaf, ["_leaf", "up_row", "up_col"]).select("level", "row", "col", "near"))
+    by_home = cut.withColumnsRenamed(dict(zip(("level", "row", "col"), CELL, strict=True)))
     return placed.join(by_home, CELL).drop(*CELL)
 
 
 def nearest(sites: DataFrame, points: DataFrame, *, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """``sites`` with ``_best``: (dist_nm, id, lat, lon) of the nearest point; of equally near ones the smallest id."""
-    far = lambda p: F.struct(
-        geo.distance_nm(lat, lon, p["lat"], p["lon"]).alias("dist_nm"), p["id"].alias("id"), p["lat"].alias("lat"), p["lon"].alias("lon")
-    )
-    return near_lists(sites, points, lat=lat, lon=lon).withColumn("_best", F.array_min(F.transform("near", far))).drop("near")
+    across = f"(p.lon - `{lon}`) * {C.NM_PER_DEG}D * cos(radians(`{lat}`))"
+    up = f"(p.lat - `{lat}`) * {C.NM_PER_DEG}D"
+    far = f"array_min(transform(near, p -> struct(sqrt({across} * {across} + {up} * {up}) AS dist_nm, p.id AS id, p.lat AS lat, p.lon AS lon)))"
+    return near_lists(sites, points, lat=lat, lon=lon).withColumn("_best", F.expr(far)).drop("near")
