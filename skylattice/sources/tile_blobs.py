@@ -140,7 +140,7 @@ def encode_tiles(capped: DataFrame, placed_airports: DataFrame) -> DataFrame:
     """
     ship_package(capped.sparkSession)
     order = F.when(F.col("action") == "drop", F.size("points")).otherwise(0)
-    rows = capped.select(*TILE, "layer", order.alias("o1"), F.col("feature_id").alias("o2"), "part", "run", "points")
+    rows = capped.select(F.col("z").cast("tinyint").alias("z"), "x", "y", "layer", order.alias("o1"), F.col("feature_id").alias("o2"), "part", "run", "points")
     shapes = rows.mapInArrow(
         _encode_shapes,
         "z tinyint, x int, y int, layer string, o1 int, o2 long, part int, run int, payload binary",
