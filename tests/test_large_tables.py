@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from skylattice.operators import airports as A
 from skylattice.operators import geometry_kernels as K
 
 OCTAGON = ((1.0, 0.0), (0.7, 0.7), (0.0, 1.0), (-0.7, 0.7), (-1.0, 0.0), (-0.7, -0.7), (0.0, -1.0), (0.7, -0.7))
@@ -15,3 +16,10 @@ def test_of_equally_far_corners_the_one_of_the_plain_formula_stays():
     thinned = K.thin(K.Rings(lon, lat, np.array([8])), np.float64(1.0))
     assert thinned.lens.tolist() == [5]
     assert (round(thinned.lat.sum(), 6), round(thinned.lon.sum(), 6)) == (-27.04, -3.96)
+
+
+def test_hubs_that_share_an_ident_are_cut_by_place(spark):
+    rows = [("K000", 3.0, 0.0, 3), ("K001", 2.0, 1.0, 3), ("K001", 1.0, 7.0, 3), ("K001", 1.0, 5.0, 3)]
+    for order in (rows, rows[::-1]):
+        ports = spark.createDataFrame(order, "ident string, lat double, lon double, tier int")
+        assert [(r.ident, r.lat, r.lon) for r in A.top_hubs(ports, n=2).collect()] == [("K000", 3.0, 0.0), ("K001", 1.0, 5.0)]
