@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from skylattice.operators import airports as A
 from skylattice.operators import geometry_kernels as K
+from skylattice.operators import tilepyramid as P
+from skylattice.sources import tile_blobs
 
 OCTAGON = ((1.0, 0.0), (0.7, 0.7), (0.0, 1.0), (-0.7, 0.7), (-1.0, 0.0), (-0.7, -0.7), (0.0, -1.0), (0.7, -0.7))
 
@@ -23,3 +26,46 @@ def test_hubs_that_share_an_ident_are_cut_by_place(spark):
     for order in (rows, rows[::-1]):
         ports = spark.createDataFrame(order, "ident string, lat double, lon double, tier int")
         assert [(r.ident, r.lat, r.lon) for r in A.top_hubs(ports, n=2).collect()] == [("K000", 3.0, 0.0), ("K001", 1.0, 5.0)]
+
+
+PORTS = "ident string, lat double, lon double, tier int, instrument_approach boolean, runway_count long"
+STRIPS = "ident string, row_no long, lat1 double, lon1 double, lat2 double, lon2 double"
+
+
+def many_runways(spark, n):
+    ports = spark.createDataFrame([("KSFO", 37.6188, -122.375, 3, True, n), ("KOAK", 37.7213, -122.2214, 2, False, 1)], PORTS)
+    strips = [("KSFO", i, i / 1e4, -i / 1e4, 1.5, -2.5) for i in range(n)] + [("KOAK", n, 7.0, 8.0, 9.0, 10.0)]
+    nested = A.nest_runways(ports, spark.createDataFrame(strips, STRIPS), most=None)
+    shapes = spark.createDataFrame([], K.SHAPE_SCHEMA + ", action string")
+    return shapes, P.airport_tiles(nested, zooms={7: 0.0})
+
+
+def test_airports_of_many_runways_are_written_and_read(spark):
+    for n in (255, 256, 70_000):
+        shapes, placed = many_runways(spark, n)
+        blob = tile_blobs.encode_tiles(shapes, placed).collect()
+        assert len(blob) == 1 and blob[0].reason is None and blob[0].payload[4] == (1 if n <= 255 else 2)
+        assert blob[0].bytes == len(blob[0].payload) == P.tile_sizes(shapes, placed).first().bytes
+        read = tile_blobs.decode_tiles(spark.createDataFrame([("p", blob[0].payload)], "path string, payload binary")).collect()
+        sfo, oak = sorted(read, key=lambda r: r.ident, reverse=True)
+        assert (sfo.ident, sfo.flags, oak.ident, oak.flags) == ("KSFO", 15, "KOAK", 10)
+        assert sfo.lats == [37.6188, *[v for i in range(n) for v in (i / 1e4, 1.5)]] and sfo.lons[-2:] == [-(n - 1) / 1e4, -2.5]
+        assert oak.lats == [37.7213, 7.0, 9.0]
+
+
+def test_merged_tiles_hold_any_number_of_runways(spark):
+    tile = P.merge_layers(*many_runways(spark, 300)).select(F.transform("airports", lambda a: F.size(a["runways"])).alias("n")).collect()
+    assert [r.n for r in tile] == [[300, 1]]
+
+
+def test_sections_of_more_items_than_two_bytes_count(spark):
+    n = 70_000
+    ports = spark.range(n).selectExpr(
+        "concat('K', lpad(id, 7, '0')) AS ident", "37.6 AS lat", "-122.4 AS lon", "1 AS tier", "false AS instrument_approach", "0L AS runway_count",
+        "cast(array() AS array<struct<lat1:double,lon1:double,lat2:double,lon2:double>>) AS runways",
+    )
+    shapes = spark.createDataFrame([], K.SHAPE_SCHEMA + ", action string")
+    blobs = tile_blobs.encode_tiles(shapes, P.airport_tiles(ports, zooms={7: 0.0}))
+    read = tile_blobs.decode_tiles(blobs.withColumn("path", F.lit("")))
+    got = read.agg(F.count("ident"), F.max("ident"), F.max("item"), F.count("reason")).head()
+    assert tuple(got) == (n, f"K{n - 1:07d}", n - 1, 0)
