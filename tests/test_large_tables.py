@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skylattice.operators import airports as A
 from skylattice.operators import geometry_kernels as K
+from skylattice.operators import quadtree
 from skylattice.operators import tilepyramid as P
 from skylattice.sources import tile_blobs
 
@@ -69,3 +70,13 @@ def test_sections_of_more_items_than_two_bytes_count(spark):
     read = tile_blobs.decode_tiles(blobs.withColumn("path", F.lit("")))
     got = read.agg(F.count("ident"), F.max("ident"), F.max("item"), F.count("reason")).head()
     assert tuple(got) == (n, f"K{n - 1:07d}", n - 1, 0)
+
+
+def test_views_spread_over_cells_are_not_broadcast_by_their_size_before(spark):
+    points = spark.range(50).selectExpr("id", "37.0 + id / 100 AS lat", "-122.0 AS lon")
+    views = spark.range(40).selectExpr("id AS view_id", "37.2 AS center_lat", "-122.0 AS center_lon", "5.0 AS radius_km")
+    box, touches = quadtree.disc_box("center_lat", "center_lon", F.col("radius_km"), 111.0)
+    for hot_rows in (None, 5):
+        met = quadtree.meet(points, views, box, touches=touches, hot_rows=hot_rows)
+        top = [line for line in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line][0]
+        assert "strategy=merge" in top and met.select("id", "view_id").distinct().count() == met.count()
