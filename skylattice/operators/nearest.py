@@ -12,6 +12,9 @@ nearest to any place in it:
 Which cells sites lie in is known from their half degree squares, of which the map has 259 200; only in split
 squares are finer cells looked at. The list of its cell is cut once more for each square, and sites meet
 the list of their square, once.
+
+With ``apart`` only points with the site's own value of that number count. Each value has a map of its own: the maps
+are stacked, so a cell's row at level n is 2**n times the value plus its row in the map.
 """
 
 from __future__ import annotations
@@ -28,9 +31,12 @@ SQUARE, FINEST = 10, 18
 CROWDED = 16
 
 _HALF = WORLD / 2
+#: The number of the map that a row belongs to.
+_MAP = "_map"
 # Expressions as text: a Column is a call into the JVM for each of its parts.
 _STEP = f"{WORLD}D / pow(2D, level) AS b_step"
-_EDGES = [f"row * b_step - {_HALF}D AS b_south", f"(row + 1) * b_step - {_HALF}D AS b_north", f"col * b_step - {_HALF}D AS b_west", f"(col + 1) * b_step - {_HALF}D AS b_east"]
+_IN_MAP = "pmod(row, cast(pow(2D, level) as bigint))"
+_EDGES = [f"{_IN_MAP} * b_step - {_HALF}D AS b_south", f"({_IN_MAP} + 1) * b_step - {_HALF}D AS b_north", f"col * b_step - {_HALF}D AS b_west", f"(col + 1) * b_step - {_HALF}D AS b_east"]
 _SQUEEZE = [
     "greatest(cos(radians(least(greatest(abs(b_south), abs(b_north)), 90D))), 0D) AS b_narrow",
     "if(b_south <= 0 AND b_north >= 0, 1D, greatest(cos(radians(least(abs(b_south), abs(b_north), 90D))), 0D)) AS b_wide",
@@ -61,7 +67,8 @@ def _levels(first: int, last: int) -> Column:
 
 def _cells_at(df: DataFrame, lat: str, lon: str, level: Column) -> DataFrame:
     placed = df.withColumn("_level", level)
-    return placed.withColumns({"_row": index_at(F.col("_level"), F.col(lat)), "_col": index_at(F.col("_level"), F.col(lon))})
+    row = index_at(F.col("_level"), F.col(lat)) + F.col(_MAP) * F.pow(F.lit(2.0), F.col("_level")).cast("long")
+    return placed.withColumns({"_row": row, "_col": index_at(F.col("_level"), F.col(lon))})
 
 
 def _ancestors(cells: DataFrame, first: int, last: str) -> DataFrame:
@@ -87,11 +94,14 @@ def candidate_lists(leaves: DataFrame, spots: DataFrame, pyramid: DataFrame) ->
     reached = bounded.selectExpr("*", f"bound / {C.NM_PER_DEG}D AS up").selectExpr(
         "*", "least(up / greatest(b_narrow, 1e-9D), 720D) AS across"
     )
+    rows = "cast(pow(2D, _level) as bigint)"
     side = "greatest(b_north - b_south + 2 * up, b_east - b_west + 2 * across)"
     looking = (
         reached.selectExpr("*", f"cast(greatest(least(floor(log2({3 * WORLD}D / greatest({side}, 1e-9D))), {FINEST}), 0) as int) AS _level")
         .selectExpr("*", f"pow(2D, _level) / {WORLD}D AS per")
-        .selectExpr("*", f"explode(sequence(floor((b_south - up + {_HALF}D) * per), floor((b_north + up + {_HALF}D) * per))) AS _row")
+        .selectExpr("*", f"greatest(floor((b_south - up + {_HALF}D) * per), 0L) AS lowest", f"least(floor((b_north + up + {_HALF}D) * per), {rows} - 1) AS highest")
+        .selectExpr("*", f"cast(floor(row / pow(2D, level)) as bigint) * {rows} AS above")
+        .selectExpr("*", "explode(sequence(above + lowest, above + highest)) AS _row")
         .selectExpr("*", f"explode(sequence(floor((b_west - across + {_HALF}D) * per), floor((b_east + across + {_HALF}D) * per))) AS _col")
     )
     listed = _cells_at(spots, "lat", "lon", _levels(0, FINEST))
@@ -108,9 +118,16 @@ def _closest(lists: DataFrame) -> DataFrame:
     return known.selectExpr("level", "row", "col", "transform(filter(reach, r -> r.least <= bound), r -> r.p) AS near")
 
 
-def near_lists(sites: DataFrame, points: DataFrame, *, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """``sites`` with ``near``, the points (id, lat, lon) one of which is the nearest. Sites without a place go."""
-    spots = materialize(points.groupBy("lat", "lon").agg(F.min("id").alias("id")))
+def near_lists(
+    sites: DataFrame, points: DataFrame, *, lat: str = "lat", lon: str = "lon", apart: str | None = None
+) -> DataFrame:
+    """``sites`` with ``near``, the points (id, lat, lon) one of which is the nearest. Sites without a place go.
+
+    ``apart`` names a number from 0 on that both sides have; sites without a point of their own number go too.
+    """
+    which = F.lit(0).cast("long") if apart is None else F.col(apart).cast("long")
+    sites, points = sites.withColumn(_MAP, which), points.withColumn(_MAP, which)
+    spots = materialize(points.groupBy(_MAP, "lat", "lon").agg(F.min("id").alias("id")))
     counted = _cells_at(spots, "lat", "lon", _levels(0, FINEST)).groupBy(*CELL)
     pyramid = materialize(counted.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "lat", "lon")).alias("one")))
     crowded = pyramid.filter(F.col("n") > CROWDED).select(*CELL)
@@ -134,12 +151,14 @@ def near_lists(sites: DataFrame, points: DataFrame, *, lat: str = "lat", lon: st
     # A square is smaller than the unsplit cell it lies in, so its list is too.
     cut = _closest(homes.join(of_leaf, ["_leaf", "up_row", "up_col"]).select("level", "row", "col", "near"))
     by_home = cut.withColumnsRenamed(dict(zip(("level", "row", "col"), CELL, strict=True)))
-    return placed.join(by_home, CELL).drop(*CELL)
+    return placed.join(by_home, CELL).drop(*CELL, _MAP)
 
 
-def nearest(sites: DataFrame, points: DataFrame, *, lat: str = "lat", lon: str = "lon") -> DataFrame:
+def nearest(
+    sites: DataFrame, points: DataFrame, *, lat: str = "lat", lon: str = "lon", apart: str | None = None
+) -> DataFrame:
     """``sites`` with ``_best``: (dist_nm, id, lat, lon) of the nearest point; of equally near ones the smallest id."""
     across = f"(p.lon - `{lon}`) * {C.NM_PER_DEG}D * cos(radians(`{lat}`))"
     up = f"(p.lat - `{lat}`) * {C.NM_PER_DEG}D"
     far = f"array_min(transform(near, p -> struct(sqrt({across} * {across} + {up} * {up}) AS dist_nm, p.id AS id, p.lat AS lat, p.lon AS lon)))"
-    return near_lists(sites, points, lat=lat, lon=lon).withColumn("_best", F.expr(far)).drop("near")
+    return near_lists(sites, points, lat=lat, lon=lon, apart=apart).withColumn("_best", F.expr(far)).drop("near")

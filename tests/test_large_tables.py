@@ -80,3 +80,22 @@ def test_views_spread_over_cells_are_not_broadcast_by_their_size_before(spark):
         met = quadtree.meet(points, views, box, touches=touches, hot_rows=hot_rows)
         top = [line for line in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line][0]
         assert "strategy=merge" in top and met.select("id", "view_id").distinct().count() == met.count()
+
+
+def test_the_nearest_of_a_tile_is_found_without_meeting_all_of_it(spark):
+    """Sites at tile borders, whose nearest field lies in the next tile, and a tile without fields."""
+    rng = np.random.default_rng(5)
+    fields = [(f"K{i:03d}", float(a), float(o), True) for i, (a, o) in enumerate(rng.uniform((36.5, -125.0), (39.4, -120.0), (300, 2)))]
+    sites = [(i, float(a), float(o)) for i, (a, o) in enumerate(rng.uniform((36.5, -125.0), (39.4, -120.0), (400, 2)))] + [(400, 0.0, 0.0)]
+    tile = lambda lat, lon: (np.floor((lon + 180.0) / 2.8125), np.floor((90.0 - lat) / 1.40625))
+    far = lambda s, f: np.sqrt(((f[2] - s[2]) * 60 * np.cos(np.radians(s[1]))) ** 2 + ((f[1] - s[1]) * 60) ** 2)
+    want = {}
+    for s in sites:
+        if here := [(far(s, f), f[0]) for f in fields if tile(*f[1:3]) == tile(*s[1:])]:
+            want[s[0]] = min(here)[1]
+    df = spark.createDataFrame(sites, "site_id int, lat double, lon double")
+    ports = spark.createDataFrame(fields, "ident string, lat double, lon double, instrument_approach boolean")
+    found = A.nearest_approach_airport(df, ports, same_tile_zoom=7)
+    assert {r.site_id: r.icao for r in found.collect()} == want and 400 not in want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "icao_lon" in found.columns and "_x" not in plan  # sites and fields do not meet by tile
