@@ -19,7 +19,7 @@ are stacked, so a cell's row at level n is 2**n times the value plus its row in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice import constants as C
@@ -29,6 +29,8 @@ from skylattice.session import materialize
 #: The level of half degree squares, and the finest.
 SQUARE, FINEST = 10, 18
 CROWDED = 16
+#: For ``k`` nearest points a cell with this many times ``k`` is split, and places are told apart this many levels below it.
+_ENOUGH, _BELOW = 4, 3
 
 _HALF = WORLD / 2
 #: The number of the map that a row belongs to.
@@ -162,3 +164,48 @@ def nearest(
     up = f"(p.lat - `{lat}`) * {C.NM_PER_DEG}D"
     far = f"array_min(transform(near, p -> struct(sqrt({across} * {across} + {up} * {up}) AS dist_nm, p.id AS id, p.lat AS lat, p.lon AS lon)))"
     return near_lists(sites, points, lat=lat, lon=lon, apart=apart).withColumn("_best", F.expr(far)).drop("near")
+
+
+def with_reach(sites: DataFrame, points: DataFrame, k: int, *, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """``sites`` with ``_reach``: so many nm around a site hold ``k`` points or more. NULL where no cell holds enough points.
+
+    The finest cell around a site that has ``_ENOUGH * k`` points is cut into cells ``_BELOW`` levels finer; the k-th
+    smallest distance of its points from the middle of the site's own one, and the way there, are the reach. A point
+    meets at most ``4**_BELOW`` middles, however many sites there are, and sites meet one row.
+    """
+    on_map = F.col("lat").between(-_HALF, _HALF) & F.col("lon").between(-_HALF, _HALF)
+    listed = points.filter(on_map).select("lat", "lon", _levels(0, FINEST).alias("_level")).withColumns(
+        {"_row": index_at(F.col("_level"), F.col("lat")), "_col": index_at(F.col("_level"), F.col("lon"))}
+    )
+    crowded = materialize(listed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= _ENOUGH * k).select(*CELL))
+    deepest = crowded.agg(F.max("_level")).first()[0]
+    if deepest is None:
+        return sites.withColumn("_reach", F.lit(None).cast("double"))
+    fine = deepest + _BELOW
+    placed = sites.withColumns({"_fine_row": index_at(fine, F.col(lat)), "_fine_col": index_at(fine, F.col(lon))})
+    spot, home = ["_fine_row", "_fine_col"], ["_leaf", "_home_row", "_home_col"]
+    up = "shiftright({0}, {1}) AS {2}"
+    above = placed.select(*spot).distinct().selectExpr("*", f"explode(sequence(0, {deepest})) AS _level").selectExpr(
+        "*", up.format("_fine_row", f"{fine} - _level", "_row"), up.format("_fine_col", f"{fine} - _level", "_col")
+    )
+    leaves = above.join(crowded, CELL, "left_semi").groupBy(*spot).agg(F.max("_level").alias("_leaf"))
+    back = f"{fine - _BELOW} - _leaf"
+    homes = materialize(leaves.selectExpr("*", up.format("_fine_row", back, "_home_row"), up.format("_fine_col", back, "_home_col")))
+    middles = (
+        homes.select(*home).distinct()
+        .selectExpr("*", f"{WORLD}D / pow(2D, _leaf + {_BELOW}) AS _wide")
+        .selectExpr("*", f"_home_row * _wide - {_HALF}D AS _south", f"(_home_row + 1) * _wide - {_HALF}D AS _north", f"(_home_col + 0.5D) * _wide - {_HALF}D AS _mid_lon")
+        .selectExpr(
+            *home, "_leaf AS _level", f"shiftright(_home_row, {_BELOW}) AS _row", f"shiftright(_home_col, {_BELOW}) AS _col",
+            "(_south + _north) / 2 AS _mid_lat", "_mid_lon",
+            # The largest share of a degree of longitude in the cell: distances from the middle are never below a site's own.
+            "if((_south <= 0 AND _north >= 0) OR greatest(abs(_south), abs(_north)) > 90, 1D, cos(radians(least(abs(_south), abs(_north))))) AS _squeeze",
+        )
+    )
+    from_middle = lambda a, b: f"{C.NM_PER_DEG * (1 + 1e-9)!r}D * hypot({a} - _mid_lat, ({b} - _mid_lon) * _squeeze)"
+    met = middles.join(listed.filter(F.col("_level") <= deepest), CELL).selectExpr(*home, "_mid_lat", "_mid_lon", "_squeeze", f"{from_middle('lat', 'lon')} AS _far")
+    nearest_first = met.withColumn("_nth", F.row_number().over(Window.partitionBy(*home).orderBy("_far"))).filter(F.col("_nth") <= k)
+    known = homes.join(nearest_first.filter(F.col("_nth") == k).drop("_nth"), home).drop(*home)
+    return placed.join(known, spot, "left").selectExpr(
+        *[f"`{c}`" for c in sites.columns], f"_far + {from_middle(f'`{lat}`', f'`{lon}`')} AS _reach"
+    )

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice import constants as C
 from skylattice.functions import geo
 from skylattice.functions import weather as Wx
-from skylattice.operators import quadtree
+from skylattice.operators import nearest, quadtree
+from skylattice.operators.skew import may_be_hot
 from skylattice.operators.timeline import staleness_flags, with_last_known
+from skylattice.session import materialize
 
 
 def stations(raw_metar: DataFrame) -> DataFrame:
@@ -38,30 +40,57 @@ def stations_in_bbox(
     Views have view_id, center_lat, center_lon, radius_nm. They meet the stations on cells whose size
     follows the box (:mod:`quadtree`). Boxes do not wrap at the antimeridian.
     """
-    boxed = views.withColumn("_box", geo.make_bbox("center_lat", "center_lon", "radius_nm", inflate))
-    box = tuple(F.col(f"_box.{side}") for side in ("min_lat", "max_lat", "min_lon", "max_lon"))
-    met = quadtree.meet(stations, boxed, box, hot_rows=hot_rows)
-    inside = F.col("lat").between(box[0], box[1]) & F.col("lon").between(box[2], box[3])
-    return met.filter(inside).select(
-        *views.columns,
-        *stations.columns,
-        geo.distance_nm("center_lat", "center_lon", "lat", "lon").alias("dist_nm"),
-    )
+    met = quadtree.meet(stations, _boxed(views, inflate), _box("_box"), hot_rows=hot_rows)
+    return met.filter(_inside(_box("_box"))).select(*views.columns, *stations.columns, _distance())
+
+
+def _boxed(views: DataFrame, inflate: float) -> DataFrame:
+    return views.withColumn("_box", geo.make_bbox("center_lat", "center_lon", "radius_nm", inflate))
+
+
+def _box(name: str) -> quadtree.Box:
+    return tuple(F.col(f"{name}.{side}") for side in ("min_lat", "max_lat", "min_lon", "max_lon"))
+
+
+def _inside(box: quadtree.Box) -> Column:
+    return F.col("lat").between(box[0], box[1]) & F.col("lon").between(box[2], box[3])
+
+
+def _distance() -> Column:
+    return geo.distance_nm("center_lat", "center_lon", "lat", "lon").alias("dist_nm")
 
 
 def nearest_k_stations(
-    stations: DataFrame, views: DataFrame, *, k: int = C.NEAREST_STATIONS, inflate: float = C.BBOX_INFLATE
+    stations: DataFrame, views: DataFrame, *, k: int = C.NEAREST_STATIONS, inflate: float = C.BBOX_INFLATE, narrowed: bool | None = None
 ) -> DataFrame:
     """The ``k`` stations nearest to each view's centre inside its box; ties by identifier.
 
+    Large tables are met within each view's reach (:func:`nearest.with_reach`), a circle around its centre that
+    holds ``k`` stations, where that lies in the box, so a view meets a few times ``k`` stations however many there are.
     Spark cuts each view to ``k`` rows per task before the shuffle (window group limit).
     """
-    ranked = stations_in_bbox(stations, views, inflate=inflate).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("view_id").orderBy("dist_nm", "icao"))
-    )
+    narrowed = (may_be_hot(stations) or may_be_hot(views)) if narrowed is None else narrowed
+    near = _in_reach(stations, views, k, inflate) if narrowed else stations_in_bbox(stations, views, inflate=inflate)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("view_id").orderBy("dist_nm", "icao")))
     return ranked.filter(F.col("rank") <= k)
 
 
+def _in_reach(stations: DataFrame, views: DataFrame, k: int, inflate: float) -> DataFrame:
+    """Of the stations in each view's box those that can be among the nearest ``k``."""
+    stations = materialize(stations)
+    reaching = nearest.with_reach(_boxed(views, inflate), stations, k, lat="center_lat", lon="center_lon")
+    # Near the poles boxes are not widened, so a circle need not lie in its box.
+    circle = (F.col("_reach") <= F.col("radius_nm") * inflate) & (F.cos(F.radians("center_lat")) > 0.01)
+    cut = F.when(circle, F.col("_reach"))
+    drawn = reaching.withColumn("_reach", cut).withColumn(
+        "_near", F.when(F.col("_reach").isNull(), F.col("_box")).otherwise(geo.make_bbox("center_lat", "center_lon", "_reach", 1 + 1e-9))
+    )
+    # Large cells: with few stations in reach, copies of views cost more to move than stations that are met for nothing.
+    met = quadtree.meet(stations, drawn, _box("_near"), cells=2).filter(_inside(_box("_box")))
+    placed = met.select(*views.columns, *stations.columns, _distance(), "_reach")
+    return placed.filter(F.col("_reach").isNull() | (F.col("dist_nm") <= F.col("_reach"))).drop("_reach")
+
+
 def category_counts(in_view: DataFrame) -> DataFrame:
     return in_view.groupBy("view_id", "category").agg(F.count(F.lit(1)).alias("stations"))
 
