@@ -36,8 +36,8 @@ def q_stream_tracks_replayed(spark, sf_dir):
     """Raw polls as a stream, twelve snapshots to a file."""
     folder = _folder(spark)
     raw = view(spark, sf_dir, "raw_tracks")
-    replay.write_slices(raw, F.floor(F.col("snapshot_id") / 12), f"{folder}/in")
-    stream = replay.stream_of(spark, f"{folder}/in", raw)
+    files = replay.write_slices(raw, F.floor(F.col("snapshot_id") / 12), f"{folder}/in", most_files=spark.sparkContext.defaultParallelism)
+    stream = replay.stream_of(spark, f"{folder}/in", raw, files)
     streams.stream_tracks(stream, streams.parquet_sink(f"{folder}/out"), f"{folder}/checkpoint", once=True).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("snapshot_id", "feed_pos", "callsign", "source")
 
@@ -47,8 +47,8 @@ def q_offsets_replayed(spark, sf_dir):
     folder = _folder(spark)
     readings = W.convert_readings(view(spark, sf_dir, "readings"))
     # Slices of about a third of the time the events cover.
-    replay.write_slices(readings, _ten_days("fetched_at"), f"{folder}/in")
-    stream = replay.stream_of(spark, f"{folder}/in", readings)
+    files = replay.write_slices(readings, _ten_days("fetched_at"), f"{folder}/in", most_files=spark.sparkContext.defaultParallelism)
+    stream = replay.stream_of(spark, f"{folder}/in", readings, files)
     sink = streams.parquet_sink(f"{folder}/out")
     streams.carry_offsets(stream, sink, f"{folder}/offsets", f"{folder}/checkpoint", once=True).awaitTermination()
     carried = spark.read.schema(T.StructType([*readings.schema.fields, T.StructField("offset_sec", T.IntegerType())])).parquet(f"{folder}/out")
