@@ -20,20 +20,24 @@ import functools
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skylattice.llm.bpe import Encoder, Vocabulary, _rounds, vocabulary_text
-from skylattice.llm.flattext import offsets_of
+from skylattice.llm.bpe import KEPT_WORDS, Encoder, Vocabulary, _rounds, vocabulary_text
+from skylattice.llm.flattext import offsets_of, ragged
 from skylattice.session import shared_folder, ship_package
 
 BLOCK = 4096
 SEGMENT_CHARS = 4 << 20
 KEPT_UNITS = 1_000_000
+#: Units that the library gets as one text, at most.
+JOINED = 64
 #: Fixed values, by selector: bits of an id and ids in a word; selector 0 is an escape.
 BITS = np.array([60, 60, 60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30], np.uint8)
 COUNTS = np.array([1, 1, 1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2], np.int64)
@@ -43,6 +47,8 @@ _U = np.uint64
 
 
 def _bit_lengths(ids: np.ndarray) -> np.ndarray:
+    if len(ids) > 1 << 16 and int(ids.max()) < 1 << 16:
+        return _small_bit_lengths()[ids.astype(np.int64)]
     out = np.zeros(len(ids), np.uint8)
     for bits in sorted({int(b) for b in BITS}, reverse=True):
         out[ids < (_U(1) << _U(bits))] = bits
@@ -50,6 +56,11 @@ def _bit_lengths(ids: np.ndarray) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(maxsize=1)
+def _small_bit_lengths() -> np.ndarray:
+    return _bit_lengths(np.arange(1 << 16, dtype=np.uint64))
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, first word of each block (m + 1), and escapes of a run of ids."""
     ids = ids.astype(np.uint64)
@@ -77,7 +88,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             moved = np.zeros_like(need)
             moved[:, : wide - step] = need[:, step:]
             need, span = np.maximum(need, moved), span + step
-        choice[need <= BITS[selector]] = selector
+        fits = need <= BITS[selector]
+        if not fits[:-1, :BLOCK].any() and not fits[-1:, : n - (m - 1) * BLOCK].any():
+            break  # more ids of fewer bits fit nowhere either
+        choice[fits] = selector
     at = np.zeros(m, np.int64)
     rows = np.arange(m)
     taken_rows, taken_at = [], []
@@ -100,8 +114,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             continue
         start, bits = row[own] * wide + at[own], _U(BITS[s])
         flat = values.reshape(-1)
+        packed = words[own]
         for k in range(int(COUNTS[s])):
-            words[own] |= flat[start + k] << (_U(k) * bits)
+            packed |= flat[start + k] << (_U(k) * bits)
+        words[own] = packed
     escapes = values[row[selector == ESCAPE], at[selector == ESCAPE]]
     return words, np.searchsorted(row, np.arange(m + 1)).astype(np.uint32), escapes
 
@@ -163,7 +179,7 @@ def read_payload(raw: bytes | memoryview) -> tuple[pa.Array, np.ndarray, np.ndar
 
 
 class LibraryEncoder(Encoder):
-    """The tokenizers library over the distinct units of the texts (see :class:`Encoder`)."""
+    """The tokenizers library over the distinct units of the texts (see :class:`Encoder`), many units in one call's text."""
 
     def __init__(self, text: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -173,14 +189,79 @@ class LibraryEncoder(Encoder):
         self._library = Tokenizer.from_str(text)
         self._library.no_truncation()
         self._library.no_padding()
+        self._token_sizes = np.diff(self.vocabulary.token_offsets)
 
     def _learn(self) -> None:
         fresh = self._fresh_units()
-        coded = self._library.encode_batch_fast(fresh, add_special_tokens=False)
-        rows = [x.ids for x in coded]
+        if not fresh:
+            return
+        # Units go to the library as one text where no word crosses from one into the next, and are cut at its tokens again.
+        units = pa.array(fresh, pa.large_string())
+        lengths = pc.binary_length(units).to_numpy(zero_copy_only=False)
+        bare = pc.binary_length(pc.utf8_ltrim_whitespace(units)).to_numpy(zero_copy_only=False)
+        led = pc.starts_with(units, " ").to_numpy(zero_copy_only=False) & (lengths - bare == 1)
+        closes = pc.not_equal(pc.utf8_rtrim_whitespace(units), units).to_numpy(zero_copy_only=False)
+        begins = np.flatnonzero(~led | np.r_[True, closes[:-1]] | (np.arange(len(fresh)) % JOINED == 0)).tolist()
+        flat, _ = self._coded(["".join(fresh[a:b]) for a, b in zip(begins, [*begins[1:], len(fresh)], strict=True)])
+        token_ends, unit_ends = np.cumsum(self._token_sizes[flat]), np.cumsum(lengths)
+        last = np.minimum(np.searchsorted(token_ends, unit_ends), max(len(flat) - 1, 0))
+        if len(flat) and token_ends[-1] == unit_ends[-1] and np.array_equal(token_ends[last], unit_ends):
+            self._extend(flat, np.r_[0, last + 1])
+        else:  # a vocabulary whose tokens are not the text's bytes, or reach across units
+            self._extend(*self._coded(fresh))
+
+    def _coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rows = [x.ids for x in self._library.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.fromiter((i for row in rows for i in row), np.int32, int(lengths.sum()))
-        self._extend(flat, offsets_of(lengths))
+        return np.fromiter(chain.from_iterable(rows), np.int32, int(lengths.sum())), offsets_of(lengths)
+
+    def _column_units(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Unit numbers of all texts and n + 1 offsets; each distinct piece between spaces is looked up once."""
+        column = pc.fill_null(column, "")
+        if not len(column):
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        split = pc.split_pattern(column, " ")
+        ends = offsets_of(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        pieces = split.flatten()
+        first = np.zeros(len(pieces), bool)
+        first[ends[:-1]] = True
+        last = np.zeros(len(pieces), bool)
+        last[ends[1:] - 1] = True
+        units = np.empty(len(pieces), np.int64)
+        odd = np.zeros(len(pieces), bool)  # white space beside the space at which a text is cut
+        for own, table in ((~first, self._spaced), (first, self._plain)):
+            coded = pieces.filter(pa.array(own)).dictionary_encode()
+            codes, spelled = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+            names = spelled.to_numpy(zero_copy_only=False)
+            if table is self._plain:
+                numbers = np.fromiter((table[x] if x else -1 for x in names), np.int64, len(names))
+                opens = np.zeros(len(names), bool)
+            else:
+                numbers = np.fromiter(map(table.__getitem__, names), np.int64, len(names))
+                opens = pc.not_equal(pc.utf8_ltrim_whitespace(spelled), spelled).to_numpy(zero_copy_only=False)
+                opens |= names == ""
+            closes = pc.not_equal(pc.utf8_rtrim_whitespace(spelled), spelled).to_numpy(zero_copy_only=False)
+            units[own] = numbers[codes]
+            odd[own] = opens[codes] | (closes[codes] & ~last[own])
+        odd_rows = np.logical_or.reduceat(odd, ends[:-1])
+        for special in self._special:
+            odd_rows |= pc.match_substring(column, special).to_numpy(zero_copy_only=False)
+        if odd_rows.any():
+            rows = np.split(units, ends[1:-1])
+            for k in np.flatnonzero(odd_rows):
+                rows[k] = self._units(column[k].as_py())
+            units, ends = np.concatenate(rows), offsets_of(np.fromiter(map(len, rows), np.int64, len(rows)))
+        there = units >= 0
+        return units[there], offsets_of(there)[ends]
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts and n + 1 offsets."""
+        if self._known > (KEPT_WORDS if self.limit is None else self.limit):
+            self._forget()
+        units, ends = self._column_units(column)
+        self._learn()
+        positions, sizes = ragged(self._offsets, units)
+        return self._ids[positions], offsets_of(sizes)[ends]
 
 
 @functools.lru_cache(maxsize=2)
@@ -208,7 +289,7 @@ def token_files(docs: DataFrame, vocabulary_path: str, *, end_id: int = 2, text:
         for batch in batches:
             column = batch.column("text")
             for first, end in _rounds(column, SEGMENT_CHARS):
-                flat, ends = encoder.encode(column.slice(first, end - first).to_pylist())
+                flat, ends = encoder.encode_column(column.slice(first, end - first))
                 rows = np.arange(end - first)
                 closed = np.empty(len(flat) + len(rows), np.uint32)
                 closed_ends = ends[1:] + rows + 1

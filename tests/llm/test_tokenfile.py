@@ -70,3 +70,78 @@ def test_files_equal_the_library(spark, tmp_path, monkeypatch):
 def test_empty_table(spark, tmp_path):
     tokenfile.write_token_files(spark.createDataFrame([], "doc_id long, text string"), PATH, f"{tmp_path}/f")
     assert tokenfile.read_documents(spark.read.schema(tokenfile.FILES).parquet(f"{tmp_path}/f")).count() == 0
+
+
+PIECES = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\u00a0", "\u1680", "\u180e", "\u2003", "\u200b", "\u2028", "\u2029", "\u202f", "\u205f",
+          "\u3000", "\ufeff", "a", "Word", "it's", "'", "s", "9", "2024", ".", "?!", "é", "e\u0301", "中文", "😀", "\x00", "<|endoftext|>", "<|endo", "ftext|>"]
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return tokenfile.LibraryEncoder(tokenfile.vocabulary_text(PATH))
+
+
+def whole(encoder, texts):
+    return [encoder._library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def rows(flat, ends):
+    return [flat[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.one_of(st.none(), st.lists(st.sampled_from(PIECES), max_size=12).map("".join)), max_size=6), forget=st.booleans())
+def test_columns_get_the_ids_of_whole_texts(encoder, texts, forget):
+    if forget:
+        encoder._forget()
+    assert rows(*encoder.encode_column(pa.array(texts, pa.string()))) == whole(encoder, texts)
+
+
+def test_every_white_space_beside_a_cut(encoder):
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    texts = [t for s in spaces for t in (f"a {s}b c", f"a{s} b c", f"a b{s}", f"{s}a b", f"{s} a", f"a {s}", s, f"a b{s}c d", f"x{s}{s}y z")]
+    encoder._forget()
+    assert rows(*encoder.encode_column(pa.array(texts))) == whole(encoder, texts)
+
+
+class Counted:
+    def __init__(self, library):
+        self.library, self.texts = library, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts.extend(texts)
+        return self.library.encode_batch_fast(texts, **options)
+
+
+def test_the_library_gets_few_texts_and_each_unit_once(monkeypatch):
+    encoder = tokenfile.LibraryEncoder(tokenfile.vocabulary_text(PATH))
+    counted = Counted(encoder._library)
+    monkeypatch.setattr(encoder, "_library", counted)
+    words = [f"u{k}, v.{k}" for k in range(3_200)]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, 3_200, 50)]
+    got = rows(*encoder.encode_column(pa.array(texts)))
+    assert len(counted.texts) <= 6_400 / tokenfile.JOINED + len(texts) + 2
+    assert sum(map(len, counted.texts)) <= len(" ".join(words)) + sum(len(t.split(" ", 1)[0]) for t in texts) + 1
+    seen = len(counted.texts)
+    assert rows(*encoder.encode_column(pa.array(texts[::-1]))) == got[::-1]
+    assert len(counted.texts) == seen
+    assert got == [counted.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_units_go_one_by_one_where_tokens_are_not_their_bytes(monkeypatch):
+    encoder = tokenfile.LibraryEncoder(tokenfile.vocabulary_text(PATH))
+    counted = Counted(encoder._library)
+    monkeypatch.setattr(encoder, "_library", counted)
+    monkeypatch.setattr(encoder, "_token_sizes", encoder._token_sizes + 1)
+    texts = ["one two three", "four  five\n six"]
+    assert rows(*encoder.encode_column(pa.array(texts))) == [counted.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {" two", " three"} <= set(counted.texts)
+
+
+@pytest.mark.parametrize("n", [70_000, 65_537 + 4096])
+def test_runs_of_small_ids_take_the_table(n):
+    values = np.random.default_rng(n).integers(0, 1 << 16, n).astype(np.uint64)
+    values[: n // 2] %= np.uint64(3)
+    words, block_words, escapes = tokenfile.pack(values)
+    assert np.array_equal(tokenfile.unpack(words, block_words, escapes, n), values)
+    assert len(words) < n // 2 // 20 + n // 2 // 2
